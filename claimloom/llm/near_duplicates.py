@@ -38,7 +38,7 @@ class SimilarityJoin:
     """
 
     threshold: Fraction = Fraction(4, 5)
-    buckets_per_token: float = 0.4
+    buckets_per_token: float = 0.3
     pair_limit: int = 24
 
     def intervals(self) -> list[tuple[int, int]]:
@@ -70,76 +70,80 @@ def token_set(text: Column) -> Column:
 def classes(records: DataFrame, table: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of records with equal token sets.
 
-    members: (tbl, cls, key), each record once. classes: (tbl, cls, n, tokens), tokens as sorted hashes. Null texts and
-    texts without tokens are left out; deliveries of one key with the same tokens count once.
+    members: (tbl, cls, key), each record once. classes: (id, tbl, cls, n, tokens), tokens as hashes that differ
+    between tables; they are materialised, so that the numbers in ``id`` stay. Null texts and texts without
+    tokens are left out; deliveries of one key with the same tokens count once.
     """
     rows = records.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(table).alias("tbl"), F.col(key).alias("key"), token_set(F.col(text)).alias("t")).where(F.size("t") > 0)
-    rows = rows.select("tbl", "key", F.unhex(F.md5(F.concat_ws(" ", "t"))).alias("cls"), F.array_sort(F.transform("t", lambda x: F.xxhash64(x))).alias("tokens"))
+    rows = rows.select("tbl", "key", F.unhex(F.md5(F.concat_ws(" ", "t"))).alias("cls"), "t")
     members = rows.select("tbl", "cls", "key").dropDuplicates()
-    found = rows.groupBy("tbl", "cls").agg(F.count_distinct("key").alias("n"), F.first("tokens").alias("tokens"))
-    return members, found
+    found = rows.groupBy("tbl", "cls").agg(F.count_distinct("key").alias("n"), F.first("t").alias("t"))
+    tokens = F.transform("t", lambda x: F.xxhash64("tbl", x))
+    return members, cut(found.select(F.monotonically_increasing_id().alias("id"), "tbl", "cls", "n", tokens.alias("tokens")))
 
 
 def _postings(found: DataFrame, p: SimilarityJoin) -> DataFrame:
-    """(g, tbl, cls, size, j, home) lists of classes under combinations of their rarest coordinates."""
+    """(g, id, size, j) lists of classes under combinations of their rarest coordinates; j is the interval of the lists."""
     cuts = p.intervals()
     num, den = p.threshold.numerator, p.threshold.denominator
+    whole = 2**31 - 1
     lows = F.array(*[F.lit(low) for low, _ in cuts])
-    highs = F.array(*[F.lit(min(high, 2**31 - 1)) for _, high in cuts])
-    counts = F.array(*[F.lit(min(p.coordinates(high), 2**31 - 1)) for _, high in cuts])
-    size = F.col("size")
-    base = found.select("tbl", "cls", "tokens", F.size("tokens").alias("size"))
-    base = base.withColumn("k", F.size(F.filter(lows, lambda x: x <= size)) - 1)
-    largest = F.floor(size.cast("long") * den / num)
-    base = base.withColumn("j", F.explode(F.when(largest >= F.get(lows, F.col("k") + 1), F.array(F.col("k"), F.col("k") + 1)).otherwise(F.array("k"))))
-    base = base.withColumn("m", F.get(counts, F.col("j"))).withColumn("high", F.get(highs, F.col("j")))
-    total = size.cast("long") + F.least(F.col("high").cast("long"), largest)
-    base = base.withColumn("d", F.floor(total * (den - num) / (den + num)).cast("int")).where("d > 0 or k <> j")
-    base = base.withColumn("l", F.when(F.col("d") + 2 > p.pair_limit, 1).otherwise(2))
+    highs = F.array(*[F.lit(min(high, whole)) for _, high in cuts])
+    counts = F.array(*[F.lit(min(p.coordinates(high), whole)) for _, high in cuts])
     # the interval decides between pairs and single elements, so that both sides of a pair agree
-    top = F.floor(2 * F.col("high").cast("long") * (den - num) / (den + num))
-    base = base.withColumn("l", F.when(top + 2 > p.pair_limit, 1).otherwise(2))
-    head = ["tbl", "cls", "size", "k", "j", "m", "d", "l"]
-    tokens = base.select(*head, F.explode("tokens").alias("t")).withColumn("bucket", F.pmod(F.xxhash64("t", "j"), F.col("m")).cast("int"))
-    elements = tokens.groupBy(*head, "bucket").agg(F.bit_xor("t").alias("v")).withColumn("e", F.xxhash64("tbl", "j", "bucket", "v"))
-    elements = elements.drop("v")
+    taken = F.array(*[F.lit(1 if p.max_difference(2 * high) + 2 > p.pair_limit else 2) for _, high in cuts])
+    base = found.select("id", "tokens", F.size("tokens").alias("size"))
+    base = base.withColumn("k", F.size(F.filter(lows, lambda x: x <= F.col("size"))) - 1)
+    largest = F.floor(F.col("size").cast("long") * den / num)
+    base = base.withColumn("j", F.explode(F.when(largest >= F.get(lows, F.col("k") + 1), F.array(F.col("k"), F.col("k") + 1)).otherwise(F.array("k"))))
+    base = base.withColumn("m", F.get(counts, F.col("j")))
+    tokens = base.select("id", "size", "j", "m", F.explode("tokens").alias("t")).withColumn("bucket", F.pmod(F.xxhash64("t", "j"), F.col("m")).cast("int"))
+    elements = tokens.groupBy("id", "size", "j", "bucket").agg(F.bit_xor("t").alias("v")).select("id", "size", "j", "bucket", F.xxhash64("j", "bucket", "v").alias("e"))
     often = elements.groupBy("e").agg(F.count("*").alias("c"))
-    ranked = elements.join(often, "e").groupBy(*head).agg(F.array_sort(F.collect_list(F.struct("c", "e", "bucket"))).alias("own"))
+    ranked = elements.join(often, "e").groupBy("id", "size", "j").agg(F.array_sort(F.collect_list(F.struct("c", "e", "bucket"))).alias("own"))
+    # a class of this size differs from any partner in at most d tokens
+    total = F.col("size").cast("long") + F.least(F.get(highs, F.col("j")).cast("long"), largest)
+    ranked = ranked.withColumn("d", F.floor(total * (den - num) / (den + num)).cast("int")).withColumn("l", F.get(taken, F.col("j"))).withColumn("m", F.get(counts, F.col("j")))
+    head = F.col("d") + F.col("l")
     # buckets without tokens are elements too; they come after all others
     empty = F.transform(
-        F.slice(F.array_except(F.sequence(F.lit(0), F.col("m") - 1), F.col("own.bucket")), F.lit(1), F.greatest(F.lit(0), F.col("d") + F.col("l") - F.size("own"))),
-        lambda b: F.struct(F.lit(2**62).alias("c"), F.xxhash64("tbl", "j", b, F.lit("empty")).alias("e"), b.alias("bucket")),
+        F.slice(F.array_except(F.sequence(F.lit(0), F.col("m") - 1), F.col("own.bucket")), F.lit(1), F.greatest(F.lit(0), head - F.size("own"))),
+        lambda b: F.struct(F.lit(2**62).alias("c"), F.xxhash64("j", b, F.lit("empty")).alias("e"), b.alias("bucket")),
     )
-    prefix = F.slice(F.concat("own", empty), F.lit(1), F.col("d") + F.col("l"))
-    shared = ranked.withColumn("x", F.filter(prefix, lambda y: y["c"] > 1)).withColumn("x", F.col("x.e"))
+    prefix = F.slice(F.concat("own", empty), F.lit(1), head)
+    shared = ranked.withColumn("x", F.filter(prefix, lambda y: y["c"] > 1)).withColumn("x", F.col("x.e")).where(F.size("x") >= F.col("l"))
     pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.xxhash64(a, b))))
-    groups = F.when(F.col("l") == 1, F.col("x")).otherwise(F.when(F.size("x") >= 2, pairs).otherwise(F.array().cast("array<bigint>")))
-    return shared.select("tbl", "cls", "size", "k", "j", F.explode(F.array_distinct(groups)).alias("g"))
+    groups = F.when(F.col("l") == 1, F.col("x")).otherwise(pairs)
+    return shared.select("id", "size", "j", F.explode(F.array_distinct(groups)).alias("g"))
 
 
 def similar_classes(found: DataFrame, p: SimilarityJoin = SimilarityJoin()) -> DataFrame:
     """(tbl, cls_a, cls_b) of different classes with similarity of at least the threshold, each pair once.
 
-    ``found`` is read several times; pass a materialised frame. No pair is lost: a hot list of postings is
-    joined in parts by Spark's skew handling, and there is no cap.
+    No pair is lost: a hot list of postings is joined in parts by Spark's skew handling, and there is no cap.
     """
     num, den = p.threshold.numerator, p.threshold.denominator
+    lows = F.array(*[F.lit(low) for low, _ in p.intervals()])
     posts = _postings(found, p)
-    a = posts.select("g", "tbl", "j", F.col("cls").alias("cls_a"), F.col("size").alias("size_a"), F.col("k").alias("k_a"))
-    b = posts.select("g", "tbl", "j", F.col("cls").alias("cls_b"), F.col("size").alias("size_b"), F.col("k").alias("k_b"))
-    fits = (F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num) & (F.greatest("k_a", "k_b") == F.col("j"))
-    met = a.join(b, ["g", "tbl", "j"]).where((F.col("cls_a") < F.col("cls_b")) & fits).select("tbl", "cls_a", "cls_b").dropDuplicates()
-    sets = found.select("tbl", "cls", "tokens")
-    met = met.join(sets.select("tbl", F.col("cls").alias("cls_a"), F.col("tokens").alias("t_a")), ["tbl", "cls_a"])
-    met = met.join(sets.select("tbl", F.col("cls").alias("cls_b"), F.col("tokens").alias("t_b")), ["tbl", "cls_b"])
+    a = posts.select("g", "j", F.col("id").alias("id_a"), F.col("size").alias("size_a"))
+    b = posts.select("g", "j", F.col("id").alias("id_b"), F.col("size").alias("size_b"))
+    larger = F.greatest("size_a", "size_b")
+    # each pair counts in the interval of its larger class only
+    fits = (F.least("size_a", "size_b") * den >= larger * num) & (larger >= F.get(lows, F.col("j")))
+    met = a.join(b, ["g", "j"]).where((F.col("id_a") < F.col("id_b")) & fits).select("id_a", "id_b").dropDuplicates()
+    sets = found.select("id", "tokens")
+    met = met.join(sets.select(F.col("id").alias("id_a"), F.col("tokens").alias("t_a")), "id_a")
+    met = met.join(sets.select(F.col("id").alias("id_b"), F.col("tokens").alias("t_b")), "id_b")
     both = F.size(F.array_intersect("t_a", "t_b"))
-    return met.where(both * den >= (F.size("t_a") + F.size("t_b") - both) * num).select("tbl", "cls_a", "cls_b")
+    near = met.where(both * den >= (F.size("t_a") + F.size("t_b") - both) * num).select("id_a", "id_b")
+    names = found.select("id", "tbl", "cls")
+    near = near.join(names.select(F.col("id").alias("id_a"), "tbl", F.col("cls").alias("cls_a")), "id_a")
+    return near.join(names.select(F.col("id").alias("id_b"), F.col("cls").alias("cls_b")), "id_b").select("tbl", "cls_a", "cls_b")
 
 
 def near_duplicates(records: DataFrame, table: str = "tbl", key: str = "key", text: str = "text", p: SimilarityJoin = SimilarityJoin()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): records by class, classes with their number of records, and similar pairs of classes."""
     members, found = classes(records, table, key, text)
-    found = cut(found)
     return members, found, similar_classes(found, p)
 
 
