@@ -28,7 +28,7 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 
 FIRST_YEAR, LAST_YEAR = 1850, 2150
 
-_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\.?)?"
+_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\b\.?)?"
 _ZONE = r"([+-]\d{2}(?::?\d{2})?|[A-Za-z][A-Za-z0-9_+-]*(?:/[A-Za-z0-9_+-]+)*)"
 _TAIL = rf"(?:\s*{_ZONE})?(?:\s*[\[(]\s*{_ZONE}\s*[\])])?"
 _DAYNAME = r"(?:(?:[Mm]on|[Tt]ue|[Ww]ed|[Tt]hu|[Ff]ri|[Ss]at|[Ss]un)[a-z]*\.?,?\s+)?"
@@ -139,11 +139,11 @@ def parse_timestamps(df: DataFrame, text: str, date_order: str | None = None) ->
         (c("days") * 86_400_000_000 + c("clock")).alias("_ts_local"),
         F.coalesce(c("signed") & c("off").isNull(), F.lit(False)).alias("_ts_bad"),
         # counts since 1970, by their number of digits; a fraction may follow seconds
-        F.when(c("size") == 10, c("count") * 1_000_000)
+        F.when(c("whole") != "", n(c("whole")) * 1_000_000 + n(F.rpad(F.substring(c("part"), 1, 6), 6, "0")))
+        .when(c("size") == 10, c("count") * 1_000_000)
         .when(c("size") == 13, c("count") * 1_000)
         .when(c("size") == 16, c("count"))
         .when(c("size") == 19, F.expr("_ts_count div 1000"))
-        .when(c("whole") != "", n(c("whole")) * 1_000_000 + n(F.rpad(F.substring(c("part"), 1, 6), 6, "0")))
         .alias("_ts_counted"),
     )
     # a generator of one row: predicates on the result are not copied into the parser's expressions

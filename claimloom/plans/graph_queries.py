@@ -1,6 +1,6 @@
 """Queries of the graph operators over the tables, and the SQL that gives the same rows.
 
-Doubles are rounded to six places on both sides; arrays are joined to strings. All queries run over the
+Doubles are rounded on both sides (scores to six places, means of evidence to nine, where no ties are); arrays are joined to strings. All queries run over the
 current rows of the whole tables: the last delivery of each key that is not deleted.
 """
 
@@ -45,7 +45,7 @@ def _scored(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) ->
 @_query
 def evidence_support(spark: SparkSession, d: str) -> DataFrame:
     c = load_corpus(spark, d)
-    one = lambda nodes, key, kind: scoring.evidence_support(nodes, key, c, 0.5).select("graph_id", F.lit(kind).alias("kind"), "id", r6("evidence").alias("evidence"))
+    one = lambda nodes, key, kind: scoring.evidence_support(nodes, key, c, 0.5).select("graph_id", F.lit(kind).alias("kind"), "id", F.round("evidence", 9).alias("evidence"))
     return one(c.units, "unit_id", "claim").unionByName(one(c.warrants, "warrant_id", "warrant"))
 
 
@@ -79,7 +79,7 @@ def score_explanations(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def explanation_totals(spark: SparkSession, d: str) -> DataFrame:
     e = scoring.explanation_totals(*_scored(spark, d))
-    return e.select("graph_id", "id", r6("evidence_support").alias("evidence_support"), "incoming", r6("total_influence").alias("total_influence"), r6("final_score").alias("final_score"))
+    return e.select("graph_id", "id", F.round("evidence_support", 9).alias("evidence_support"), "incoming", r6("total_influence").alias("total_influence"), r6("final_score").alias("final_score"))
 
 
 @_query
@@ -461,11 +461,11 @@ _ITEMS = f"""cs AS (
 ), means AS (SELECT graph_id, kind, id, avg(CAST(s AS DOUBLE)) AS m FROM signed WHERE s IS NOT NULL GROUP BY ALL)
 , p AS (SELECT *, greatest(CAST(1e-6 AS DOUBLE), least(1 - CAST(1e-6 AS DOUBLE), (greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), coalesce(score, 0))) + 1) / 2)) AS q FROM nodes)
 , ev AS (
-  SELECT p.graph_id, p.kind, p.id, coalesce(ignore_influence, FALSE) AS skip, CASE WHEN coalesce(is_axiom, FALSE) THEN ln(q / (1 - q)) / 0.5 ELSE coalesce(greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), m)), CAST(0 AS DOUBLE)) END AS evidence
+  SELECT p.graph_id, p.kind, p.id, coalesce(ignore_influence, FALSE) AS skip, CASE WHEN coalesce(is_axiom, FALSE) THEN ln(q / (1 - q)) / 0.5 WHEN m IS NULL THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), m)) END AS evidence
   FROM p LEFT JOIN means ON p.graph_id = means.graph_id AND p.kind = means.kind AND p.id = means.id
 )"""
 _SEED = (_U, _W, _C, _D, _ITEMS)
-SQL["evidence_support"] = _with(*_SEED) + "SELECT graph_id, kind, id, round(CAST(evidence AS DOUBLE), 6) AS evidence FROM ev"
+SQL["evidence_support"] = _with(*_SEED) + "SELECT graph_id, kind, id, round(CAST(evidence AS DOUBLE), 9) AS evidence FROM ev"
 
 
 def _chain(rounds: int, off: str = "coalesce(gate_disabled, FALSE)") -> tuple[str, ...]:
@@ -504,7 +504,7 @@ SQL["gate_scores"] = _RUN + f"SELECT graph_id, edge_idx, round(gate, 6) AS gate
 _EXPLAIN = f"x AS (SELECT rel.*, g.gate, coalesce(s.score, CAST(0 AS DOUBLE)) AS src_score, CASE WHEN rel.kind = 'support' THEN 1 ELSE -1 END * coalesce(s.score, 0) * g.gate AS influence FROM rel JOIN c{_K} t ON rel.graph_id = t.graph_id AND rel.dst = t.id JOIN g{_K} g ON rel.graph_id = g.graph_id AND rel.edge_idx = g.edge_idx LEFT JOIN c{_K} s ON rel.graph_id = s.graph_id AND rel.src = s.id)"
 _RUN_X = _with(*_SEED, _R, _A, *_chain(_K), _EXPLAIN)
 SQL["score_explanations"] = _RUN_X + "SELECT graph_id, 'e' || edge_idx AS edge_id, src, dst, kind, round(gate, 6) AS gate, round(src_score, 6) AS src_score, round(influence, 6) AS influence, gate_mode FROM x"
-SQL["explanation_totals"] = _RUN_X + f"SELECT t.graph_id, t.id, round(t.evidence, 6) AS evidence_support, count(x.edge_idx) AS incoming, round(coalesce(sum(x.influence), CAST(0 AS DOUBLE)), 6) AS total_influence, round(t.score, 6) AS final_score FROM c{_K} t LEFT JOIN x ON t.graph_id = x.graph_id AND t.id = x.dst GROUP BY t.graph_id, t.id, t.evidence, t.score"
+SQL["explanation_totals"] = _RUN_X + f"SELECT t.graph_id, t.id, round(t.evidence, 9) AS evidence_support, count(x.edge_idx) AS incoming, round(coalesce(sum(x.influence), CAST(0 AS DOUBLE)), 6) AS total_influence, round(t.score, 6) AS final_score FROM c{_K} t LEFT JOIN x ON t.graph_id = x.graph_id AND t.id = x.dst GROUP BY t.graph_id, t.id, t.evidence, t.score"
 SQL["warrant_fragility"] = _RUN + f"""
 SELECT y.graph_id, 'e' || y.edge_idx AS edge_id, dst, gate_mode, round(g.gate, 6) AS gate_score, string_agg(wid, ',' ORDER BY pos) AS critical_warrants
 FROM (SELECT x.*, coalesce(s.score, CAST(0.5 AS DOUBLE)) AS v, min(coalesce(s.score, CAST(0.5 AS DOUBLE))) OVER (PARTITION BY x.graph_id, x.edge_idx) AS lo, max(coalesce(s.score, CAST(0.5 AS DOUBLE))) OVER (PARTITION BY x.graph_id, x.edge_idx) AS hi
@@ -559,8 +559,8 @@ SQL["fixed_windows"] = f"""
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS seg_idx, 'seg-' || row_number() OVER (PARTITION BY doc_id ORDER BY s) AS seg_id, w AS text, CAST(s AS INTEGER) AS "start", CAST(least(s + 1000, n) AS INTEGER) AS "end"
 FROM (SELECT doc_id, s, n, substring(text, CAST(s + 1 AS BIGINT), 1000) AS w FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, greatest(length(text) - 101, 0) + 1, 900)) AS s FROM documents WHERE text <> '')) WHERE trim(w, {_BLANKS}) <> ''"""
 SQL["claim_spans"] = """
-SELECT doc_id, claim, CAST(at - 1 AS INTEGER) AS "start", CAST(at - 1 + length(claim) AS INTEGER) AS "end" FROM (
-  SELECT doc_id, claim, strpos(lower(text), lower(claim)) AS at FROM (SELECT DISTINCT doc_id, text, unnest(list_append(tags, title)) AS claim FROM documents WHERE text IS NOT NULL AND tags IS NOT NULL) WHERE claim IS NOT NULL AND claim <> '') WHERE at > 0"""
+SELECT doc_id, claim, CAST(place - 1 AS INTEGER) AS "start", CAST(place - 1 + length(claim) AS INTEGER) AS "end" FROM (
+  SELECT doc_id, claim, strpos(lower(text), lower(claim)) AS place FROM (SELECT DISTINCT doc_id, text, unnest(list_append(tags, title)) AS claim FROM documents WHERE text IS NOT NULL AND tags IS NOT NULL) WHERE claim IS NOT NULL AND claim <> '') WHERE place > 0"""
 _TOK = lambda t, p: f"list_distinct(regexp_extract_all(lower(coalesce({t}, '')), '{p}'))"
 _PAIR = "FROM r JOIN u p ON r.graph_id = p.graph_id AND r.src = p.unit_id JOIN u q ON r.graph_id = q.graph_id AND r.dst = q.unit_id"
 _OVER = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST({e} AS DOUBLE) ELSE len(list_intersect(a, b)) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) END"
@@ -599,7 +599,7 @@ SQL["weighted_claim_credibility"] = _with(
     f"items AS (SELECT graph_id, unit_id, pos, e.id AS ev, TRUE AS inline, {_SAID} AS said FROM (SELECT graph_id, unit_id, unnest(evidence) AS e, generate_subscripts(evidence, 1) AS pos FROM u) WHERE e IS NOT NULL AND e.id IS NOT NULL"
     " UNION ALL SELECT graph_id, unit_id, 1000000 + pos, ev, FALSE, NULL FROM (SELECT graph_id, unit_id, unnest(evidence_ids) AS ev, generate_subscripts(evidence_ids, 1) AS pos FROM u) WHERE ev IS NOT NULL)",
     "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, unit_id, ev ORDER BY pos) AS n FROM items) WHERE n = 1)",
-    "inp AS (SELECT f.graph_id, f.unit_id, CASE WHEN c.card_id IS NOT NULL THEN c.excerpt ELSE said END AS excerpt, CASE WHEN c.card_id IS NOT NULL THEN coalesce(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), confidence)), 0) ELSE 1 END AS trust FROM firsts f LEFT JOIN c ON f.graph_id = c.graph_id AND f.ev = c.card_id WHERE inline OR c.card_id IS NOT NULL)",
+    "inp AS (SELECT f.graph_id, f.unit_id, CASE WHEN c.card_id IS NOT NULL THEN c.excerpt ELSE said END AS excerpt, CASE WHEN c.card_id IS NULL THEN 1 WHEN confidence IS NULL THEN 0 ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), confidence)) END AS trust FROM firsts f LEFT JOIN c ON f.graph_id = c.graph_id AND f.ev = c.card_id WHERE inline OR c.card_id IS NOT NULL)",
     f"sc AS (SELECT graph_id, unit_id, trust, CASE WHEN {_VOID} THEN 0 ELSE (length(coalesce(excerpt, '')) % 21 - 10) / CAST(10 AS DOUBLE) END AS v FROM (SELECT *, lower(excerpt) AS x FROM inp))",
     "t AS (SELECT graph_id, unit_id, CASE WHEN sum(trust) > 0 THEN greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), sum(trust * v) / sum(trust))) ELSE CAST(0 AS DOUBLE) END AS w FROM sc GROUP BY ALL)",
     "y AS (SELECT t.*, CASE WHEN evidence_min IS NULL THEN NULL ELSE greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), evidence_min * 2 - 1)) END AS m FROM t JOIN u ON t.graph_id = u.graph_id AND t.unit_id = u.unit_id)",
