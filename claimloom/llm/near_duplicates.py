@@ -70,16 +70,17 @@ def token_set(text: Column) -> Column:
 def classes(records: DataFrame, table: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of records with equal token sets.
 
-    members: (tbl, cls, key), each record once. classes: (id, tbl, cls, n, tokens), tokens as hashes that differ
-    between tables; they are materialised, so that the numbers in ``id`` stay. Null texts and texts without
-    tokens are left out; deliveries of one key with the same tokens count once.
+    members: (tbl, cls, key), each record once. classes: (id, tbl, cls, n, tokens), n counting rows (deliveries of
+    one record too) and tokens as hashes that differ between tables; they are materialised, so that the numbers
+    in ``id`` stay. Null texts and texts without tokens are left out.
     """
     rows = records.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(table).alias("tbl"), F.col(key).alias("key"), token_set(F.col(text)).alias("t")).where(F.size("t") > 0)
-    rows = rows.select("tbl", "key", F.unhex(F.md5(F.concat_ws(" ", "t"))).alias("cls"), "t")
-    members = rows.select("tbl", "cls", "key").dropDuplicates()
-    found = rows.groupBy("tbl", "cls").agg(F.count_distinct("key").alias("n"), F.first("t").alias("t"))
     tokens = F.transform("t", lambda x: F.xxhash64("tbl", x))
-    return members, cut(found.select(F.monotonically_increasing_id().alias("id"), "tbl", "cls", "n", tokens.alias("tokens")))
+    rows = cut(rows.select("tbl", "key", F.unhex(F.md5(F.concat_ws(" ", "t"))).alias("cls"), tokens.alias("tokens")))
+    members = rows.select("tbl", "cls", "key").dropDuplicates()
+    # the tokens follow from the class; as a grouping key they keep the aggregation a hash aggregation
+    found = rows.groupBy("tbl", "cls", "tokens").agg(F.count("*").alias("n"))
+    return members, cut(found.select(F.monotonically_increasing_id().alias("id"), "tbl", "cls", "n", "tokens"))
 
 
 def _postings(found: DataFrame, p: SimilarityJoin) -> DataFrame:
