@@ -1,0 +1,185 @@
+import json
+
+import pytest
+from helpers import corpus, edges, units, warrants
+
+from claimloom import cli
+from claimloom.operators import mining
+from claimloom.operators import model_hooks as mh
+from claimloom.operators import validate
+from claimloom.operators.corpus import Rejected, add_claims, add_relations, add_unique, add_warrant_attacks, add_warrants, attach_cards, attach_evidence
+from claimloom.sources import graph_json
+
+GRAPH = {
+    "units": {"c1": {"id": "c1", "text": "A", "type": "fact", "spans": [{"doc_id": "d", "start": 0, "end": 1, "text": "A", "page": 3, "modality": "pdf"}],
+                     "evidence": [{"id": "e1", "source": {"type": "text_span", "value": {"doc_id": "doc1", "start": 1, "end": 2, "text": "t"}}, "stance": "supports", "strength": 0.9},
+                                  {"id": "e2", "source": {"evidence_card_id": "k1"}, "stance": "attacks"}], "evidence_ids": ["k1"]},
+              "c2": {"id": "c2", "text": "B", "is_axiom": True, "score": 0.5}},
+    "relations": [{"src": "c1", "dst": "c2", "kind": "support", "weight": 0.7, "warrant_ids": ["w1"], "metadata": {"gate_disabled": True, "note": "n"}}],
+    "metadata": {}, "warrants": {"w1": {"id": "w1", "text": "W"}}, "warrant_attacks": [{"src": "c1", "warrant_id": "w1"}],
+    "evidence_cards": {"k1": {"id": "k1", "title": "T", "supporting_doc_id": "doc1", "excerpt": "x", "confidence": 0.8}},
+    "supporting_documents": {"doc1": {"id": "doc1", "name": "n", "type": "pdf", "url": "u"}},
+    "argument_bundles": {"a1": {"id": "a1", "units": ["c1", "c2"]}},
+}
+
+
+def decoded(spark, *texts):
+    return graph_json.decode_graphs(spark.createDataFrame([(f"g{i}", t) for i, t in enumerate(texts)], "k string, payload string"), "k", "payload")
+
+
+def test_round_trip(spark):
+    c = decoded(spark, json.dumps(GRAPH), None, "{cut", "[]")
+    assert {r["graph_id"] for r in c.units.collect()} == {"g0"}
+    u = {r["unit_id"]: r for r in c.units.collect()}
+    assert u["c1"]["evidence"][0]["source"]["span"]["doc_id"] == "doc1" and json.loads(u["c1"]["evidence"][1]["source"]["structured"]) == {"evidence_card_id": "k1"}
+    assert u["c2"]["is_axiom"] and u["c2"]["type"] == "other" and c.relations.collect()[0]["gate_disabled"] is True
+    text = graph_json.encode_graphs(c).collect()[0]["payload"]
+    again = json.loads(text)
+    assert list(again) == sorted(again) and validate.graph_errors(again) == []
+    assert again["relations"][0]["metadata"] == {"note": "n", "gate_disabled": True}
+    assert again["units"]["c1"]["evidence"][0]["source"]["type"] == "text_span" and again["units"]["c1"]["evidence"][1]["source"] == {"type": "structured", "value": {"evidence_card_id": "k1"}}
+    d = decoded(spark, text)
+    for name in ("units", "warrants", "relations", "warrant_attacks", "evidence_cards", "supporting_documents"):
+        x, y = (sorted(map(str, getattr(z, name).drop("metadata").collect())) for z in (c, d))
+        assert x == y, name
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps(GRAPH))
+    c = graph_json.read_graphs(spark, str(tmp_path))
+    assert {r["graph_id"] for r in c.units.collect()} == {"one"}
+    graph_json.write_graphs(c, str(tmp_path / "out"))
+    assert len(spark.read.text(str(tmp_path / "out")).collect()) == 1
+    (tmp_path / "bad.json").write_text(json.dumps(GRAPH | {"relations": [{"src": "c9", "dst": "c1", "kind": "support"}]}))
+    with pytest.raises(ValueError, match="not a known unit id"):
+        graph_json.read_graphs(spark, str(tmp_path), validate=True)
+
+
+VIOLATIONS = [
+    ([], ["Graph payload must be a dictionary."]),
+    ({}, ["units must be a dictionary of id -> unit.", "relations must be a list."]),
+    ({"units": {}, "relations": [], "metadata": [], "warrants": None, "warrant_attacks": None}, ["metadata must be an object when provided.", "warrants must be an object when provided."]),
+    ({"units": {"c1": 1, "c2": {"id": "x", "spans": {}, "evidence_min": "1", "score": True, "is_axiom": 1, "metadata": None}}, "relations": []},
+     ["unit 'c1' must be an object.", "unit 'c2' must include 'id' and 'text'.", "unit 'c2' id field does not match its key.", "unit 'c2' spans must be a list.", "unit 'c2' evidence_min must be a number.", "unit 'c2' is_axiom must be a boolean.", "unit 'c2' metadata must be an object."]),
+    (GRAPH | {"relations": [{"src": "c9", "dst": "c1"}, 1, {"src": "c1", "dst": "c2", "kind": "x", "warrant_ids": ["w9"], "gate_mode": "XOR"}]},
+     ["relation[0] missing 'kind'.", "relation[0] src 'c9' is not a known unit id.", "relation[1] must be an object.", "relation[2] warrant_id 'w9' is not a known warrant.", "relation[2] gate_mode must be AND or OR."]),
+    (GRAPH | {"warrant_attacks": [1, {}, {"src": "zz", "warrant_id": "yy"}]},
+     ["warrant_attacks[0] must be an object.", "warrant_attacks[1] missing 'src' or 'warrant_id'.", "warrant_attacks[2] src 'zz' is not a known unit id.", "warrant_attacks[2] warrant_id 'yy' is not a known warrant."]),
+    (GRAPH | {"evidence_cards": {"k2": {"id": "k2", "title": "t", "supporting_doc_id": "nope"}}}, ["unit 'c1' evidence_id 'k1' is not a known evidence card.", "evidence_card 'k2' references unknown supporting_doc_id."]),
+    (GRAPH | {"argument_bundles": {"a": {"id": "b", "units": ["c7"]}}, "supporting_documents": {"doc1": {"id": "doc1", "name": "n", "trust": "x"}}},
+     ["supporting_document 'doc1' trust must be a number.", "argument_bundle 'a' id field does not match its key.", "argument_bundle 'a' references unknown unit 'c7'."]),
+    (GRAPH, []),
+]
+
+
+@pytest.mark.parametrize(("data", "want"), VIOLATIONS)
+def test_rules(data, want):
+    assert validate.graph_errors(data) == want
+
+
+def test_violations_as_rows(spark):
+    df = spark.createDataFrame([("a", json.dumps(GRAPH)), ("b", "{}"), ("c", None), ("d", "{")], "k string, payload string")
+    got = [(r["k"], r["error_ord"]) for r in validate.payload_violations(df, "k", "payload").collect()]
+    assert sorted(got) == [("b", 0), ("b", 1), ("c", 0), ("d", 0)]
+    with pytest.raises(ValueError, match="Invalid graph payload:\n- units"):
+        validate.require_valid({})
+
+
+def test_cli(tmp_path, capsys, spark):
+    path = tmp_path / "g.json"
+    path.write_text(json.dumps(GRAPH))
+    assert cli.main(["validate", str(path)]) == 0 and capsys.readouterr().out == "OK\n"
+    assert cli.main(["version"]) == 0
+    capsys.readouterr()
+    assert cli.main(["dot", str(path), "--validate"]) == 0 and '"c1" -> "c2"' in capsys.readouterr().out
+    assert cli.main(["diagnostics", str(path)]) == 0
+    d = json.loads(capsys.readouterr().out)
+    assert d["node_count"] == 2 and d["reachability"] == {"c1": ["c2"], "c2": []} and d["axioms"]["claims"] == ["c2"]
+
+
+def test_building(spark):
+    c = corpus(spark, units=units("c1", "c7"), warrants=warrants("w3"))
+    new = spark.createDataFrame([("g", None, 0, "new"), ("g", "c1", 1, "changed"), ("g", None, 2, "newer"), ("h", None, 0, "other")], "graph_id string, unit_id string, ord int, text string")
+    c = add_claims(c, new)
+    assert {(r["graph_id"], r["unit_id"], r["ord"], r["text"]) for r in c.units.collect()} == {("g", "c1", 0, "changed"), ("g", "c7", 1, "text c7"), ("g", "c8", 2, "new"), ("g", "c9", 3, "newer"), ("h", "c1", 0, "other")}
+    c = add_warrants(c, spark.createDataFrame([("g", None, 0, "w")], "graph_id string, warrant_id string, ord int, text string"))
+    assert {r["warrant_id"] for r in c.warrants.collect()} == {"w3", "w4"}
+    rel = spark.createDataFrame([("g", 0, "c1", "c7", "support"), ("g", 1, "c7", "zz", "attack")], "graph_id string, ord int, src string, dst string, kind string")
+    c = add_relations(add_relations(c, rel), rel)
+    assert sorted((r["edge_idx"], r["src"], r["gate_mode"]) for r in c.relations.collect()) == [(0, "c1", "OR"), (1, "c7", "OR"), (2, "c1", "OR"), (3, "c7", "OR")]
+    attack = spark.createDataFrame([("g", 0, "zz", "w4")], "graph_id string, ord int, src string, warrant_id string")
+    assert add_warrant_attacks(c, attack).warrant_attacks.collect()[0]["kind"] == "attack"
+    with pytest.raises(Rejected, match="unknown warrant"):
+        add_warrant_attacks(c, spark.createDataFrame([("g", 0, "c1", "w9")], attack.schema))
+    card = corpus(spark, evidence_cards=[{"card_id": "k", "ord": 0, "title": "t", "supporting_doc_id": "d", "excerpt": "x", "confidence": 0.4}]).evidence_cards
+    c = add_unique(c, card, "evidence_cards")
+    with pytest.raises(Rejected, match="exists already"):
+        add_unique(c, card, "evidence_cards")
+    assert add_unique(c, card, "evidence_cards", overwrite=True).evidence_cards.count() == 1
+    at = spark.createDataFrame([("g", "c1", "k", 0, "e1", None), ("g", "c1", "k", 1, "e2", "attacks")], "graph_id string, unit_id string, card_id string, ord int, evidence_id string, stance string")
+    u = {r["unit_id"]: r for r in attach_cards(c, at).units.where("graph_id = 'g'").collect()}
+    assert [(e["id"], e["stance"], e["strength"]) for e in u["c1"]["evidence"]] == [("e1", "supports", 0.4), ("e2", "attacks", 0.4)] and u["c1"]["evidence_ids"] == ["k"] and u["c7"]["evidence"] is None
+    with pytest.raises(Rejected, match="unknown target"):
+        attach_evidence(c, spark.createDataFrame([("g", "nope", 0)], "graph_id string, unit_id string, ord int"))
+
+
+def test_answers():
+    assert mh.tolerant_json('x ```json\n{"a": 1}\n``` y') == {"a": 1} and mh.tolerant_json('say {"a": 2} ok') == {"a": 2} and mh.tolerant_json("no") == {} and mh.tolerant_json(None) == {}
+    assert mh.parse_claim_type('{"claim_type": "Factual", "confidence": 3}') == {"claim_type": "fact", "confidence": 1.0, "rationale": None}
+    assert mh.parse_edge('{"evaluation": "attacks", "score": -4, "rationale": " r "}') == {"evaluation": "attack", "score": -1.0, "rationale": "r"}
+    assert mh.parse_assumptions('[{"assumption": "a"}, {"assumption": ""}, {"assumption": "b", "importance": 2}, {"assumption": "c"}]', 2) == [{"assumption": "a", "rationale": None, "importance": None}, {"assumption": "b", "rationale": None, "importance": 1.0}]
+    assert mh.parse_relations('{"relations": [{"src": "c1", "dst": "c1", "kind": "support"}, {"src": "c1", "dst": "c2", "kind": "Rebut"}, {"src": "c1", "dst": "c2", "kind": "x"}]}') == [{"src": "c1", "dst": "c2", "kind": "rebut", "rationale": None}]
+    assert mining.parse_segments('[{"text": "ab"}, {"id": "s", "text": "c", "start": 5}, 1]') == [{"seg_id": "seg-1", "text": "ab", "start": 0, "end": 2}, {"seg_id": "s", "text": "c", "start": 5, "end": 1}]
+    assert mh._dig('{"choices": [{"message": {"content": "hi"}}]}', "choices", 0, "message", "content") == "hi" and mh._dig("raw", "x") == "raw" and mh._dig("{}", "x") == ""
+    assert mh.Hook(mh.OfflineClient("r"), mh.CLAIM_TEMPLATE).run(input="t") == "r" and '{"claims"' in mh.CLAIM_TEMPLATE.render(input="t")
+
+
+def credibility(spark, answer, **more):
+    u = units("a", "b")
+    u[0]["evidence_ids"] = ["k1", "k2"]
+    cards = [{"card_id": k, "ord": i, "excerpt": k, "confidence": c} for i, (k, c) in enumerate((("k1", 1.0), ("k2", 0.2)))]
+    c = corpus(spark, **{"units": u, "evidence_cards": cards} | more)
+    return {r["unit_id"]: (round(r["claim_score"], 6), round(r["weighted_score"], 6), r["score_source"]) for r in mh.score_claims(c, mh.OfflineClient(json.dumps(answer))).collect()}
+
+
+def test_credibility(spark):
+    scores = [{"evidence_id": "k1", "score": 1}, {"evidence_id": "k2", "score": -1}]
+    assert credibility(spark, {"evidence": scores}) == {"a": (0.666667, 0.666667, "weighted"), "b": (0.0, 0.0, "none")}
+    assert credibility(spark, {"claim_score": -0.4, "evidence": scores})["a"] == (-0.4, 0.666667, "llm")
+    assert credibility(spark, {"claim_score": 0.9, "evidence": [{"evidence_id": "k1", "score": 1, "rationale": "Only INDIRECT"}]})["a"] == (0.0, 0.0, "weighted_consistency")
+    assert credibility(spark, {"claim_score": "x", "evidence": []})["a"] == (0.0, 0.0, "weighted")
+
+
+def test_edges_and_assumptions(spark):
+    c = corpus(spark, units=units("a", "b"), relations=edges(("a", "b", "support", []), ("a", "zz", "attack", [])))
+    assert [(r["edge_idx"], r["evaluation"]) for r in mh.judge_edges(c, mh.OfflineClient('{"evaluation": "support", "score": 0.5}')).collect()] == [(0, "support")]
+    assert mh.missing_assumptions(c).collect() == []
+    got = mh.missing_assumptions(c, mh.OfflineClient('{"assumptions": [{"assumption": "x"}]}')).collect()
+    assert [(r["edge_idx"], r["assumptions"][0]["assumption"]) for r in got] == [(0, "x")]
+
+
+def test_pipeline(spark):
+    df = spark.createDataFrame([("d1", "First.\n\nSecond."), ("d2", "Nothing here.")], "doc_id string, text string")
+    client = mh.OfflineClient("none", {"Text:\nFirst": '{"claims": [{"text": "First", "type": "FACT"}]}', "Text:\nSecond": '{"claims": [{"text": "second"}, {"text": "FIRST"}]}', "Claims:": '{"relations": [{"src": "c1", "dst": "c2", "kind": "support"}, {"src": "c1", "dst": "c9", "kind": "support"}]}'})
+    u, r = mining.Pipeline(client).run(df, "doc_id", "text")
+    assert sorted((x["doc_id"], x["unit_id"], x["text"], x["type"], x["start"], x["llm_fallback"]) for x in u.collect()) == [("d1", "c1", "First", "fact", 0, False), ("d1", "c2", "second", "other", 8, False), ("d2", "c1", "Nothing here.", "other", 0, True)]
+    assert [tuple(x) for x in r.select("doc_id", "src", "dst", "kind").collect()] == [("d1", "c1", "c2", "support")]
+    hooked = {x["doc_id"]: x for x in mining.hooked_miner(df, "doc_id", "text", mh.OfflineClient("```json\n" + json.dumps(GRAPH) + "\n```")).collect()}
+    assert not hooked["d1"]["fallback"] and json.loads(hooked["d1"]["graph"]) == GRAPH
+    bad = mining.hooked_miner(df, "doc_id", "text", mh.OfflineClient("x" * 900)).collect()
+    assert all(x["fallback"] and len(x["response"]) == 500 and x["errors"] for x in bad)
+
+
+def test_long_documents(spark):
+    df = spark.createDataFrame([("d", "Cats purr. Dogs bark.\n\nDOGS BARK. Fish swim.")], "doc_id string, text string")
+    got = {r["new_id"]: (r["text"], len(r["source_unit_ids"]), r["segments"], [tuple(s) for s in r["spans"]]) for r in mining.mine_long(df, "doc_id", "text").collect()}
+    assert got == {"c1": ("Cats purr.", 1, 1, [(0, 10)]), "c2": ("Dogs bark.", 2, 2, [(10, 21), (23, 33)]), "c3": ("Fish swim.", 1, 1, [(33, 44)])}
+
+
+def test_streamed_ingest(spark, tmp_path):
+    from claimloom.streaming.ingest import ingest_payloads, payload_stream
+
+    spark.createDataFrame([("g1", json.dumps(GRAPH))], "payload_id string, payload string").write.parquet(str(tmp_path / "in"))
+    q = ingest_payloads(payload_stream(spark, str(tmp_path / "in"), "payload_id string, payload string"), "payload_id", "payload", str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out" / "units")).count() == 2
