@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators.grouped import per_group
 from claimloom.session import cut
 
 KERNEL_EDGES = 100_000
@@ -166,15 +166,11 @@ def _per_graph(units: DataFrame, edges: DataFrame, schema: str, kernel: Callable
     long_form = units.select("graph_id", F.lit(False).alias("edge"), ordinal.cast("int").alias("at"), F.col("unit_id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(
         edges.select("graph_id", F.lit(True).alias("edge"), F.col("edge_idx").cast("int").alias("at"), F.col("src").alias("a"), F.col("dst").alias("b"))
     )
-    names = [x.strip().split(" ")[0] for x in ("graph_id string, " + schema).split(",")]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["edge", "at", "a"], kind="stable")
-        e = rows[rows["edge"]]
-        found = kernel(rows.loc[~rows["edge"], "a"].tolist(), list(zip(e["a"], e["b"], strict=True)))
-        return pd.DataFrame([(rows["graph_id"].iloc[0], *x) for x in found], columns=names)
+    def run(rows: list[tuple]) -> list[tuple]:
+        return kernel([r[3] for r in rows if not r[1]], [(r[3], r[4]) for r in rows if r[1]])
 
-    return long_form.groupBy("graph_id").applyInPandas(run, "graph_id string, " + schema)
+    return per_group(long_form, "graph_id", ["edge", "at", "a"], schema, run)
 
 
 def _split(units: DataFrame, edges: DataFrame, limit: int) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import strip
+from claimloom.operators.grouped import per_group
 from claimloom.session import cut
 
 
@@ -92,14 +92,8 @@ def unit_map(units: DataFrame, p: MergePolicy = MergePolicy()) -> DataFrame:
     else:
         similarity, threshold = p.similarity, p.threshold
 
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["a", "b", "c"], kind="stable")
-            found = greedy_keys(group["_key"].tolist(), similarity, threshold)
-            return pd.DataFrame([(group["doc_id"].iloc[0], *x) for x in found], columns=["doc_id", "_key", "_root", "match_score"])
-
         flat = seen.select("doc_id", "_key", F.col("_first.seg_ord").alias("a"), F.col("_first.ord").alias("b"), F.col("_first.unit_id").alias("c"))
-        kind = units.schema["doc_id"].dataType.simpleString()
-        found = flat.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, _key string, _root string, match_score double")
+        found = per_group(flat, "doc_id", ["a", "b", "c"], "_key string, _root string, match_score double", lambda rows: greedy_keys([r[1] for r in rows], similarity, threshold))
         roots = found.join(seen, ["doc_id", "_key"])
     heads = roots.where(F.col("_key") == F.col("_root")).select("doc_id", "_root", "_first.*")
     numbered = ordered_rank(heads, ["doc_id"], ["seg_ord", "ord", "unit_id"], "_n").select("doc_id", "_root", F.concat(F.lit("c"), (F.col("_n") + 1).cast("string")).alias("new_id"))
@@ -169,18 +163,17 @@ def merge_claims(claims: DataFrame, similarity: Callable[[str, str], float] = ja
 
     In order of (seg_ord, ord), a claim joins the first earlier kept claim that is similar enough, or becomes c1, c2, ....
     """
-    kind = claims.schema["doc_id"].dataType.simpleString()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["seg_ord", "ord", "claim_id"], kind="stable")
+    def run(rows: list[tuple]) -> list[tuple]:
         kept: list[tuple[str, str]] = []
         out = []
-        for r in group.itertuples(index=False):
-            key = (r.text or "").strip().lower()
+        for _, segment, _, _, claim, text in rows:
+            key = (text or "").strip().lower()
             hit = next((i for i, k in kept if similarity(key, k) >= threshold), None)
             if hit is None:
                 kept.append((f"c{len(kept) + 1}", key))
-            out.append((r.doc_id, r.segment_id, r.claim_id, hit or kept[-1][0], hit is not None))
-        return pd.DataFrame(out, columns=["doc_id", "segment_id", "claim_id", "new_id", "merged"])
+            out.append((segment, claim, hit or kept[-1][0], hit is not None))
+        return out
 
-    return claims.select("doc_id", "segment_id", "seg_ord", "ord", "claim_id", "text").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, segment_id string, claim_id string, new_id string, merged boolean")
+    rows = claims.select("doc_id", "segment_id", "seg_ord", "ord", "claim_id", "text")
+    return per_group(rows, "doc_id", ["seg_ord", "ord", "claim_id"], "segment_id string, claim_id string, new_id string, merged boolean", run)

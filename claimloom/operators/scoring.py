@@ -8,15 +8,14 @@ own convergence, so its number of rounds does not depend on the rest of the corp
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.operators.corpus import Corpus, edge_id
+from claimloom.operators.grouped import per_group
 from claimloom.session import cut
 
 
@@ -151,23 +150,26 @@ def _loop(claims: DataFrame, warrants: DataFrame, edges: DataFrame, attacks: Dat
     return union(done_claims), union(done_warrants)
 
 
-def iterate_graph(rows: pd.DataFrame, cfg: ScoringConfig) -> pd.DataFrame:
-    """The fixpoint of one graph given in long form; returns (kind, id, score, iterations) of claims and warrants."""
-    part = {k: g for k, g in rows.groupby("kind", sort=False)}
-    empty = rows.iloc[:0]
-    claims, warrants, edges, attacks = (part.get(k, empty) for k in ("claim", "warrant", "edge", "attack"))
-    edges = edges.sort_values("ord", kind="stable")
-    c_at, w_at = ({k: i for i, k in enumerate(x["id"])} for x in (claims, warrants))
-    c_ev, w_ev = claims["value"].to_numpy(float), warrants["value"].to_numpy(float)
-    c_skip, w_skip = claims["flag"].to_numpy(bool), warrants["flag"].to_numpy(bool)
+def iterate_graph(rows: list[tuple], cfg: ScoringConfig) -> list[tuple]:
+    """The fixpoint of one graph given in long form; (kind, id, score, iterations) of its claims and warrants.
+
+    Rows are (graph, kind, place, id, src, value, flag, both, warrant ids), edges in the order of their place.
+    """
+    part: dict[str, list[tuple]] = {"claim": [], "warrant": [], "edge": [], "attack": []}
+    for r in rows:
+        part[r[1]].append(r)
+    claims, warrants, edges, attacks = part["claim"], part["warrant"], part["edge"], part["attack"]
+    c_at, w_at = ({r[3]: i for i, r in enumerate(x)} for x in (claims, warrants))
+    c_ev, w_ev = (np.array([r[5] for r in x], dtype=float) for x in (claims, warrants))
+    c_skip, w_skip = (np.array([r[6] for r in x], dtype=bool) for x in (claims, warrants))
     nc, nw = len(c_ev), len(w_ev)
     place = lambda at, ids, miss: np.array([at.get(i, miss) for i in ids], dtype=np.int64)
     # one slot more at the end: claims that are missing score 0 there, warrants 0.5
-    a_src, a_dst = place(c_at, attacks["src"], nc), place(w_at, attacks["id"], -1)
+    a_src, a_dst = place(c_at, [r[4] for r in attacks], nc), place(w_at, [r[3] for r in attacks], -1)
     a_src, a_dst = a_src[a_dst >= 0], a_dst[a_dst >= 0]
-    e_src, e_dst, sign = place(c_at, edges["src"], nc), place(c_at, edges["id"], -1), edges["value"].to_numpy(float)
-    off, both = edges["flag"].to_numpy(bool), edges["both"].to_numpy(bool)
-    lists = [[] if w is None else list(w) for w in edges["ids"]]
+    e_src, e_dst = place(c_at, [r[4] for r in edges], nc), place(c_at, [r[3] for r in edges], -1)
+    sign, off, both = np.array([r[5] for r in edges], dtype=float), np.array([r[6] for r in edges], dtype=bool), np.array([r[7] for r in edges], dtype=bool)
+    lists = [[] if r[8] is None else list(r[8]) for r in edges]
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
     flat = place(w_at, [w for x in lists for w in x], nw)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
@@ -199,17 +201,7 @@ def iterate_graph(rows: pd.DataFrame, cfg: ScoringConfig) -> pd.DataFrame:
         c, w = c_new, w_new
         if change < cfg.epsilon:
             break
-    out = pd.DataFrame({"kind": ["claim"] * nc + ["warrant"] * nw, "id": [*claims["id"], *warrants["id"]], "score": np.concatenate([c, w]), "iterations": n})
-    return out
-
-
-def _kernel(cfg: ScoringConfig) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = iterate_graph(rows, cfg)
-        out.insert(0, "graph_id", rows["graph_id"].iloc[0])
-        return out
-
-    return run
+    return [("claim", r[3], float(x), n) for r, x in zip(claims, c, strict=True)] + [("warrant", r[3], float(x), n) for r, x in zip(warrants, w, strict=True)]
 
 
 def score_corpus(c: Corpus, cfg: ScoringConfig = CREDIBILITY) -> Scores:
@@ -233,7 +225,7 @@ def score_corpus(c: Corpus, cfg: ScoringConfig = CREDIBILITY) -> Scores:
         .unionByName(small(edges).select("graph_id", F.lit("edge").alias("kind"), F.col("edge_idx").alias("ord"), F.col("dst").alias("id"), "src", F.col("sign").alias("value"), F.col("off").alias("flag"), "both", F.col("warrant_ids").alias("ids")))
         .unionByName(small(attacks).select("graph_id", F.lit("attack").alias("kind"), F.col("attack_idx").alias("ord"), F.col("warrant_id").alias("id"), "src", F.lit(0.0).alias("value"), F.lit(False).alias("flag"), F.lit(False).alias("both"), null("array<string>").alias("ids")))
     )
-    solved = cut(long_form.groupBy("graph_id").applyInPandas(_kernel(cfg), "graph_id string, kind string, id string, score double, iterations int"))
+    solved = cut(per_group(long_form, "graph_id", ["kind", "ord"], "kind string, id string, score double, iterations int", lambda rows: iterate_graph(rows, cfg)))
 
     def finished(nodes: DataFrame, kind: str) -> DataFrame:
         known = solved.where(F.col("kind") == kind).select(F.coalesce("graph_id", F.lit("")).alias("_g"), F.col("graph_id").isNull().alias("_n"), "id", F.col("score").alias("_score"), "iterations")
