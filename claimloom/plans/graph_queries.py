@@ -30,6 +30,12 @@ def _query(f: Query) -> Query:
     return f
 
 
+def _query_both(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Registers f twice: under its name with the fixed rounds that its SQL unrolls, and as NAME_converged by the preset's own stop rule."""
+    QUERIES[f"{f.__name__}_converged"] = lambda spark, d: f(spark, d, scoring.CREDIBILITY)
+    return _query(f)
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -54,14 +60,14 @@ def claim_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)[1].claims.select("graph_id", "id", r6("initial").alias("initial"), r6("score").alias("score"))
 
 
-@_query
-def warrant_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d)[1].warrants.select("graph_id", "id", r6("initial").alias("initial"), r6("score").alias("score"))
+@_query_both
+def warrant_scores(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
+    return _scored(spark, d, cfg)[1].warrants.select("graph_id", "id", r6("initial").alias("initial"), r6("score").alias("score"))
 
 
-@_query
-def gate_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d)[1].gates.select("graph_id", "edge_idx", r6("gate").alias("gate"))
+@_query_both
+def gate_scores(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
+    return _scored(spark, d, cfg)[1].gates.select("graph_id", "edge_idx", r6("gate").alias("gate"))
 
 
 @_query
@@ -70,21 +76,21 @@ def claim_scores_converged(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, scoring.CREDIBILITY)[1].claims.select("graph_id", "id", r6("score").alias("score"), "iterations")
 
 
-@_query
-def score_explanations(spark: SparkSession, d: str) -> DataFrame:
-    e = scoring.explanations(*_scored(spark, d))
+@_query_both
+def score_explanations(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
+    e = scoring.explanations(*_scored(spark, d, cfg))
     return e.select("graph_id", "edge_id", "src", "dst", "kind", r6("gate").alias("gate"), r6("src_score").alias("src_score"), r6("influence").alias("influence"), "gate_mode")
 
 
-@_query
-def explanation_totals(spark: SparkSession, d: str) -> DataFrame:
-    e = scoring.explanation_totals(*_scored(spark, d))
+@_query_both
+def explanation_totals(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
+    e = scoring.explanation_totals(*_scored(spark, d, cfg))
     return e.select("graph_id", "id", F.round("evidence_support", 9).alias("evidence_support"), "incoming", r6("total_influence").alias("total_influence"), r6("final_score").alias("final_score"))
 
 
-@_query
-def warrant_fragility(spark: SparkSession, d: str) -> DataFrame:
-    f = scoring.warrant_fragility(*_scored(spark, d))
+@_query_both
+def warrant_fragility(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
+    f = scoring.warrant_fragility(*_scored(spark, d, cfg))
     return f.select("graph_id", "edge_id", "dst", "gate_mode", r6("gate_score").alias("gate_score"), F.array_join("critical_warrants", ",").alias("critical_warrants"))
 
 
@@ -100,9 +106,9 @@ def _gated(c: Corpus) -> Corpus:
     return replace(c, relations=patterns.apply_gate_actions(c.relations, matches))
 
 
-@_query
-def claim_scores_after_gating(spark: SparkSession, d: str) -> DataFrame:
-    s = scoring.score_corpus(_gated(load_corpus(spark, d)), FIXED)
+@_query_both
+def claim_scores_after_gating(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
+    s = scoring.score_corpus(_gated(load_corpus(spark, d)), cfg)
     return s.claims.select("graph_id", "id", r6("score").alias("score"))
 
 
