@@ -6,20 +6,22 @@ repeated steps of the path are there). From these sequences alone the rows of ev
 rebuilt, each with the ordinals and keys of its parents. Both steps are narrow: nothing is shuffled.
 
 A path is a dotted string. ``name`` is a field, ``name[]`` a list, ``name{}`` an object keyed by ids whose
-keys are data. ``units{}.evidence[].id`` is the id of each element of each unit's list.
+keys are data. ``units{}.evidence[].id`` is the id of each element of each unit's list. ``name#json`` is a
+whole value as JSON text with sorted keys, ``name.#rest`` what an object holds beside its other paths.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS_SCHEMA = "columns array<struct<path: string, r: array<tinyint>, d: array<tinyint>, v: array<string>>>"
-KEY = "#key"
+KEY, JSON, REST = "#key", "#json", "#rest"
 
 
 def _steps(path: str) -> list[tuple[str, str]]:
@@ -48,6 +50,25 @@ def _scalar(value: object) -> str | None:
     return json.dumps(value)
 
 
+def _json(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+
+def _rest(value: object, node: dict) -> str | None:
+    """What of the value no path below the node takes, as JSON: unknown fields, and values of another shape than their paths'."""
+    if not isinstance(value, dict):
+        return None if node["own_leaf"] and _scalar(value) is not None else _json(value)
+
+    def fits(k: str, x: object) -> bool:
+        for (name, kind), child in node["children"].items():
+            if name == k and (x is None or (isinstance(x, list if kind == "list" else dict) if kind != "field" else child["json_leaf"] or (child["own_leaf"] and _scalar(x) is not None) or (child["children"] and isinstance(x, dict)))):
+                return True
+        return False
+
+    rest = {k: x for k, x in value.items() if not fits(k, x)}
+    return _json(rest) if rest else None
+
+
 def shred_record(record: dict, tree: dict) -> dict[str, tuple[list[int], list[int], list[str | None]]]:
     """Levels and values of all leaves of ``tree`` (see ``_tree``) in one record."""
     out: dict[str, tuple[list[int], list[int], list[str | None]]] = {p: ([], [], []) for p in tree["leaves"]}
@@ -69,6 +90,10 @@ def shred_record(record: dict, tree: dict) -> dict[str, tuple[list[int], list[in
         if node["own_leaf"]:
             text = _scalar(value)
             put(node["own_leaf"], r, d if text is not None else d - 1, text)
+        if node["json_leaf"]:
+            put(node["json_leaf"], r, d, _json(value))
+        if node["rest_leaf"]:
+            put(node["rest_leaf"], r, d, _rest(value, node))
         for (name, kind), child in node["children"].items():
             below = value.get(name) if isinstance(value, dict) else None
             if kind == "field":
@@ -100,17 +125,17 @@ def shred_record(record: dict, tree: dict) -> dict[str, tuple[list[int], list[in
 
 def _tree(paths: Sequence[str]) -> dict:
     def node() -> dict:
-        return {"children": {}, "own_leaf": None, "key_leaf": None, "leaves": []}
+        return {"children": {}, "own_leaf": None, "key_leaf": None, "json_leaf": None, "rest_leaf": None, "leaves": []}
 
     root = node()
     for path in paths:
-        key = path.endswith(KEY)
+        bare, _, tag = path.partition("#")
         at = root
         at["leaves"].append(path)
-        for step in _steps(path[: -len(KEY)] if key else path):
+        for step in _steps(bare.removesuffix(".")) if bare else ():
             at = at["children"].setdefault(step, node())
             at["leaves"].append(path)
-        at["key_leaf" if key else "own_leaf"] = path
+        at[f"{tag or 'own'}_leaf"] = path
     return root
 
 
@@ -245,6 +270,91 @@ def payload_tables(payloads: DataFrame) -> DataFrame:
     return assemble(levels, ["payload_id"], [UNIT, EVIDENCE, BUNDLE, BUNDLE_RELATION])
 
 
+_SPAN = ("doc_id", "start:bigint", "end:bigint", "text", "page:bigint", "bbox#json", "modality")
+_NODE = ("id", "text", "type", "score:double", "is_axiom:boolean", "ignore_influence:boolean", "metadata#json")
+_RELATION = ("src", "dst", "kind", "gate_mode", "weight:double", "rationale", "metadata#json")
+_SOURCE = (*_SPAN, "evidence_card_id", "dataset.name", "dataset.rows#json", "note")
+#: Flat tables of a payload: the repeated steps whose elements are their rows, and the fields of these, with a type or as JSON.
+TABLES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "units": (("units{}",), (*_NODE, "evidence_min:double", "evidence_max:double")),
+    "warrants": (("warrants{}",), _NODE),
+    "evidence": (("units{}.evidence[]", "warrants{}.evidence[]"), ("id", "stance", "strength:double", "quality#json", "source#json", "source.type", *(f"source.{v}{x}" for x in _SOURCE for v in ("value.", "")))),
+    "spans": (("units{}.spans[]", "warrants{}.spans[]"), _SPAN),
+    "relations": (("relations[]", "argument_bundles{}.relations[]"), _RELATION),
+    "warrant_attacks": (("warrant_attacks[]",), ("src", "warrant_id", "kind", "rationale", "metadata#json")),
+    "bundles": (("argument_bundles{}",), ("id", "metadata#json")),
+    "cards": (("evidence_cards{}",), ("id", "title", "supporting_doc_id", "excerpt", "confidence:double", "metadata#json")),
+    "documents": (("supporting_documents{}",), ("id", "name", "type", "url", "trust:double", "size:double", "upload_date", "uploader", "metadata#json")),
+    "lists": (("units{}.evidence_ids[]", "warrants{}.evidence_ids[]", "argument_bundles{}.units[]", "relations[].warrant_ids[]", "argument_bundles{}.relations[].warrant_ids[]"), ("",)),
+}
+
+
+def _below(ancestor: str, field: str) -> str:
+    return f"{ancestor}.{field}" if field else ancestor
+
+
+def _table_paths(tables: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> list[str]:
+    out = ["#rest"]
+    for ancestors, fields in tables.values():
+        for a in ancestors:
+            out += [*([a + KEY] if a.endswith("{}") else []), *(_below(a, x.partition(":")[0]) for x in fields), f"{a}.{REST}"]
+    return out
+
+
+def flat_table(levels: DataFrame, keep: Sequence[str], ancestors: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """One row per element that is not null: ``keep``, place, key, parent_pos, pos, the fields, rest.
+
+    place is the element's repeated path and key the key of the object above (or of the element itself, in an object by
+    ids). pos is the position in its list, null elements included, and parent_pos that of the list's owner, if it stands in
+    a list too. A source's fields are those of its ``value``, else its own. rest is JSON of what no other column holds.
+    """
+    t = assemble(levels, keep, ancestors).where("present")
+    own = lambda x: F.coalesce(*[F.try_element_at("fields", F.lit(_below(a, x))) for a in ancestors])
+    columns: dict[str, list[Column]] = {}
+    for x in fields:
+        path, _, kind = x.partition(":")
+        name = path.partition("#")[0].replace("source.value.", "source.").replace(".", "_") or "value"
+        columns.setdefault(name, []).append(own(path).try_cast(kind) if kind else own(path))
+    at_list = lambda k: F.when(F.get(F.split("ancestor", r"\."), F.size(F.split("ancestor", r"\.")) + k).endswith("[]"), F.try_element_at("ordinals", F.lit(k)))
+    return t.select(
+        *keep, F.col("ancestor").alias("place"), F.get("keys", F.lit(0)).alias("key"), at_list(-2).alias("parent_pos"), at_list(-1).alias("pos"),
+        *[F.coalesce(*c).alias(n) for n, c in columns.items()], own(REST).alias("rest"),
+    ).dropDuplicates()
+
+
+def payload_table(payloads: DataFrame, name: str) -> DataFrame:
+    """One of ``TABLES`` of the graph payloads. Repeated deliveries of a payload come out once."""
+    return flat_table(shred(payloads, "payload", ["payload_id"], _table_paths(TABLES)), ["payload_id"], *TABLES[name])
+
+
+def payload_rest(payloads: DataFrame) -> DataFrame:
+    """(payload_id, rest): JSON of what a payload holds beside its ``TABLES``, as its metadata; null if nothing."""
+    levels = shred(payloads, "payload", ["payload_id"], _table_paths(TABLES))
+    rest = F.get(F.filter("columns", lambda c: c["path"] == REST), F.lit(0))["v"]
+    return levels.select("payload_id", F.get(rest, F.lit(0)).alias("rest")).dropDuplicates()
+
+
+#: Flat tables of the array columns of units and warrants.
+_TABLE_SOURCE = ("source.kind", *(f"source.span.{x}" for x in _SPAN), "source.structured")
+ARRAYS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "evidence": (("evidence[]",), ("id", "stance", "strength:double", "quality", *_TABLE_SOURCE)),
+    "spans": (("spans[]",), _SPAN),
+    "evidence_ids": (("evidence_ids[]",), ("",)),
+}
+
+
+def array_table(nodes: dict[str, tuple[DataFrame, str]], name: str) -> DataFrame:
+    """One of ``ARRAYS``: (table_name, graph_id, owner_key, pos, fields) of tables given with their key columns.
+
+    The last delivery of each key counts, deleted or not.
+    """
+    keep = ["table_name", "graph_id", "owner_key"]
+    parts = [df.select(F.lit(t).alias("table_name"), "graph_id", F.col(k).alias("owner_key"), F.struct("evidence", "spans", "evidence_ids").alias("x"), "loaded_at") for t, (df, k) in nodes.items()]
+    rows = functools.reduce(DataFrame.unionByName, parts).withColumn("record", F.to_json("x", {"ignoreNullFields": "false"}))
+    rows = rows.groupBy(*keep).agg(F.max_by("record", F.struct("loaded_at", "record")).alias("record"))
+    return flat_table(shred(rows, "record", keep, _table_paths(ARRAYS)), keep, *ARRAYS[name]).drop("place", "key", "parent_pos", "rest")
+
+
 def payload_links(payloads: DataFrame) -> DataFrame:
     """Each parent-child link of a payload once: (payload_id, link, parent_key, child_key).
 

@@ -31,6 +31,15 @@ def p2_evidence_table(spark: SparkSession, d: str) -> DataFrame:
     ).dropDuplicates()
 
 
+def _array_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return nested.array_table({"units": (read_table(spark, d, "units"), "unit_id"), "warrants": (read_table(spark, d, "warrants"), "warrant_id")}, name)
+
+
+def p2_rest(spark: SparkSession, d: str) -> DataFrame:
+    """What each payload holds outside of its flat tables."""
+    return nested.payload_rest(read_table(spark, d, "graph_payloads"))
+
+
 def _reference_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     names = {r.table for r in orphans.REFERENCES} | {r.target for r in orphans.REFERENCES}
     return {n: read_table(spark, d, n) for n in sorted(names)}
@@ -58,7 +67,9 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_evidence_table": p2_evidence_table, "p4_found": p4_found,
-    "p4_report": p4_report, "p6_found": p6_found, "p6_versions": p6_versions, "p6_consistent": p6_consistent,
+    "p4_report": p4_report, "p6_found": p6_found, "p6_versions": p6_versions, "p6_consistent": p6_consistent, "p2_rest": p2_rest,
+    **{f"p2_{n}": lambda spark, d, n=n: nested.payload_table(read_table(spark, d, "graph_payloads"), n) for n in nested.TABLES},
+    **{f"p2_array_{n}": lambda spark, d, n=n: _array_table(spark, d, n) for n in nested.ARRAYS},
 }
 
 _P4 = """

@@ -75,3 +75,33 @@ def test_round_trip_of_ordinals():
 
 def test_empty_table(spark):
     assert nested.payload_links(payloads(spark).where("false")).collect() == []
+
+
+def test_flat_tables_keep_every_field(spark):
+    span = {"doc_id": "d1", "start": 1, "end": 5, "text": "t", "page": 2, "bbox": [0.5, 1.0], "modality": "image"}
+    g = {"units": {"c.1": {"text": "a", "score": 0.5, "odd": [1], "metadata": {"b": 1, "a": 2}, "spans": [None, span], "evidence_ids": ["e1", None, "e2"],
+                           "evidence": [{"id": "x", "strength": 1, "quality": {"m": "q"}, "source": {"type": "text_span", "value": span}}, {"id": "y", "source": {"evidence_card_id": "k", "note": "n"}}]}},
+         "warrants": {"w1": {"text": "w"}}, "relations": [{"src": "c1", "dst": "c2", "weight": 0.1, "warrant_ids": ["w1"]}, "no relation"],
+         "argument_bundles": {"b": {"units": ["c.1"], "relations": [{"src": "c1", "why": "z"}]}}, "metadata": {"title": "T"}}
+    df = spark.createDataFrame([("p", json.dumps(g)), ("p", json.dumps(dict(reversed(g.items())))), ("q", "{}")], "payload_id string, payload string")
+    table = lambda n: sorted(nested.payload_table(df, n).drop("payload_id").collect(), key=str)
+    (u,) = table("units")
+    assert (u["key"], u["text"], u["score"], u["metadata"], u["rest"]) == ("c.1", "a", 0.5, '{"a": 2, "b": 1}', '{"odd": [1]}')
+    e = {r["pos"]: r for r in table("evidence")}
+    assert (e[0]["key"], e[0]["strength"], e[0]["quality"], e[0]["source_type"], e[0]["source_page"], e[0]["source_bbox"]) == ("c.1", 1.0, '{"m": "q"}', "text_span", 2, "[0.5, 1.0]")
+    assert (e[1]["source_evidence_card_id"], e[1]["source_note"], e[1]["source_doc_id"]) == ("k", "n", None)
+    assert [(r["pos"], r["page"], r["modality"]) for r in table("spans")] == [(1, 2, "image")]
+    assert {(r["place"], r["key"], r["pos"], r["src"], r["rest"]) for r in table("relations")} == {("relations[]", None, 0, "c1", None), ("relations[]", None, 1, None, '"no relation"'), ("argument_bundles{}.relations[]", "b", 0, "c1", '{"why": "z"}')}
+    assert {(r["place"], r["key"], r["parent_pos"], r["pos"], r["value"]) for r in table("lists")} == {("units{}.evidence_ids[]", "c.1", None, 0, "e1"), ("units{}.evidence_ids[]", "c.1", None, 2, "e2"), ("relations[].warrant_ids[]", None, 0, 0, "w1"), ("argument_bundles{}.units[]", "b", None, 0, "c.1")}
+    assert rows(nested.payload_rest(df)) == [("p", '{"metadata": {"title": "T"}}'), ("q", None)]
+
+
+def test_array_columns(spark):
+    schema = "unit_id string, graph_id string, evidence array<struct<id: string, source: struct<kind: string, span: struct<doc_id: string, start: int, page: int>, structured: string>, stance: string, strength: double, quality: string>>, spans array<struct<doc_id: string, start: int>>, evidence_ids array<string>, loaded_at int"
+    ev = lambda i: (i, ("text_span", ("d1", 3, 7), None), "supports", 0.5, '{"q": 1}')
+    df = spark.createDataFrame([("c1", "g", [None, ev("old")], [], ["e9"], 1), ("c1", "g", [None, ev("x")], [("d2", 4)], ["e1", None], 2), ("c2", "g", None, None, None, 1)], schema)
+    nodes = {"units": (df, "unit_id"), "warrants": (df.limit(0), "unit_id")}
+    (e,) = nested.array_table(nodes, "evidence").collect()
+    assert (e["table_name"], e["owner_key"], e["pos"], e["id"], e["strength"], e["quality"], e["source_span_page"]) == ("units", "c1", 1, "x", 0.5, '{"q": 1}', 7)
+    assert [(r["pos"], r["doc_id"], r["start"]) for r in nested.array_table(nodes, "spans").collect()] == [(0, "d2", 4)]
+    assert [(r["pos"], r["value"]) for r in nested.array_table(nodes, "evidence_ids").collect()] == [(0, "e1")]
