@@ -4,19 +4,21 @@ The schema of a file is the set of its paths with their JSON types, found by one
 (paths are collected per batch, so what is shuffled grows with the number of files, not of records). Files
 are fingerprinted, compared with the file before, and each difference becomes a migration step. Records are
 then routed through the steps of their stream: renames are followed back to the first name of a path,
-missing fields get null, and values are cast to the type the path has in most files.
+missing fields get null, and values are cast to the type the path has in most files of all streams.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.session import cut
+
 _ID_KEY = re.compile(r"[a-z][0-9]+")
 
 
@@ -34,6 +36,8 @@ def json_type(value: object) -> str:
 
 def _walk(path: str, value: object, out: set[tuple[str, str]]) -> None:
     if value is None:
+        if path:
+            out.add((path, "null"))
         return
     if path:
         out.add((path, json_type(value)))
@@ -45,24 +49,57 @@ def _walk(path: str, value: object, out: set[tuple[str, str]]) -> None:
             _walk(path + "[]", v, out)
 
 
-def _leaves(path: str, place: str, value: object, out: list[tuple[str, str, str, str]]) -> None:
-    """(path, place with ids and positions, type, text) of each scalar."""
-    if value is None:
-        return
-    if isinstance(value, dict):
-        for k, v in value.items():
-            _leaves(_join(path, "*" if _ID_KEY.fullmatch(k) else k), _join(place, k), v, out)
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            _leaves(path + "[]", f"{place}[{i}]", v, out)
-    else:
-        out.append((path, place, json_type(value), value if isinstance(value, str) else json.dumps(value)))
+def _renamed_back(path: str, file_no: int, steps: list[dict]) -> str:
+    """As ``apply_step`` of migration_names; steps come newest first."""
+    for x in steps:
+        new = x["new_path"]
+        if x["file_no"] <= file_no and (path == new or path.startswith((new + ".", new + "[]"))):
+            path = x["old_path"] + path[len(new) :]
+    return path
+
 
+def _values(record: dict, canonical: Callable[[str], str], fields: dict[str, list[str]], expected: list[str]) -> list[tuple[str, str | None, str, str, str | None]]:
+    """(place with ids and positions, path, canonical, type, text) of each scalar, null and empty container, and of what is missing.
 
-def file_paths(exports: DataFrame) -> DataFrame:
+    fields: names that objects of a canonical path have anywhere. An object without one of them gives a row of type
+    missing at its place; an expected path that the whole record lacks gives one at the path itself.
+    """
+    out: list[tuple[str, str | None, str, str, str | None]] = []
+    seen: set[str] = set()
+
+    def walk(path: str, place: str, value: object) -> None:
+        name = canonical(path) if path else ""
+        seen.add(name)
+        if value is None:
+            out.append((place, path, name, "null", None))
+        elif isinstance(value, dict):
+            if path and not value:
+                out.append((place, path, name, "object", "{}"))
+            there = set()
+            for k, v in value.items():
+                below = _join(path, "*" if _ID_KEY.fullmatch(k) else k)
+                there.add(canonical(below))
+                walk(below, _join(place, k), v)
+            for k in fields.get(name, ()):
+                if (lost := _join(name, k)) not in there:
+                    seen.add(lost)
+                    out.append((_join(place, k), None, lost, "missing", None))
+        elif isinstance(value, list):
+            if not value:
+                out.append((place, path, name, "array", "[]"))
+            for i, v in enumerate(value):
+                walk(path + "[]", f"{place}[{i}]", v)
+        else:
+            out.append((place, path, name, json_type(value), value if isinstance(value, str) else json.dumps(value)))
+
+    walk("", "", record)
+    return out + [(c, None, c, "missing", None) for c in expected if c not in seen]
+
+
+def file_paths(exports: DataFrame, nulls: bool = False) -> DataFrame:
     """Paths of each file: (stream_name, file_no, path, types), types sorted and joined by '|'.
 
-    A file without a readable record has no row here. Repeated lines change nothing.
+    With ``nulls``, paths of which all values are null are there too, with types ''. A file without a readable record has no row here. Repeated lines change nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,6 +117,8 @@ def file_paths(exports: DataFrame) -> DataFrame:
     rows = exports.where("record is not null and stream_name is not null and file_no is not null").select("stream_name", F.col("file_no").cast("int").alias("file_no"), "record")
     found = rows.mapInPandas(run, "stream_name string, file_no int, path string, type string")
     # at most five types stand in one set
+    found = found.withColumn("type", F.when(F.col("type") != "null", F.col("type")))
+    found = found if nulls else found.where("type is not null")
     return found.groupBy("stream_name", "file_no", "path").agg(F.array_join(F.array_sort(F.collect_set("type")), "|").alias("types"))
 
 
@@ -144,16 +183,19 @@ def schema_changes(exports: DataFrame) -> DataFrame:
     return groups.select("stream_name", "file_no", F.explode(changes).alias("c")).select("stream_name", "file_no", "c.*")
 
 
-def migration_names(exports: DataFrame) -> DataFrame:
-    """First name of every path of every file after its stream's renames: (stream_name, file_no, path, canonical).
+def _rename_steps(exports: DataFrame) -> DataFrame:
+    """(stream_name, steps), the newest first."""
+    renames = schema_changes(exports).where("change_kind = 'renamed'")
+    return renames.groupBy("stream_name").agg(F.reverse(F.array_sort(F.collect_list(F.struct("file_no", "new_path", "old_path")))).alias("steps"))
+
+
+def migration_names(exports: DataFrame, nulls: bool = False, renames: DataFrame | None = None) -> DataFrame:
+    """First name of every path of every file after its stream's renames: (stream_name, file_no, path, types, canonical).
 
     Renames are chained backwards from the newest file to the oldest inside one group per stream, whose size
     is that of its list of renames (not of its records).
     """
-    renames = schema_changes(exports).where("change_kind = 'renamed'")
-    steps = renames.groupBy("stream_name").agg(F.reverse(F.array_sort(F.collect_list(F.struct("file_no", "new_path", "old_path")))).alias("steps"))
-    paths = file_paths(exports)
-    named = paths.join(steps, "stream_name", "left")
+    named = file_paths(exports, nulls).join(_rename_steps(exports) if renames is None else renames, "stream_name", "left")
     # a step renames the path itself and everything below it
     apply_step = lambda acc, s: F.when(
         (acc == s["new_path"]) | acc.startswith(F.concat(s["new_path"], F.lit("."))) | acc.startswith(F.concat(s["new_path"], F.lit("[]"))),
@@ -163,40 +205,72 @@ def migration_names(exports: DataFrame) -> DataFrame:
     return named.withColumn("canonical", F.aggregate(own, F.col("path"), apply_step)).select("stream_name", "file_no", "path", "types", "canonical")
 
 
-def consistent_values(exports: DataFrame) -> DataFrame:
-    """All records in one table of leaf values under their canonical paths.
+def consistent_table(exports: DataFrame) -> DataFrame:
+    """All records in one table of leaf values under their canonical paths, with a row for every canonical path of every record.
 
-    Columns: stream_name, file_no, line_no, place (path with ids and positions), path (as found), canonical,
-    target_type, value (text), number, flag, cast_ok. target_type is the type the canonical path has in most
-    files of the stream (ties: the first by name); number and flag are set where the target is number or
-    boolean. A value that cannot be cast keeps its text and has cast_ok false. Lines delivered twice come out once.
+    Columns: stream_name, file_no, line_no, place (path with ids and positions), path (as found; null if missing),
+    canonical, found_type, target_type, value (text), number, flag, cast_ok. target_type is the type the canonical path
+    has in most files of all streams, scalars before containers (ties: the first by name; null if there are only nulls);
+    number and flag are set where the target is number or boolean. A value that cannot be cast keeps its text and has
+    cast_ok false. Nulls, and fields that an object or record lacks (found_type missing), have a null value; empty
+    containers are kept as [] and {}. Lines delivered twice come out once.
     """
-    names = migration_names(exports)
-    scalar = names.withColumn("type", F.explode(F.split("types", r"\|"))).where("type in ('string', 'number', 'boolean')")
-    votes = scalar.groupBy("stream_name", "canonical", "type").agg(F.countDistinct("file_no").alias("n"))
-    target = votes.groupBy("stream_name", "canonical").agg(F.min(F.struct((-F.col("n")).alias("m"), "type"))["type"].alias("target_type"))
-    routes = names.select("stream_name", "file_no", "path", "canonical").join(target, ["stream_name", "canonical"])
+    renames = cut(_rename_steps(exports))
+    typed = migration_names(exports, nulls=True, renames=renames).select("stream_name", "file_no", "canonical", F.explode(F.split("types", r"\|")).alias("type"))
+    votes = typed.groupBy("canonical", "type").agg(F.countDistinct("stream_name", "file_no").alias("n"))
+    order = F.struct((F.col("type") == "").alias("none"), F.col("type").isin("array", "object").alias("container"), (-F.col("n")).alias("m"), "type")
+    target = votes.groupBy("canonical").agg(F.nullif(F.min(order)["type"], F.lit("")).alias("target_type"))
+    # as many paths as the schemas of all files have
+    targets = {r["canonical"]: r["target_type"] for r in target.orderBy("canonical").collect()}
+    fields: dict[str, list[str]] = {}
+    for c in targets:
+        above, _, name = c.rpartition(".")
+        if name != "*" and not name.endswith("[]"):
+            fields.setdefault(above, []).append(name)
+    columns = ["stream_name", "file_no", "line_no", "place", "path", "canonical", "found_type", "value", "target_type"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paths = list(targets)
+        names: dict[tuple[str, int], dict[str, str]] = {}
         for batch in batches:
             rows = []
-            for stream, file_no, line_no, record in batch[["stream_name", "file_no", "line_no", "record"]].itertuples(index=False):
+            for stream, file_no, line_no, record, steps in batch[["stream_name", "file_no", "line_no", "record", "steps"]].itertuples(index=False):
                 try:
                     value = json.loads(record)
                 except (ValueError, RecursionError):
                     continue
-                out: list = []
-                _leaves("", "", value, out)
-                rows += [(stream, file_no, line_no, *x) for x in out]
-            yield pd.DataFrame(rows, columns=["stream_name", "file_no", "line_no", "path", "place", "found_type", "value"])
+                if not isinstance(value, dict):
+                    continue
+                known = names.setdefault((stream, file_no), {})
+
+                def canonical(path: str, known: dict = known, n: int = file_no, steps: object = steps) -> str:
+                    if path not in known:
+                        known[path] = _renamed_back(path, n, [] if steps is None else steps)
+                    return known[path]
+
+                rows += [(stream, file_no, line_no, *x, targets.get(x[2])) for x in _values(value, canonical, fields, paths)]
+                # a record gives many rows
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     lines = exports.where("record is not null and stream_name is not null and file_no is not null and line_no is not null")
     lines = lines.groupBy("stream_name", "file_no", "line_no").agg(F.min_by("record", "loaded_at").alias("record"))
     lines = lines.select("stream_name", F.col("file_no").cast("int").alias("file_no"), F.col("line_no").cast("int").alias("line_no"), "record")
-    leaves = lines.mapInPandas(run, "stream_name string, file_no int, line_no int, path string, place string, found_type string, value string")
-    out = leaves.join(routes, ["stream_name", "file_no", "path"])
+    lines = lines.join(renames, "stream_name", "left")
+    out = lines.mapInPandas(run, "stream_name string, file_no int, line_no int, place string, path string, canonical string, found_type string, value string, target_type string")
     number = F.when(F.col("target_type") == "number", F.col("value").try_cast("double"))
     flag = F.when(F.col("target_type") == "boolean", F.col("value").try_cast("boolean"))
     out = out.withColumn("number", number).withColumn("flag", flag)
-    ok = F.when(F.col("target_type") == "number", F.col("number").isNotNull()).when(F.col("target_type") == "boolean", F.col("flag").isNotNull()).otherwise(F.lit(True))
+    kind, to = F.col("found_type"), F.col("target_type")
+    ok = (
+        F.when(kind.isin("null", "missing"), True).when(kind.isin("array", "object") | to.isin("array", "object"), kind.eqNullSafe(to))
+        .when(to == "number", F.col("number").isNotNull()).when(to == "boolean", F.col("flag").isNotNull()).otherwise(True)
+    )
     return out.withColumn("cast_ok", ok).select("stream_name", "file_no", "line_no", "place", "path", "canonical", "found_type", "target_type", "value", "number", "flag", "cast_ok")
+
+
+def consistent_values(exports: DataFrame) -> DataFrame:
+    """The scalars of :func:`consistent_table` alone."""
+    return consistent_table(exports).where("found_type in ('string', 'number', 'boolean')")

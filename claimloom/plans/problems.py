@@ -62,7 +62,7 @@ def p6_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent_values(read_table(spark, d, "graph_exports"))
+    return drift.consistent_table(read_table(spark, d, "graph_exports"))
 
 
 QUERIES: dict[str, Query] = {

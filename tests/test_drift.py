@@ -69,3 +69,17 @@ def test_consistent_table_follows_renames(spark):
 def test_empty(spark):
     none = exports(spark, {("s", 1): [None]}).where("false")
     assert drift.schema_changes(none).collect() == [] and drift.consistent_values(none).collect() == [] and drift.schema_versions(none).collect() == []
+
+
+def test_consistent_table_has_every_path_and_one_type(spark):
+    files = {
+        ("s", 1): [unit(t="x", n=None), {"units": {"c1": {"t": "y"}, "c2": {"t": "z", "n": 1, "l": []}}}],
+        ("s", 2): [unit(t="v")], ("t", 1): [unit(t=5)], ("t", 2): [{"title": "no units"}],
+    }
+    got = {(r["stream_name"], r["file_no"], r["line_no"], r["place"]): r for r in drift.consistent_table(exports(spark, files)).collect()}
+    assert {r["target_type"] for r in got.values() if r["canonical"] == "units.*.t"} == {"string"}
+    assert got["t", 1, 0, "units.c1.t"]["value"] == "5" and all(r["cast_ok"] for r in got.values())
+    kinds = {k: r["found_type"] for k, r in got.items()}
+    assert kinds["s", 1, 0, "units.c1.n"] == "null" and kinds["s", 1, 1, "units.c1.n"] == "missing" and kinds["s", 1, 1, "units.c2.l"] == "array"
+    assert got["s", 1, 1, "units.c2.n"]["number"] == 1.0 and kinds["t", 2, 0, "units"] == kinds["t", 2, 0, "units.*.t"] == "missing"
+    assert len({r["canonical"] for k, r in got.items() if k[:3] == ("t", 2, 0)}) == 6 and all(r["value"] is None for r in got.values() if r["found_type"] == "missing")
