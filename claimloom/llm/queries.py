@@ -53,12 +53,20 @@ def p5_copies(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_counts(_copies(spark, d), ["table_name"], "key")
 
 
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    """One row per text, those that occur once too: its words, the smallest key and the number of records."""
+    texts = _texts(spark, d, ("warrants", "warrant_id")).select("table_name", "key", copies.words(F.col("text")).alias("words"))
+    return texts.where("words is not null and key is not null").groupBy("table_name", "words").agg(F.min("key").alias("first_key"), F.countDistinct("key").alias("copies"))
+
+
 def p5_same_records(spark: SparkSession, d: str) -> DataFrame:
-    """Units that are equal in text, type and all metadata fields, whatever the order of these."""
-    units = read_table(spark, d, "units").select("unit_id", "text", "type", "metadata")
+    """Units, and warrants, that are equal in text, type and all metadata fields, whatever the order of these, with their group's number of records."""
+    one = lambda table, key: read_table(spark, d, table).select(F.lit(table).alias("table_name"), F.col(key).alias("key"), "text", "type", "metadata")
+    records = one("units", "unit_id").unionByName(one("warrants", "warrant_id"))
     fields = {"text": copies.words(F.col("text")), "type": copies.words(F.col("type"))}
-    found = copies.copy_groups(units, [], "unit_id", fields, ("metadata",))
-    return found.where("unit_id <> first_key").select("first_key", F.col("unit_id").alias("copy_key"))
+    found = copies.copy_groups(records, ["table_name"], "key", fields, ("metadata",))
+    counts = copies.copy_counts(found, ["table_name"], "key")
+    return found.where("key <> first_key").join(counts, ["table_name", "first_key"]).select("table_name", "first_key", F.col("key").alias("copy_key"), "copies")
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +111,7 @@ def p10_normal(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_copies": p5_copies, "p5_same_records": p5_same_records,
+    "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_copies": p5_copies, "p5_texts": p5_texts, "p5_same_records": p5_same_records,
     "p7_found": p7_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packing": p9_packing, "p10_found": p10_found, "p10_normal": p10_normal,
 }
 

@@ -72,3 +72,18 @@ def test_one_hot_text_and_counts(spark):
 
 def test_empty(spark):
     assert groups(spark, []) == set()
+
+
+def test_queries_keep_single_texts_and_compare_both_tables(spark, monkeypatch):
+    from claimloom.llm import queries
+
+    rows = lambda *xs: [(k, t, "fact", m) for k, t, m in xs]
+    tables = {
+        "units": spark.createDataFrame(rows(("c1", "One  text", None), ("c2", "one TEXT", None), ("c2", "one TEXT", None), ("c3", "alone", None), ("c4", "!", None)), "unit_id string, text string, type string, metadata string"),
+        "warrants": spark.createDataFrame(rows(("w1", "same", '{"a": "1", "b": "2"}'), ("w2", "Same", '{"b": "2", "a": "1"}'), ("w3", "same", '{"a": "9"}')), "warrant_id string, text string, type string, metadata string"),
+    }
+    monkeypatch.setattr(queries, "read_table", lambda spark, d, name: tables[name])
+    got = {(r["table_name"], r["first_key"], r["words"], r["copies"]) for r in queries.p5_texts(spark, "").collect()}
+    assert got == {("units", "c1", "one text", 2), ("units", "c3", "alone", 1), ("warrants", "w1", "same", 3)}
+    same = {(r["table_name"], r["first_key"], r["copy_key"], r["copies"]) for r in queries.p5_same_records(spark, "").collect()}
+    assert same == {("units", "c1", "c2", 2), ("warrants", "w1", "w2", 2)}
