@@ -86,6 +86,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(kind.alias("node_kind"), F.substr("node", F.lit(3)).alias("node_key"), F.substr("group_key", F.lit(3)).alias("group_key"))
 
 
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every claim and every segment; one that is tied to no other is a group of its own."""
+    claims = read_table(spark, d, "extracted_claims")
+    lists = read_table(spark, d, "merge_results").select(F.explode(F.map_values("unit_segments")).alias("x"))
+    one = lambda df, kind, key: df.select(F.lit(kind).alias("node_kind"), F.col(key).alias("node_key"))
+    nodes = one(claims, "claim", "claim_id").unionByName(one(claims, "segment", "segment_id")).unionByName(one(lists.select(F.explode("x").alias("s")), "segment", "s"))
+    nodes = nodes.where("node_key is not null").dropDuplicates()
+    return nodes.join(p7_found(spark, d), ["node_kind", "node_key"], "full").withColumn("group_key", F.coalesce("group_key", "node_key"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(read_table(spark, d, "documents"), "doc_id", "text", tokens.encoder(VOCABULARY))
 
@@ -112,7 +122,7 @@ def p10_normal(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p5_copies": p5_copies, "p5_texts": p5_texts, "p5_same_records": p5_same_records,
-    "p7_found": p7_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packing": p9_packing, "p10_found": p10_found, "p10_normal": p10_normal,
+    "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packing": p9_packing, "p10_found": p10_found, "p10_normal": p10_normal,
 }
 
 _P5 = r"""

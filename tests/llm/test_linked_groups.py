@@ -46,3 +46,17 @@ def test_long_chain_and_hub(spark):
 def test_empty_and_only_self_links(spark):
     assert run(spark, []) == {}
     assert run(spark, [("a", "a"), (None, "b")]) == {}
+
+
+def test_every_claim_and_segment_has_a_group(spark, monkeypatch):
+    from claimloom.llm import queries
+
+    tables = {
+        "extracted_claims": spark.createDataFrame([("x1", "s1"), ("x2", None), ("x3", "s9"), ("x3", "s9")], "claim_id string, segment_id string"),
+        "merge_results": spark.createDataFrame([({"u": ["s1", "s2"], "v": ["s3", None]},), ({"w": None},), (None,)], "unit_segments map<string, array<string>>"),
+    }
+    found = spark.createDataFrame([("claim", "x1", "x0"), ("claim", "x0", "x0"), ("segment", "s1", "s1"), ("segment", "s2", "s1")], "node_kind string, node_key string, group_key string")
+    monkeypatch.setattr(queries, "read_table", lambda spark, d, name: tables[name])
+    monkeypatch.setattr(queries, "p7_found", lambda spark, d: found)
+    got = sorted(tuple(r) for r in queries.p7_groups(spark, "").collect())
+    assert got == [("claim", "x0", "x0"), ("claim", "x1", "x0"), ("claim", "x2", "x2"), ("claim", "x3", "x3"), ("segment", "s1", "s1"), ("segment", "s2", "s1"), ("segment", "s3", "s3"), ("segment", "s9", "s9")]
