@@ -293,7 +293,9 @@ def paragraph_segments(spark: SparkSession, d: str) -> DataFrame:
 def claim_spans(spark: SparkSession, d: str) -> DataFrame:
     """Where the tags and titles of documents first stand in their texts."""
     docs = read_table(spark, d, "documents").where("text is not null")
-    names = docs.select("doc_id", "text", F.explode(F.array_distinct(F.concat("tags", F.array("title")))).alias("claim")).where("claim is not null and claim <> ''")
+    # the SQL leaves out documents with null tags
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    names = docs.select("doc_id", "text", F.explode(F.array_distinct(F.concat(tags, F.array("title")))).alias("claim")).where("claim is not null and claim <> ''")
     start, end = segments.locate(F.col("claim"), F.col("text"), F.lit(0))
     return names.select("doc_id", "claim", start.alias("start"), end.alias("end")).where("start is not null")
 

@@ -115,3 +115,11 @@ def test_ordered_rank(spark):
         have = sorted((r for r in got if r["b"] == b), key=lambda r: r["r"])
         assert [r["r"] for r in have] == list(range(len(want))) and [(r["b"], r["o"], r["i"]) for r in have] == [(x[0], x[1], x[2]) for x in sorted(want, key=lambda x: (x[1], x[2]))]
     assert re.match("r", "r")
+
+
+def test_claim_spans_find_titles_of_documents_without_tags(spark, monkeypatch):
+    from claimloom.plans import graph_queries as q
+
+    docs = spark.createDataFrame([(1, "on cats and dogs", None, "cats"), (2, "a tag", ["tag"], None)], "doc_id long, text string, tags array<string>, title string")
+    monkeypatch.setattr(q, "read_table", lambda spark, d, name: docs)
+    assert sorted(tuple(r) for r in q.claim_spans(spark, "").collect()) == [(1, "cats", 3, 7), (2, "tag", 2, 5)]
