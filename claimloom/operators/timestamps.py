@@ -9,6 +9,7 @@ clock skips, two hold one that it shows twice, and one interval gives the offset
 from __future__ import annotations
 
 import datetime as dt
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -156,26 +157,67 @@ def parse_timestamps(df: DataFrame, text: str, date_order: str | None = None) ->
     return out.select(*[x for x in df.columns if x not in ("instant_us", "local_us", "offset_min", "zone_name")], F.inline(F.array(parsed)))
 
 
+def _zone_file(name: str) -> bytes:
+    """The compiled rules of a zone, from where ``zoneinfo`` takes them: the system's folders, else the tzdata package."""
+    import zoneinfo
+    from importlib import resources
+    from pathlib import Path
+
+    for folder in zoneinfo.TZPATH:
+        path = Path(folder, *name.split("/"))
+        if path.is_file():
+            return path.read_bytes()
+    *package, last = name.split("/")
+    return resources.files(".".join(["tzdata.zoneinfo", *package])).joinpath(last).read_bytes()
+
+
+def _listed_changes(data: bytes) -> tuple[list[int], bool]:
+    """(seconds of the changes that the file lists, whether a yearly rule goes on after them)."""
+    head = 44
+    counts = lambda at: struct.unpack(">6l", data[at + 20 : at + head])
+
+    def body(c: tuple[int, ...], width: int) -> int:
+        utc, std, leaps, times, types, chars = c
+        return times * (width + 1) + types * 6 + chars + leaps * (width + 4) + std + utc
+
+    if data[4:5] < b"2":
+        return list(struct.unpack(f">{counts(0)[3]}l", data[head : head + 4 * counts(0)[3]])), False
+    second = head + body(counts(0), 4)
+    c = counts(second)
+    times = struct.unpack(f">{c[3]}q", data[second + head : second + head + 8 * c[3]])
+    return list(times), b"," in data[second + head + body(c, 8) :]
+
+
 def _intervals_of(name: str) -> list[tuple[int, int, int]]:
-    """(first second, end second, offset) in UTC of a zone; the first begins and the last ends beyond any date."""
+    """(first second, end second, offset) in UTC of a zone; the first begins and the last ends beyond any date.
+
+    The changes are those that the zone's file lists, one by one, so none is too short to be seen. What a yearly rule
+    adds after them, until LAST_YEAR, is searched by days: such a rule changes the clock twice a year.
+    """
     from zoneinfo import ZoneInfo
 
     zone = ZoneInfo(name)
     offset = lambda t: int(dt.datetime.fromtimestamp(t, zone).utcoffset().total_seconds())
     at = lambda year: int(dt.datetime(year, 1, 1, tzinfo=dt.timezone.utc).timestamp())
-    end, step, far = at(LAST_YEAR), 7 * 86_400, 400_000_000_000
-    begin, t, now, out = -far, at(FIRST_YEAR), offset(at(FIRST_YEAR)), []
-    while t < end:
-        after = offset(t + step)
+    far, day = 400_000_000_000, 86_400
+    listed, goes_on = _listed_changes(_zone_file(name))
+    changes = sorted({t for t in listed if at(2) < t < at(9998)})
+    t = max([at(1970), *changes])
+    now = offset(t)
+    while goes_on and t < at(LAST_YEAR):
+        after = offset(t + day)
         if after != now:
-            low, high = t, t + step
+            low, high = t, t + day
             while high - low > 1:
                 middle = (low + high) // 2
                 low, high = (middle, high) if offset(middle) == now else (low, middle)
-            out.append((begin, high, now))
-            begin, now, t = high, offset(high), high
-            continue
-        t += step
+            changes.append(high)
+        now, t = after, t + day
+    begin, now, out = -far, offset(changes[0] - 1 if changes else 0), []
+    for t in changes:
+        if (after := offset(t)) != now:
+            out.append((begin, t, now))
+            begin, now = t, after
     return [*out, (begin, far, now)]
 
 

@@ -112,3 +112,55 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT payload_id, 'bundle_relation', k, i || ':' || coalesce(json_extract_string(y, '$.src'), '') || '>' || coalesce(json_extract_string(y, '$.dst'), '') FROM r
 ) WHERE child_key IS NOT NULL
 """
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\b\.?)?"
+_AREA = r"([+-]\d{2}(?::?\d{2})?|[A-Za-z][A-Za-z0-9_+-]*(?:/[A-Za-z0-9_+-]+)*)"
+_END = rf"(?:\s*{_AREA})?(?:\s*[\[(]\s*{_AREA}\s*[\])])?"
+_DAY = r"(?:(?:[Mm]on|[Tt]ue|[Ww]ed|[Tt]hu|[Ff]ri|[Ss]at|[Ss]un)[a-z]*\.?,?\s+)?"
+_SHAPES = {
+    "i": (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?:(?:[Tt]\s*|,?\s+){_CLOCK}{_END})?$", "a b c h mi s f ap z1 z2"),
+    "k": (rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[Tt]?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?{_END})?$", "a b c h mi s f z1 z2"),
+    "l": (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}})(?:(?:[Tt]\s*|,?\s+){_CLOCK}{_END})?$", "a b c h mi s f ap z1 z2"),
+    "d": (rf"^{_DAY}(\d{{1,2}})(?:st|nd|rd|th)?[-\s]\s*([A-Za-z]{{3,9}})\.?,?[-\s]\s*(\d{{4}})(?:,?\s+{_CLOCK}{_END})?$", "a b c h mi s f ap z1 z2"),
+    "n": (rf"^{_DAY}([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:,?\s+(?:at\s+)?{_CLOCK}{_END})?$", "a b c h mi s f ap z1 z2"),
+}
+_HIT = ", ".join(f"regexp_extract(t, '{p}', [{', '.join(repr(n) for n in names.split())}]) AS {k}" for k, (p, names) in _SHAPES.items())
+_TAKE = lambda x: f"CASE WHEN bare AND length(t) NOT IN (8, 12, 14) THEN '' WHEN i.a <> '' THEN i.{x} WHEN k.a <> '' THEN {'chr(0)' if x == 'ap' else 'k.' + x} WHEN l.a <> '' THEN l.{x} WHEN d.a <> '' THEN d.{x} ELSE n.{x} END AS {x}"
+_MONTH = "CASE WHEN lower({x}) = 'sept' THEN 9 ELSE list_position([" + ", ".join(f"'{m[:3]}'" for m in timestamps.MONTHS) + "], CASE WHEN length({x}) = 3 OR lower({x}) IN (" + ", ".join(f"'{m}'" for m in timestamps.MONTHS) + ") THEN lower({x}[:3]) END) END"
+_DATE = lambda y, m, d: f"TRY_CAST(lpad({y}, 4, '0') || '-' || lpad(CAST({m} AS VARCHAR), 2, '0') || '-' || lpad({d}, 2, '0') AS DATE)"
+_OFF = "CAST(epoch_us(timezone(zone, timezone('UTC', make_timestamp(CAST(x AS BIGINT)))) - make_timestamp(CAST(x AS BIGINT))) AS BIGINT)"
+SQL["p1_found"] = f"""
+WITH q AS (
+  SELECT DISTINCT doc_id, trim(upload_date, {_WS}) AS t, zone_id, date_order FROM supporting_documents s
+  LEFT JOIN (SELECT uploader, max(zone_id) AS zone_id, max(date_order) AS date_order FROM uploaders GROUP BY uploader) p ON s.uploader = p.uploader
+  WHERE upload_date IS NOT NULL AND doc_id IS NOT NULL
+), hit AS (SELECT *, regexp_full_match(t, '[0-9]+') AS bare, {_HIT} FROM q)
+, f AS (SELECT doc_id, t, bare, zone_id, date_order, CASE WHEN i.a <> '' OR k.a <> '' THEN 'ymd' WHEN l.a <> '' THEN 'local' WHEN d.a <> '' THEN 'dny' ELSE 'ndy' END AS kind, {', '.join(map(_TAKE, 'a b c h mi s f ap z1 z2'.split()))} FROM hit)
+, g AS (
+  SELECT *, CASE WHEN z1 <> '' THEN z1 ELSE z2 END AS z, {_DATE('c', 'b', 'a')} AS dm, {_DATE('c', 'a', 'b')} AS md,
+    CASE kind WHEN 'ymd' THEN {_DATE('a', 'b', 'c')} WHEN 'dny' THEN {_DATE('c', _MONTH.format(x='b'), 'a')} WHEN 'ndy' THEN {_DATE('c', _MONTH.format(x='a'), 'b')} END AS sure,
+    TRY_CAST(h AS INTEGER) AS hour, coalesce(TRY_CAST(mi AS INTEGER), 0) AS minute, coalesce(TRY_CAST(s AS INTEGER), 0) AS second, CASE WHEN f = '' THEN 0 ELSE CAST(rpad(f[:6], 6, '0') AS BIGINT) END AS micro
+  FROM f WHERE a <> '' OR bare OR regexp_full_match(t, '[0-9]{{10}}\\.[0-9]+')
+), w AS (
+  SELECT *, CASE WHEN kind <> 'local' THEN sure WHEN date_order = 'DMY' THEN dm WHEN date_order = 'MDY' THEN md WHEN dm IS NULL THEN md WHEN md IS NULL OR md = dm THEN dm END AS day,
+    CASE WHEN h = '' THEN 0 WHEN minute > 59 OR second > 59 THEN NULL
+      WHEN lower(ap) IN ('a', 'p') THEN CASE WHEN hour BETWEEN 1 AND 12 THEN hour % 12 + CASE WHEN lower(ap) = 'p' THEN 12 ELSE 0 END END WHEN hour <= 23 THEN hour END AS clock,
+    CASE WHEN z[1] IN ('+', '-') THEN CASE WHEN CAST(z[2:3] AS INTEGER) <= 18 AND coalesce(TRY_CAST(replace(z[4:], ':', '') AS INTEGER), 0) <= 59
+      THEN CASE WHEN z[1] = '-' THEN -1 ELSE 1 END * (CAST(z[2:3] AS INTEGER) * 60 + coalesce(TRY_CAST(replace(z[4:], ':', '') AS INTEGER), 0)) END
+      ELSE CASE upper(z) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in timestamps.ABBREVIATION_MINUTES.items())} END END AS off
+  FROM g
+), l AS (
+  SELECT doc_id, CASE WHEN regexp_full_match(t, '[0-9]{{10}}\\.[0-9]+') THEN CAST(t[:10] AS BIGINT) * 1000000 + CAST(rpad(t[12:17], 6, '0') AS BIGINT)
+      WHEN bare THEN CASE length(t) WHEN 10 THEN CAST(t AS BIGINT) * 1000000 WHEN 13 THEN CAST(t AS BIGINT) * 1000 WHEN 16 THEN CAST(t AS BIGINT) WHEN 19 THEN TRY_CAST(t AS BIGINT) // 1000 END END AS counted,
+    epoch_us(CAST(day AS TIMESTAMP)) + CAST(clock * 3600 + minute * 60 + second AS BIGINT) * 1000000 + micro AS local_us, off, z[1] IN ('+', '-') AS signed, CASE WHEN z = '' THEN zone_id ELSE z END AS zone FROM w
+), o AS (
+  SELECT doc_id, counted, local_us, off, CASE WHEN counted IS NULL AND off IS NULL AND NOT signed AND zone IN (SELECT name FROM pg_timezone_names()) THEN zone END AS zone FROM l
+), u AS (
+  SELECT doc_id, count(DISTINCT inst) AS n, min(inst) AS inst FROM (
+    SELECT doc_id, local_us, zone, local_us - unnest([{_OFF.replace('x', 'local_us - 93600000000')}, {_OFF.replace('x', 'local_us + 93600000000')}]) AS inst FROM o WHERE zone IS NOT NULL AND local_us IS NOT NULL)
+  WHERE inst + {_OFF.replace('CAST(x AS', 'CAST(inst AS')} = local_us GROUP BY doc_id, local_us, zone
+)
+SELECT DISTINCT doc_id, upload_us FROM (
+  SELECT doc_id, coalesce(counted, local_us - CAST(off AS BIGINT) * 60000000) AS upload_us FROM o UNION ALL SELECT doc_id, inst FROM u WHERE n = 1) WHERE upload_us IS NOT NULL
+"""

@@ -3,7 +3,7 @@ from zoneinfo import ZoneInfo
 
 import pytest
 
-from claimloom.operators.timestamps import document_instants, parse_timestamps, resolve_local
+from claimloom.operators.timestamps import _intervals_of, document_instants, parse_timestamps, resolve_local
 
 UTC = dt.timezone.utc
 
@@ -104,6 +104,49 @@ def test_every_hour_of_a_year_of_changes(spark):
     assert {(r["zone_name"], r["local_us"]): (r["matches"], r["resolved_us"]) for r in got} == want
 
 
+def readings(tz, local):
+    """Instants of a local reading: those of the offsets in force within two days that lead back to it."""
+    near = local.replace(tzinfo=UTC)
+    offsets = {(near + dt.timedelta(hours=h)).astimezone(tz).utcoffset() for h in range(-48, 49)}
+    return {t for o in offsets if (t := near - o).astimezone(tz).replace(tzinfo=None) == local}
+
+
+def test_changes_that_are_soon_undone(spark):
+    """Every zone, every pair of changes less than 8 days apart: readings before, between, after and at both changes."""
+    from zoneinfo import available_timezones
+
+    rows, want = [], {}
+    for z in sorted(available_timezones()):
+        spans = _intervals_of(z)
+        tz = ZoneInfo(z)
+        for (_, b, _), (_, c, _) in zip(spans, spans[1:], strict=False):
+            if c - b >= 8 * 86_400:
+                continue
+            for t in (b - 90_000, b - 1800, b + 1800, (b + c) // 2, c - 1800, c + 1800, c + 90_000):
+                local = dt.datetime.fromtimestamp(t, tz).replace(tzinfo=None)
+                for moved in (0, 1800, -1800, 3600, -3600):
+                    x = (local + dt.timedelta(seconds=moved)).replace(microsecond=0, fold=0)
+                    found = readings(tz, x)
+                    key = int(x.replace(tzinfo=UTC).timestamp()) * 1_000_000
+                    rows.append((z, key))
+                    want[z, key] = (len(found), int(found.pop().timestamp()) * 1_000_000 if len(found) == 1 else None)
+    assert {"America/Recife", "America/Noronha", "Asia/Gaza", "Asia/Hebron", "Africa/Freetown"} <= {z for z, _ in rows}
+    got = resolve_local(spark.createDataFrame(list(set(rows)), "zone_name string, local_us long")).collect()
+    assert {(r["zone_name"], r["local_us"]): (r["matches"], r["resolved_us"]) for r in got} == want
+
+
+def test_offsets_of_every_zone_hour_by_hour():
+    """The intervals against zoneinfo, at every hour of years in which some zone has changes that are soon undone."""
+    for z, years in {"America/Recife": (2000,), "America/Boa_Vista": (2000,), "Asia/Gaza": (2040, 2054, 2072, 2090), "Africa/Freetown": (1939,), "Europe/Berlin": (2023, 2149), "Africa/Casablanca": (2030,), "UTC": (2020,)}.items():
+        tz, spans = ZoneInfo(z), _intervals_of(z)
+        for year in years:
+            t, at = int(dt.datetime(year, 1, 1, tzinfo=UTC).timestamp()), 0
+            for s in range(t, t + 366 * 86_400, 3600):
+                while spans[at][1] <= s:
+                    at += 1
+                assert dt.datetime.fromtimestamp(s, tz).utcoffset().total_seconds() == spans[at][2], (z, s)
+
+
 def test_empty_tables_and_clashing_columns(spark, uploaders):
     none = spark.createDataFrame([], "doc_id string, upload_date string, uploader string")
     assert document_instants(none, uploaders).collect() == []
