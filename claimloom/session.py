@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FOLDERS: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def local_session(cores: int = 4, **conf: str) -> SparkSession:
     """A session for tests and benches on one machine."""
@@ -29,19 +34,51 @@ def local_session(cores: int = 4, **conf: str) -> SparkSession:
     return session
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; only where that is unset (as in local tests) make one."""
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared folder of spark.checkpoint.dir; it is deleted when the application ends.
+
+    Only a local session may leave the setting out, as tests do; it gets a temporary folder. On a cluster such a folder
+    would be one machine's own, so that is refused.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
+    if sc.applicationId not in _FOLDERS:
+        shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if shared is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="claimloom-")
+        folder = f"{shared.rstrip('/')}/claimloom-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _FOLDERS[sc.applicationId] = folder
+    return _FOLDERS[sc.applicationId]
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the work folder."""
+    return f"{work_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder; later plans read it from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` once as a table of the shared work folder; later plans read it from there.
+
+    No executor holds anything of it, so the loss of one costs nothing. Later plans read only the columns they need, know
+    its size (for broadcasts within Spark's limit), and can split its hot keys in joins, as both sides are then shuffled.
+    """
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes the tables of cuts that no plan will read again; anything else is left alone."""
+    for df in frames:
+        if df is not None and (folder := _PATHS.pop(df, None)):
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[Column], salts: int = 8, how: str = "inner") -> DataFrame:
