@@ -2,7 +2,7 @@
 
 Parent keys and child references of all tables are tagged and put in one table; one aggregation by target
 table, graph and key leaves a row per key with the facts about its parent and its earliest reference. The
-keys whose parent is absent, deleted, or later than a reference are joined back to the references.
+keys whose parent is absent, deleted, or later than a reference are written down and joined back to the references.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.session import salted_join
+from claimloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -63,13 +63,13 @@ def _parents(tables: dict[str, DataFrame], refs: tuple[Reference, ...]) -> DataF
     return out
 
 
-def orphan_references(tables: dict[str, DataFrame], refs: tuple[Reference, ...] = REFERENCES, salts: int = 16) -> DataFrame:
+def orphan_references(tables: dict[str, DataFrame], refs: tuple[Reference, ...] = REFERENCES) -> DataFrame:
     """Orphans, one row each: (table_name, field_name, period, graph_id, record_key, ref_key, reason).
 
     reason is missing, deleted (every row of the target key has a deleted_at) or late (the target's first
     delivery is after the record's). period is the month of the record's first delivery. A null graph_id
-    matches no target. One key may have any share of the references: keys are aggregated before the shuffle
-    and the join back to the references is salted. Empty tables give no rows (or, as targets, only orphans).
+    matches no target. One key may have any share of the references: keys are aggregated before the shuffle, and in
+    the join back to the references, whose two sides are shuffled for it, Spark splits what one key has. Empty tables give no rows (or, as targets, only orphans).
     """
     children, parents = _children(tables, refs), _parents(tables, refs)
     none = lambda t: F.lit(None).cast(t)
@@ -87,10 +87,8 @@ def orphan_references(tables: dict[str, DataFrame], refs: tuple[Reference, ...]
     suspects = keys.withColumn("reason", reason).where("child_first is not null and (reason is not null or parent_first > child_first)")
     # graph_id may be null: join on a key that is not
     safe = lambda df: df.withColumn("_g", F.coalesce(F.concat(F.lit("="), "graph_id"), F.lit("")))
-    found = salted_join(
-        safe(children), safe(suspects).select("target", "_g", "ref_key", "reason", "parent_first"), ["target", "_g", "ref_key"],
-        [F.col("record_key"), F.col("field_name"), F.col("graph_id")], salts,
-    )
+    few = cut(safe(suspects).select("target", "_g", "ref_key", "reason", "parent_first"))
+    found = safe(children).join(few, ["target", "_g", "ref_key"])
     late = F.when(F.col("parent_first") > F.col("first_loaded"), "late")
     return (
         found.withColumn("reason", F.coalesce("reason", late))
@@ -100,5 +98,8 @@ def orphan_references(tables: dict[str, DataFrame], refs: tuple[Reference, ...]
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Number of orphans per table, field, period and reason, and of the distinct keys they name."""
-    return orphans.groupBy("table_name", "field_name", "period", "reason").agg(F.count("*").alias("orphans"))
+    """Number of orphans per table, field, period and reason, and of the distinct keys (of a graph) that they name."""
+    by = ["table_name", "field_name", "period", "reason"]
+    # counted per key first: a key with most of the references is combined before it is shuffled
+    keys = orphans.groupBy(*by, "graph_id", "ref_key").agg(F.count("*").alias("n"))
+    return keys.groupBy(*by).agg(F.sum("n").alias("orphans"), F.count("*").alias("ref_keys"))

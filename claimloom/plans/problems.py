@@ -94,7 +94,7 @@ WITH c AS (
 
 SQL: dict[str, str] = {
     "p4_found": _P4 + "SELECT * FROM o WHERE reason IS NOT NULL",
-    "p4_report": _P4 + "SELECT table_name, field_name, period, reason, count(*) AS orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL",
+    "p4_report": _P4 + "SELECT table_name, field_name, period, reason, count(*) AS orphans, count(DISTINCT (graph_id, ref_key)) AS ref_keys FROM o WHERE reason IS NOT NULL GROUP BY ALL",
 }
 _OK = "FROM (SELECT payload_id, CAST(CASE WHEN json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT' THEN payload END AS JSON) AS j FROM graph_payloads) WHERE j IS NOT NULL"
 _UNITS = f"u AS (SELECT payload_id, k, json_extract(j, '$.units.\"' || k || '\"') AS x FROM (SELECT payload_id, j, unnest(json_keys(j, '$.units')) AS k {_OK}) WHERE json_type(json_extract(j, '$.units.\"' || k || '\"')) <> 'NULL')"
