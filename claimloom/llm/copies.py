@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.session import salted_join
+from claimloom.session import cut
 
 WORD = r"[\p{L}\p{N}]+"
 _MASK = (1 << 61) - 1
@@ -59,20 +59,21 @@ def _covers(a: str, b: str) -> Column:
     return (F.size(a) == F.size(b)) & (F.size(F.array_except(a, b)) == 0)
 
 
-def copy_groups(records: DataFrame, group: list[str], key: str, fields: dict[str, Column], json_columns: tuple[str, ...] = (), salts: int = 8) -> DataFrame:
+def copy_groups(records: DataFrame, group: list[str], key: str, fields: dict[str, Column], json_columns: tuple[str, ...] = ()) -> DataFrame:
     """(group..., key, first_key) of each record that is equal to another one of its ``group`` columns' value.
 
     first_key is the smallest key of the equal records, which is in the result too. Deliveries of one key
-    count once. Null keys are left out.
+    count once. Null keys are left out. Records are read and hashed once; heads of groups and their members are tables
+    of their own, so that Spark can split a group with most of the records where they are joined.
     """
-    rows = fingerprinted(records.where(F.col(key).isNotNull()), [*group, key], fields, json_columns)
+    rows = cut(fingerprinted(records.where(F.col(key).isNotNull()), [*group, key], fields, json_columns))
     fp = [*group, "f1", "f2"]
-    heads = rows.groupBy(*fp).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key")).where("first_key <> last_key").drop("last_key")
-    copies = salted_join(rows, heads, fp, [F.col(key)], salts)
-    first = copies.where(F.col(key) == F.col("first_key")).groupBy(*fp).agg(F.min("pairs").alias("first_pairs"))
-    checked = salted_join(copies, first, fp, [F.col(key)], salts).withColumn("same", _covers("pairs", "first_pairs"))
+    heads = rows.groupBy(*fp).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key")).where("first_key <> last_key")
+    copies = cut(rows.join(cut(heads.drop("last_key")), fp))
+    first = cut(copies.where(F.col(key) == F.col("first_key")).groupBy(*fp).agg(F.min("pairs").alias("first_pairs")))
+    checked = copies.join(first, fp).withColumn("same", _covers("pairs", "first_pairs"))
     good = checked.where("same").select(*group, key, "first_key").dropDuplicates()
-    # collisions of the fingerprint: equal values decide
+    # only for what collides in all 122 bits are fields put in order, to group it by its values
     bad = checked.where("not same").select(*fp, key, F.array_sort("pairs").alias("pairs"))
     again = bad.groupBy(*fp, "pairs").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key")).where("first_key <> last_key")
     rescued = bad.join(again.drop("last_key"), [*fp, "pairs"]).select(*group, key, "first_key").dropDuplicates()
