@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import copies, linked_groups, lookalikes, near_duplicates, packing, tokens
+from claimloom.session import cut
 from claimloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,11 +34,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each record with its class (the smallest key of equal token sets), the class's records and its links to other classes."""
     members, found, links = _near(spark, d)
-    ends = links.select("tbl", F.col("cls_a").alias("cls")).unionByName(links.select("tbl", F.col("cls_b").alias("cls")))
-    degree = ends.groupBy("tbl", "cls").agg(F.count("*").alias("links"))
-    heads = members.groupBy("tbl", "cls").agg(F.min("key").alias("class_key"), F.count("*").alias("records"))
-    heads = heads.join(degree, ["tbl", "cls"], "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    return members.join(heads, ["tbl", "cls"]).select(F.col("tbl").alias("table_name"), "key", "class_key", "records", "links")
+    ends = links.select(F.explode(F.array("id_a", "id_b")).alias("id"))
+    degree = ends.groupBy("id").agg(F.count("*").alias("links"))
+    members = cut(members)
+    heads = members.groupBy("id").agg(F.min("key").alias("class_key"), F.count("*").alias("records"))
+    heads = cut(heads.join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0))))
+    return members.join(heads, "id").select(F.col("tbl").alias("table_name"), "key", "class_key", "records", "links")
 
 
 def _copies(spark: SparkSession, d: str) -> DataFrame:
