@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.session import cut
@@ -67,29 +67,35 @@ def plan(histogram: dict[int, int], capacity: int, first_container: int = 0) ->
     return slots, opened - first_container
 
 
-def _ranks(items: DataFrame, by: str, order: list[Column], parts: int) -> DataFrame:
+#: Plans and part sizes of up to so many rows are broadcast; longer ones are joined as they are.
+SMALL = 200_000
+
+
+def _ranks(items: DataFrame, by: str) -> DataFrame:
     """Adds ``rank`` from 0 within ``by``, also where one value of ``by`` has most rows.
 
-    Rows are spread over ``parts`` hash parts of each value; a part's ranks follow those of the parts before it.
+    Rows are spread by ranges of (by, a hash) and sorted in their part, so the place within the part, less that of the
+    value's first row, is the rank within value and part; the ranks of a part follow those of the parts before it. Ranges
+    share a value only at their borders: there are no more (value, part) pairs than values and parts together.
     """
-    items = items.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    sizes = items.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    place = F.monotonically_increasing_id()
+    spread = items.repartitionByRange(F.col(by), F.xxhash64(*items.columns)).sortWithinPartitions(by)
+    placed = cut(spread.withColumn("_at", place).withColumn("_part", F.shiftright("_at", 33)))
+    sizes = placed.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # at most (capacity + 1) x parts rows, whatever the number of items
-    starts = sizes.select(by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(by, "_part").orderBy(*order)
-    ranked = items.withColumn("_r", F.row_number().over(inside) - 1)
-    return ranked.join(F.broadcast(starts), [by, "_part"]).withColumn("rank", F.col("_start") + F.col("_r")).drop("_part", "_start", "_r")
+    starts = cut(sizes.select(by, "_part", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    starts = F.broadcast(starts) if starts.count() <= SMALL else starts
+    return placed.join(starts, [by, "_part"]).withColumn("rank", F.col("_start") + F.col("_at") - F.col("_from")).drop("_part", "_start", "_from", "_at")
 
 
-def pack(spark: SparkSession, items: DataFrame, key: str, size: str, capacity: int = 2048, parts: int = 64) -> DataFrame:
+def pack(spark: SparkSession, items: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFrame:
     """Assigns every item to a container: (key, piece, container_id, start, length, item_start).
 
     An item longer than the capacity is cut into full pieces, each a container of its own, and a rest that is
     packed like an item; all others are one piece 0. ``start`` is the place in the container, ``item_start``
     that in the item. Items of size 0 or null take no space and are spread over the containers (container 0
     if there is none). Repeated keys are separate items. An empty table gives no rows. Only the histogram,
-    of at most ``capacity`` lengths, comes to the driver, and only the plan made from it is broadcast.
+    of at most ``capacity`` lengths, comes to the driver; what is made from it is broadcast if it has no more than SMALL rows.
     """
     n = F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))
     items = items.select(F.col(key), n.alias("_n"))
@@ -103,8 +109,9 @@ def pack(spark: SparkSession, items: DataFrame, key: str, size: str, capacity: i
     made = cut(cutting.select(key, "piece", length.alias("length")))
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, number = plan({k: v for k, v in histogram.items() if k > 0}, capacity)
-    table = F.broadcast(spark.createDataFrame(slots, PLAN_SCHEMA))
-    ranked = _ranks(made, "length", [F.col(key), F.col("piece")], parts)
+    table = spark.createDataFrame(slots, PLAN_SCHEMA)
+    table = F.broadcast(table) if len(slots) <= SMALL else table
+    ranked = _ranks(made, "length")
     within = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") <= F.col("last_rank"))
     placed = ranked.alias("x").join(table.alias("t"), (F.col("x.length") == F.col("t.length")) & within, "left")
     step = F.col("rank") - F.col("first_rank")

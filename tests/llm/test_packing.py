@@ -62,7 +62,7 @@ def test_items(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([0, 1, 5, 7, 7, 7, 10, 11, 20, 25, 63]), "x") for i in range(900)] + [(900, None, "x"), (901, -3, "x"), (902, 1000, "x"), (3, 7, "x")]
     df = spark.createDataFrame(rows, "doc_id long, n int, rank string")
-    got = pack(spark, df, "doc_id", "n", 10, parts=4).collect()
+    got = pack(spark, df, "doc_id", "n", 10).collect()
     total = defaultdict(int)
     held = defaultdict(list)
     for r in got:
