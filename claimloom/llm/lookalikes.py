@@ -19,14 +19,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of Cyrillic and Greek with the shape of a Latin one.
-LOOKALIKES = dict(
-    zip(
-        "аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅԚԜ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳͿ",
-        "aeopcyxijshdqwABEKMHOPCTYXIJSQW" + "ABEZHIKMNOPTYXocjJ",
-        strict=True,
-    )
+from claimloom.session import cut
+
+# Letters of the same shape. Each row names two scripts and gives their letters, the second taken for the first.
+SAME_SHAPE = (
+    # Latin, Cyrillic
+    ("ABCEGHIJKMOPQSTVWXYÆƏƐƷ", "АВСЕԌНІЈКМОРԚЅТѴԜХҮӔӘԐӠ"),
+    ("acdehijlopqsvwxyæəɛʒ", "асԁеһіјӏорԛѕѵԝхуӕәԑӡ"),
+    ("Iy", "Ӏү"),
+    # Latin small capitals, Cyrillic
+    ("ʙɢʜᴋᴍᴛᴙ", "вԍнкмтя"),
+    # Latin, Greek
+    ("ABCEFHIJKMNOPTXYZÞɅ", "ΑΒϹΕϜΗΙͿΚΜΝΟΡΤΧΥΖϷΛ"),
+    ("M", "Ϻ"),
+    ("cjopvɑɛɣɩþᴋ", "ϲϳορναεγιϸκ"),
+    # Greek, Cyrillic (letters without a Latin twin)
+    ("ΓΘΠΦΨͶᴦᴨ", "ГѲПФѰИгп"),
 )
+
+
+def _twins() -> dict[str, str]:
+    """Each letter to the one that stands for its shape."""
+    to: dict[str, str] = {}
+    for kept, taken in SAME_SHAPE:
+        for k, t in zip(kept, taken, strict=True):
+            if k != t:
+                to[t] = to.get(k, k)
+    return {t: to.get(k, k) for t, k in to.items()}
+
+
+LOOKALIKES = _twins()
 # Ranges of characters that are shown as nothing (default-ignorable).
 IGNORABLE = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F),
@@ -46,6 +68,8 @@ def _shape(ch: str) -> str:
         return ""
     if unicodedata.category(ch) == "Zs":
         return " "
+    if ch in LOOKALIKES:  # before the compatibility form, which takes some by their meaning
+        return LOOKALIKES[ch]
     kind, _, parts = unicodedata.decomposition(ch).partition(" ")
     letters = "".join(chr(int(x, 16)) for x in parts.split())
     if kind in ("<wide>", "<narrow>"):
@@ -118,14 +142,16 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
 def lookalike_pairs(df: DataFrame, key: str, text: str, a: str = "key_a", b: str = "key_b") -> DataFrame:
     """(key_a, key_b) of rows whose texts differ as character sequences but look the same, key_a < key_b.
 
-    Texts are grouped by their normal form; within a group, those of equal appearance and different text are
-    paired. Only groups with two different texts of one appearance are joined, so exact copies alone, however
-    many, make no pairs. Null keys and texts make none. Repeated deliveries of a row come out once.
+    Texts are hashed once. Different texts that share their normal form and their appearance are paired, each text once
+    whatever its copies; then the pairs of texts are spread to the rows that have them. So exact copies, however many,
+    make no pairs among themselves. Null keys and texts make none. Repeated deliveries of a row come out once.
     """
-    rows = fingerprints(df, key, text)
-    groups = rows.groupBy("normal_h", "look_h").agg(F.min("text_h").alias("lo"), F.max("text_h").alias("hi")).where("lo <> hi").select("normal_h", "look_h")
-    held = rows.join(groups, ["normal_h", "look_h"], "left_semi").dropDuplicates()
-    x = held.select("normal_h", F.col("look_h").alias("look_x"), F.col("text_h").alias("text_x"), F.col(key).alias("_x"))
-    y = held.select("normal_h", F.col("look_h").alias("look_y"), F.col("text_h").alias("text_y"), F.col(key).alias("_y"))
-    met = x.join(y, "normal_h").where("_x < _y and look_x = look_y and text_x <> text_y")
-    return met.select(F.col("_x").alias(a), F.col("_y").alias(b)).dropDuplicates()
+    rows = cut(fingerprints(df, key, text))
+    forms = ["normal_h", "look_h"]
+    groups = rows.groupBy(*forms).agg(F.min("text_h").alias("lo"), F.max("text_h").alias("hi")).where("lo <> hi").select(*forms)
+    held = cut(rows.join(cut(groups), forms, "left_semi"))
+    texts = cut(held.select(*forms, "text_h").dropDuplicates())
+    pairs = texts.withColumnRenamed("text_h", "text_x").join(texts.withColumnRenamed("text_h", "text_y"), forms).where("text_x < text_y").select("text_x", "text_y")
+    own = lambda at: held.select(F.col("text_h").alias(f"text_{at}"), F.col(key).alias(f"_{at}"))
+    met = pairs.join(own("x"), "text_x").join(own("y"), "text_y").where("_x <> _y")
+    return met.select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b)).dropDuplicates()

@@ -25,6 +25,29 @@ def test_different(a, b):
     assert lk.appearance(a) != lk.appearance(b)
 
 
+@pytest.mark.parametrize("pair", ["ӀI", "ӏl", "ҮY", "ϹC", "ГΓ", "ПΠ", "ФΦ", "ԜW", "ѴV", "ϜF", "әə", "ΛɅ", "тᴛ", "кκ", "ВΒ", "нʜ", "νѵ", "рρ"])
+def test_letters_of_three_scripts(pair):
+    a, b = pair
+    assert a != b
+    for x, y in ((a, b), (b, a), (f"Один {a}.", f"Один {b}."), (a + "\u0301", b + "\u0301")):
+        assert lk.appearance(x) == lk.appearance(y) and lk.normalise(x) == lk.normalise(y)
+
+
+def test_letters_stand_for_one_shape():
+    assert all(t not in lk.LOOKALIKES for t in lk.LOOKALIKES.values())
+    assert all(len({lk.appearance(k) for k in ks}) == len(ks) for ks in ("Лл", "бb6", "зЗ3", "дΔ", "ιi", "υu", "ηn", "ωw", "ШW"))
+
+
+def test_a_stock_text_in_many_copies(spark):
+    """n copies and one variant make n pairs; nothing of the size of n times n is made on the way."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    df = spark.range(n + 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") == n, "thаnks").otherwise("thanks").alias("text"))
+    pairs = lk.lookalike_pairs(df, "doc_id", "text")
+    assert pairs.where(f"key_b = {n} and key_a < {n}").count() == pairs.count() == n
+
+
 def test_normal_form():
     assert lk.normalise("ＣＡＦÉ ① Straße\t​x") == "café 1 strasse x"
     assert lk.normalise(lk.normalise("İẞﬃ ΟΔΟΣ")) == lk.normalise("İẞﬃ ΟΔΟΣ")
