@@ -1,8 +1,13 @@
 """Structure of argument graphs: degrees, components, reachability, cycles, diagnostics.
 
-What follows the order of insertion (cycles) or needs many rounds is done per graph inside one grouped task
-while the graph has at most ``KERNEL_EDGES`` edges; larger graphs go through relational loops whose state is
-cut each round. Cycle search is one depth-first walk by definition and always runs in one task per graph.
+Components and reachability are loops of joins and aggregations over all graphs at once, whose state is a table of the
+shared folder in each round; a graph of any size goes the same way. Labels are handed on along edges and, in the same
+round, taken over from the vertex that a label names (pointer jumping), so a chain takes rounds by its logarithm.
+Reachability and its maximum are worked out between strong components, not between vertices.
+
+Cycles are by definition those that one depth-first walk in the order of insertion closes, and where a walk enters a
+strong component depends on what it saw before. What cannot lead to a cycle is removed, each weak component is a
+walk of its own, and that walk is one task. The kernels below also serve single graphs and corpora known to be small.
 """
 
 from __future__ import annotations
@@ -12,10 +17,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.grouped import per_group
-from claimloom.session import cut
-
-KERNEL_EDGES = 100_000
+from claimloom.operators.grouped import ordered_rank, per_group
+from claimloom.session import cut, release
 
 
 def project_edges(relations: DataFrame, kinds: list[str] | None = None) -> DataFrame:
@@ -173,98 +176,148 @@ def _per_graph(units: DataFrame, edges: DataFrame, schema: str, kernel: Callable
     return per_group(long_form, "graph_id", ["edge", "at", "a"], schema, run)
 
 
-def _split(units: DataFrame, edges: DataFrame, limit: int) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
-    """(small graphs, large graphs or None) by the number of edges."""
-    large = cut(edges.groupBy("graph_id").count().where(F.col("count") > limit).select("graph_id"))
-    if large.isEmpty():
-        return (units, edges), None
-    parts = [tuple(x.join(large, "graph_id", how) for x in (units, edges)) for how in ("left_anti", "left_semi")]
-    return parts[0], parts[1]
+def _walk_part(nodes: list[str], edges: list[tuple[str, str]]) -> list[tuple]:
+    return [(c,) for c in back_edge_cycles(nodes, edges)]
 
 
 def cycles(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, cycle_no, nodes) by :func:`back_edge_cycles`."""
-    return _per_graph(units, edges, "cycle_no int, nodes array<string>", lambda n, e: list(enumerate(back_edge_cycles(n, e))))
+    """(graph_id, cycle_no, nodes) by :func:`back_edge_cycles`, numbered in their order within the graph.
+
+    Self-loops are cycles whatever the walk. The others are searched per weak component, without the vertices that
+    cannot reach a cycle because they have no way out (taken off three times, which decides nothing but the work).
+    """
+    links = cut(edges.where("src <> dst"))
+    for _ in range(3):
+        before, links = links, cut(links.join(links.select("graph_id", F.col("src").alias("dst")).dropDuplicates(), ["graph_id", "dst"], "left_semi").select(*links.columns))
+        release(before)
+    ends = links.select("graph_id", F.explode(F.array("src", "dst")).alias("unit_id")).dropDuplicates()
+    labels = _minimum_labels(ends.withColumnRenamed("unit_id", "node"), links)
+    own = labels.select("graph_id", F.col("node").alias("unit_id"), F.to_json(F.struct("graph_id", "component")).alias("part"))
+    inside = units.join(own, ["graph_id", "unit_id"]).withColumn("graph_id", F.col("part")).drop("part")
+    within = links.join(own.withColumnRenamed("unit_id", "src"), ["graph_id", "src"]).withColumn("graph_id", F.col("part")).drop("part")
+    walked = _per_graph(inside, within, "nodes array<string>", _walk_part)
+    found = walked.select(F.get_json_object("graph_id", "$.graph_id").alias("graph_id"), "nodes")
+    loops = edges.where("src = dst").select("graph_id", F.array("src").alias("nodes")).dropDuplicates()
+    return ordered_rank(found.unionByName(loops), ["graph_id"], ["nodes"], "cycle_no").select("graph_id", F.col("cycle_no").cast("int").alias("cycle_no"), "nodes")
 
 
 def _minimum_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(graph_id, node, component): smallest node reached over undirected links, by label propagation with pointer jumping."""
-    both = cut(links.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(links.select("graph_id", F.col("dst").alias("a"), F.col("src").alias("b"))).where("a <> b").dropDuplicates())
-    state = cut(nodes.select("graph_id", "node", F.col("node").alias("label")))
-    while True:
-        near = both.join(state.select("graph_id", F.col("node").alias("b"), F.col("label").alias("l")), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        step = state.join(near, ["graph_id", "node"], "left").select("graph_id", "node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+    both = cut(links.where("src <> dst").select("graph_id", F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).select("graph_id", "x.*").dropDuplicates())
+    state = cut(nodes.select("graph_id", "node", F.col("node").alias("label"), F.lit(True).alias("moved")))
+    while not state.where("moved").isEmpty():
+        told = both.join(state.select("graph_id", F.col("node").alias("b"), F.col("label").alias("l")), ["graph_id", "b"]).select("graph_id", F.col("a").alias("node"), "l")
         # a label is a node itself: take over its label too
-        jump = step.select("graph_id", F.col("node").alias("label"), F.col("label").alias("far"))
-        new = cut(step.join(jump, ["graph_id", "label"], "left").select("graph_id", "node", "old", F.least("label", "far").alias("label")))
-        changed = not new.where("old <> label").isEmpty()
-        state = new.drop("old")
-        if not changed:
-            return state.withColumnRenamed("label", "component")
+        jump = state.where("label <> node").join(state.select("graph_id", F.col("node").alias("label"), F.col("label").alias("l")), ["graph_id", "label"]).select("graph_id", "node", "l")
+        near = told.unionByName(jump).groupBy("graph_id", "node").agg(F.min("l").alias("l"))
+        new = state.join(near, ["graph_id", "node"], "left").select("graph_id", "node", F.least("label", "l").alias("label"), F.coalesce(F.col("l") < F.col("label"), F.lit(False)).alias("moved"))
+        before, state = state, cut(new)
+        release(before)
+    release(both)
+    return state.select("graph_id", "node", F.col("label").alias("component"))
 
 
-def weakly_connected(units: DataFrame, edges: DataFrame, limit: int = KERNEL_EDGES) -> DataFrame:
+def weakly_connected(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node, component); the component is named by its smallest member."""
-    small, large = _split(units, edges, limit)
-    out = _per_graph(*small, "node string, component string", lambda n, e: [(x, p[0]) for p in weak_components(n, e) for x in p])
-    return out if large is None else out.unionByName(_minimum_labels(node_set(*large), large[1]))
+    return _minimum_labels(node_set(units, edges), edges)
 
 
-def _closure(edges: DataFrame) -> DataFrame:
-    """(graph_id, src, dst) of all pairs linked by a path, each round extending the newest pairs by one edge."""
-    base = cut(edges.select("graph_id", "src", "dst").dropDuplicates())
-    known = fresh = base
-    while not fresh.isEmpty():
-        step = fresh.join(base.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("next")), ["graph_id", "dst"]).select("graph_id", "src", F.col("next").alias("dst")).dropDuplicates()
-        fresh = cut(step.join(known, ["graph_id", "src", "dst"], "left_anti"))
-        known = cut(known.unionByName(fresh))
-    return known
+def weakly_connected_small(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """As :func:`weakly_connected`, each graph in one task: for corpora whose graphs are all known to be small."""
+    return _per_graph(units, edges, "node string, component string", lambda n, e: [(x, p[0]) for p in weak_components(n, e) for x in p])
 
 
-def reachability(units: DataFrame, edges: DataFrame, limit: int = KERNEL_EDGES) -> DataFrame:
-    """(graph_id, src, dst): dst is reached from src by one edge or more."""
-    small, large = _split(units, edges, limit)
-    out = _per_graph(*small, "src string, dst string", lambda n, e: [(s, d) for s, all_d in reachable(n, e).items() for d in all_d])
-    return out if large is None else out.unionByName(_closure(large[1]))
+def strongly_connected(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, node, component); singletons are components too, named like the others by the smallest member.
 
-
-def _coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, node, component) of strongly connected components by repeated colouring.
-
-    The smallest node that reaches a node becomes its colour; what reaches back to the node a colour is named
-    after, within the colour, is that node's component. Found components leave, the rest goes on.
+    In each round, every vertex learns the least vertex that reaches it and the least that it reaches, in an order drawn
+    anew for the round. Where the two are one, it is in that vertex's component. Other vertices of one component have both
+    in common, so only links between vertices that have stay for the next round; without links, what is left is single.
+    """
+    nodes = cut(node_set(units, edges))
+    links = cut(edges.select("graph_id", "src", "dst").where("src <> dst").dropDuplicates())
+    settled: list[DataFrame] = []
+    turn = 0
+    while not links.isEmpty():
+        turn += 1
+        drawn = F.struct(F.xxhash64("graph_id", "node", F.lit(turn)).alias("h"), F.col("node").alias("n"))
+        # only vertices with links both ways can be in a component of several
+        live = links.select("graph_id", F.col("src").alias("node")).intersect(links.select("graph_id", F.col("dst").alias("node")))
+        state = cut(live.select("graph_id", "node", drawn.alias("c"), drawn.alias("d"), F.lit(True).alias("moved")))
+        while not state.where("moved").isEmpty():
+            of = lambda name: state.select("graph_id", F.col("node").alias(name), "c", "d")  # noqa: B023, E731
+            none = F.lit(None).cast(state.schema["c"].dataType)
+            down = links.join(of("src"), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node"), "c", none.alias("d"))
+            up = links.join(of("dst"), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("node"), none.alias("c"), "d")
+            # what reaches the vertex that reaches this one reaches this one, and the other way round
+            far = lambda x, y: state.where(F.col(x)["n"] != F.col("node")).select("graph_id", F.col(x)["n"].alias("_n"), "node").join(of("_n"), ["graph_id", "_n"]).select("graph_id", "node", F.col(x).alias(x), none.alias(y))  # noqa: B023, E731
+            told = down.unionByName(up).unionByName(far("c", "d")).unionByName(far("d", "c")).groupBy("graph_id", "node").agg(F.min("c").alias("c2"), F.min("d").alias("d2"))
+            less = lambda x: F.coalesce(F.col(f"{x}2") < F.col(x), F.lit(False))
+            new = state.join(told, ["graph_id", "node"], "left").select(
+                "graph_id", "node", *[F.when(less(x), F.col(f"{x}2")).otherwise(F.col(x)).alias(x) for x in "cd"], (less("c") | less("d")).alias("moved")
+            )
+            before, state = state, cut(new)
+            release(before)
+        settled.append(cut(state.where("c = d").select("graph_id", "node", F.col("c.n").alias("root"))))
+        open_ = state.where("c <> d").select("graph_id", "node", F.col("c.n").alias("c"), F.col("d.n").alias("d"))
+        end = lambda name: open_.select("graph_id", F.col("node").alias(name), F.col("c").alias(f"c_{name}"), F.col("d").alias(f"d_{name}"))  # noqa: B023, E731
+        rest = links.join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst"]).where("c_src = c_dst and d_src = d_dst").select("graph_id", "src", "dst")
+        before, links = links, cut(rest)
+        release(before, state)
+    release(links)
+    if not settled:
+        return nodes.select("graph_id", "node", F.col("node").alias("component"))
+    known = settled[0]
+    for part in settled[1:]:
+        known = known.unionByName(part)
+    names = known.groupBy("graph_id", "root").agg(F.min("node").alias("component"))
+    named = known.join(names, ["graph_id", "root"]).select("graph_id", "node", "component")
+    return nodes.join(named, ["graph_id", "node"], "left").select("graph_id", "node", F.coalesce("component", "node").alias("component"))
+
+
+def strongly_connected_small(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """As :func:`strongly_connected`, each graph in one task: for corpora whose graphs are all known to be small."""
+    return _per_graph(units, edges, "node string, component string", lambda n, e: [(x, p[0]) for p in strong_components(n, e) for x in p])
+
+
+def condensation(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, components, reached) of the graphs with each strong component as one vertex.
+
+    members: (graph_id, node, component). components: (graph_id, component, size, cyclic), cyclic if a vertex of it reaches
+    itself. reached: (graph_id, a, b) of different components, b being reached from a; made by squaring, so the longest
+    path takes rounds by its logarithm.
     """
-    left, links, parts = cut(nodes), cut(edges.select("graph_id", "src", "dst").where("src <> dst").dropDuplicates()), []
-    while not left.isEmpty():
-        colour = left.select("graph_id", "node", F.col("node").alias("c"))
-        while True:
-            into = links.join(colour.select("graph_id", F.col("node").alias("src"), "c"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node")).agg(F.min("c").alias("n"))
-            new = cut(colour.join(into, ["graph_id", "node"], "left").select("graph_id", "node", F.col("c").alias("old"), F.least("c", "n").alias("c")))
-            colour = new.drop("old")
-            if new.where("old <> c").isEmpty():
-                break
-        of = lambda name: colour.select("graph_id", F.col("node").alias(name), F.col("c").alias(f"c_{name}"))  # noqa: B023, E731
-        inner = cut(links.join(of("src"), ["graph_id", "src"]).join(of("dst"), ["graph_id", "dst"]).where("c_src = c_dst").select("graph_id", "src", "dst"))
-        found = fresh = cut(colour.where("node = c").select("graph_id", "node", "c"))
-        while not fresh.isEmpty():
-            back = inner.join(fresh.select("graph_id", F.col("node").alias("dst"), "c"), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("node"), "c").dropDuplicates()
-            fresh = cut(back.join(found, ["graph_id", "node"], "left_anti"))
-            found = cut(found.unionByName(fresh))
-        parts.append(found.select("graph_id", "node", F.col("c").alias("component")))
-        left = cut(left.join(found, ["graph_id", "node"], "left_anti"))
-        keep = lambda df, name: df.join(left.select("graph_id", F.col("node").alias(name)), ["graph_id", name], "left_semi")  # noqa: B023, E731
-        links = cut(keep(keep(inner, "src"), "dst"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def strongly_connected(units: DataFrame, edges: DataFrame, limit: int = KERNEL_EDGES) -> DataFrame:
-    """(graph_id, node, component); singletons are components too, named like the others by the smallest member."""
-    small, large = _split(units, edges, limit)
-    out = _per_graph(*small, "node string, component string", lambda n, e: [(x, p[0]) for p in strong_components(n, e) for x in p])
-    return out if large is None else out.unionByName(_coloured(node_set(*large), large[1]))
+    members = cut(strongly_connected(units, edges))
+    own = lambda name: members.select("graph_id", F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+    links = cut(edges.join(own("src"), ["graph_id", "src"]).join(own("dst"), ["graph_id", "dst"]).select("graph_id", F.col("c_src").alias("a"), F.col("c_dst").alias("b")).dropDuplicates())
+    loops = links.where("a = b").select("graph_id", F.col("a").alias("component"), F.lit(True).alias("loop"))
+    components = members.groupBy("graph_id", "component").agg(F.count("*").alias("size")).join(loops, ["graph_id", "component"], "left")
+    components = cut(components.select("graph_id", "component", "size", F.coalesce("loop", F.lit(False)).alias("cyclic")))
+    reached = cut(links.where("a <> b"))
+    grown = not reached.isEmpty()
+    while grown:
+        step = reached.withColumnRenamed("b", "m").join(reached.withColumnRenamed("a", "m"), ["graph_id", "m"]).select("graph_id", "a", "b")
+        new = cut(reached.unionByName(step).dropDuplicates())
+        grown = new.count() > reached.count()
+        release(reached)
+        reached = new
+    release(links)
+    return members, components, reached
+
+
+def reachability(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst): dst is reached from src by one edge or more. The result has as many rows as there are such pairs."""
+    members, components, reached = condensation(units, edges)
+    pairs = reached.unionByName(components.where("cyclic").select("graph_id", F.col("component").alias("a"), F.col("component").alias("b")))
+    own = lambda name, at: members.select("graph_id", F.col("component").alias(at), F.col("node").alias(name))
+    return cut(pairs).join(own("src", "a"), ["graph_id", "a"]).join(own("dst", "b"), ["graph_id", "b"]).select("graph_id", "src", "dst")
+
+
+def reach_counts(components: DataFrame, reached: DataFrame) -> DataFrame:
+    """(graph_id, component, reach): how many vertices each vertex of a component reaches, from the sizes of components alone."""
+    sizes = components.select("graph_id", F.col("component").alias("b"), "size")
+    far = reached.join(sizes, ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("component")).agg(F.sum("size").alias("far"))
+    return components.join(far, ["graph_id", "component"], "left").select("graph_id", "component", (F.coalesce("far", F.lit(0)) + F.when(F.col("cyclic"), F.col("size")).otherwise(0)).alias("reach"))
 
 
 def diagnostics(units: DataFrame, warrants: DataFrame, relations: DataFrame) -> DataFrame:
@@ -285,8 +338,9 @@ def diagnostics(units: DataFrame, warrants: DataFrame, relations: DataFrame) ->
     w = warrants.groupBy("graph_id").agg(F.count_if(F.coalesce("is_axiom", F.lit(False))).alias("axiom_warrants"))
     cyc = cycles(units, edges).groupBy("graph_id").agg(F.count("*").alias("cycle_count"))
     comp = weakly_connected(units, edges).groupBy("graph_id").agg(F.count_distinct("component").alias("component_count"))
-    scc = strongly_connected(units, edges).groupBy("graph_id").agg(F.count_distinct("component").alias("scc_count"))
-    reach = reachability(units, edges).groupBy("graph_id", "src").count().groupBy("graph_id").agg(F.max("count").alias("max_reachability"))
+    _, components, reached = condensation(units, edges)
+    scc = components.groupBy("graph_id").agg(F.count("*").alias("scc_count"))
+    reach = reach_counts(components, reached).groupBy("graph_id").agg(F.max("reach").alias("max_reachability"))
     out = counts.select("graph_id").unionByName(kinds.select("graph_id")).dropDuplicates()
     for part in (counts, kinds, d, s, w, cyc, comp, scc, reach):
         out = out.join(part, "graph_id", "left")

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import strip
-from claimloom.operators.grouped import per_group
-from claimloom.session import cut
+from claimloom.operators.grouped import ordered_rank, per_group
 
 
 @dataclass(frozen=True)
@@ -41,19 +40,6 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def ordered_rank(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds the rank from 0 within ``by`` along ``order``, also where one group has most rows.
-
-    Rows are range-partitioned and ranked in their part; a part's ranks follow those of the parts before it.
-    """
-    parts = cut(df.repartitionByRange(*by, *order).withColumn("_pid", F.spark_partition_id()))
-    sizes = parts.groupBy(*by, "_pid").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_pid").orderBy(*order)) - 1)
-    return ranked.join(starts, [*by, "_pid"]).withColumn(name, F.col("_start") + F.col("_r")).drop("_pid", "_start", "_r")
-
-
 def _keyed(units: DataFrame, p: MergePolicy) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return units.withColumn("_key", p.unit_key(text) if p.unit_key else F.lower(strip(text))).withColumn("_at", F.struct("seg_ord", "ord", "unit_id"))

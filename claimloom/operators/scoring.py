@@ -1,9 +1,10 @@
 """Warrant-gated credibility scores of claims and warrants, by fixpoint per graph.
 
-Evidence support is relational. The fixpoint runs in one of two ways that give the same numbers: graphs of
-up to ``kernel_rows`` rows are iterated whole inside one grouped task each (one shuffle in all, however many
-iterations), larger ones by a loop of joins and sums whose state is cut each round. Every graph stops by its
-own convergence, so its number of rounds does not depend on the rest of the corpus.
+All is relational, for graphs of any size: each round is one plan of joins and sums over the claims and warrants of the
+graphs that have not come to rest, and writes their new scores as one table. Every graph stops by its own
+convergence, so its number of rounds does not depend on the rest of the corpus. Both sides of each join on a claim or
+warrant are tables, so Spark splits those that have many edges. For corpora whose graphs are all known to be small,
+``score_small_graphs`` does the same with each graph in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators.corpus import Corpus, edge_id
 from claimloom.operators.grouped import per_group
-from claimloom.session import cut
+from claimloom.session import cut, release
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,6 @@ class ScoringConfig:
     epsilon: float = 1e-4
     gate_required: bool = True
     clamp_influence: float = 4.0
-    kernel_rows: int = 200_000
 
 
 #: The preset of the credibility façade.
@@ -110,44 +110,58 @@ def _edges(c: Corpus) -> DataFrame:
     )
 
 
-def _round(claims: DataFrame, warrants: DataFrame, edges: DataFrame, attacks: DataFrame, cfg: ScoringConfig) -> tuple[DataFrame, DataFrame]:
-    """One update of warrants, gates and claims; both results carry the old score as ``before``."""
+def _round(state: DataFrame, used: DataFrame, edges: DataFrame, attacks: DataFrame, cfg: ScoringConfig) -> DataFrame:
+    """The state after one more round of the graphs that are still open: warrants, then gates, then claims.
+
+    used: (g, edge_idx, both, id) of the warrants of edges that are on, edges: (g, edge_idx, src, dst, sign, gated),
+    attacks: (g, src, id). A source that is missing has score 0 and moves nothing.
+    """
     limit = cfg.clamp_influence
-    of = claims.select("graph_id", F.col("id").alias("src"), F.col("score").alias("_s"))
+    still = state.groupBy("g").agg((F.max("change") >= F.lit(cfg.epsilon)).alias("going")).where("going").select("g")
+    now = state.join(still.withColumn("_going", F.lit(True)), "g", "left").withColumn("_going", F.coalesce("_going", F.lit(False)))
+    claims = now.where("_going and not warrant").select("g", F.col("id").alias("src"), "score")
 
     def updated(nodes: DataFrame, influence: DataFrame) -> DataFrame:
-        joined = nodes.join(influence, ["graph_id", "id"], "left")
-        pull = F.when(F.col("ignore_influence"), 0.0).otherwise(F.coalesce("_in", F.lit(0.0)))
-        z = F.lit(cfg.alpha) * F.col("evidence") + F.lit(cfg.beta) * clamp(pull, -limit, limit)
-        return joined.select("graph_id", "id", "evidence", "ignore_influence", "initial", F.col("score").alias("before"), sigmoid(z).alias("score"))
-
-    hits = attacks.join(of, ["graph_id", "src"], "left").groupBy("graph_id", F.col("warrant_id").alias("id")).agg(F.sum(-F.coalesce("_s", F.lit(0.0))).alias("_in"))
-    new_warrants = updated(warrants, hits)
-    gates = _gates(edges, new_warrants, cfg)
-    moved = edges.join(of, ["graph_id", "src"], "left").join(gates, ["graph_id", "edge_idx"])
-    pulls = moved.groupBy("graph_id", F.col("dst").alias("id")).agg(F.sum(F.col("sign") * F.coalesce("_s", F.lit(0.0)) * F.col("gate")).alias("_in"))
-    return updated(claims, pulls), new_warrants
-
-
-def _loop(claims: DataFrame, warrants: DataFrame, edges: DataFrame, attacks: DataFrame, cfg: ScoringConfig) -> tuple[DataFrame, DataFrame]:
-    """The fixpoint by joins; graphs that have converged leave the loop."""
-    done_claims, done_warrants = [], []
-    final = ["graph_id", "id", "evidence", "initial", "score", "iterations"]
-    for n in range(1, cfg.max_iterations + 1):
-        new_claims, new_warrants = (cut(x) for x in _round(claims, warrants, edges, attacks, cfg))
-        moved = new_claims.select("graph_id", F.abs(F.col("score") - F.col("before")).alias("d")).unionByName(new_warrants.select("graph_id", F.abs(F.col("score") - F.col("before")).alias("d")))
-        active = cut(moved.groupBy("graph_id").agg(F.max("d").alias("d")).where(F.col("d") >= cfg.epsilon).select("graph_id"))
-        claims, warrants = new_claims.drop("before"), new_warrants.drop("before")
-        last = n == cfg.max_iterations
-        rest = (lambda df: df) if last else (lambda df: df.join(active, "graph_id", "left_anti"))  # noqa: B023
-        done_claims.append(rest(claims).withColumn("iterations", F.lit(n)).select(*final))
-        done_warrants.append(rest(warrants).withColumn("iterations", F.lit(n)).select(*final))
-        if last or active.isEmpty():
+        pull = F.when(F.col("skip"), 0.0).otherwise(clamp(F.coalesce("_in", F.lit(0.0)), -limit, limit))
+        new = F.when(F.col("_going"), sigmoid(F.lit(cfg.alpha) * F.col("evidence") + F.lit(cfg.beta) * pull)).otherwise(F.col("score"))
+        return nodes.join(influence, ["g", "id"], "left").select(
+            "g", "warrant", "id", "evidence", "skip", "initial", new.alias("score"), F.when(F.col("_going"), F.abs(new - F.col("score"))).otherwise(0.0).alias("change"),
+            (F.col("iterations") + F.col("_going").cast("int")).alias("iterations"),
+        )
+
+    hits = attacks.join(claims, ["g", "src"]).groupBy("g", "id").agg(F.sum(-F.col("score")).alias("_in"))
+    warrants = updated(now.where("warrant"), hits)
+    values = used.join(warrants.select("g", "id", "score"), ["g", "id"], "left").withColumn("_v", F.coalesce("score", F.lit(0.5)))
+    gates = values.groupBy("g", "edge_idx").agg(F.max("both").alias("both"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    gates = gates.select("g", "edge_idx", F.when(F.col("both"), F.col("_lo")).otherwise(F.col("_hi")).alias("gate"))
+    moved = edges.join(claims, ["g", "src"]).join(gates, ["g", "edge_idx"], "left")
+    gate = F.when(F.col("gated"), F.col("gate")).otherwise(1.0)
+    pulls = moved.groupBy("g", F.col("dst").alias("id")).agg(F.sum(F.col("sign") * F.col("score") * gate).alias("_in"))
+    return updated(now.where("not warrant"), pulls).unionByName(warrants)
+
+
+def _group_key(df: DataFrame) -> DataFrame:
+    """Adds ``g``, the graph as a join key that is never null."""
+    return df.withColumn("g", F.coalesce(F.concat(F.lit("="), "graph_id"), F.lit("")))
+
+
+def _fixpoint(claims: DataFrame, warrants: DataFrame, edges: DataFrame, attacks: DataFrame, cfg: ScoringConfig) -> DataFrame:
+    """(g, warrant, id, evidence, skip, initial, score, change, iterations) when every graph has come to rest."""
+    one = lambda df, warrant: _group_key(df).select("g", F.lit(warrant).alias("warrant"), "id", "evidence", F.col("ignore_influence").alias("skip"), "initial", F.col("initial").alias("score"), F.lit(float("inf")).alias("change"), F.lit(0).alias("iterations"))
+    state = cut(one(claims, False).unionByName(one(warrants, True)))
+    keyed = _group_key(edges).where("not off")
+    # an edge without warrants passes all or nothing
+    passing = keyed.where("size(warrant_ids) > 0" if cfg.gate_required else "true")
+    links = cut(passing.select("g", "edge_idx", "src", "dst", "sign", (F.size("warrant_ids") > 0).alias("gated")).where("src is not null and dst is not null"))
+    used = cut(keyed.select("g", "edge_idx", "both", F.explode("warrant_ids").alias("id")))
+    hits = cut(_group_key(attacks).select("g", "src", F.col("warrant_id").alias("id")).where("src is not null and id is not null"))
+    for _ in range(cfg.max_iterations):
+        before, state = state, cut(_round(state, used, links, hits, cfg))
+        release(before)
+        if state.where(F.col("change") >= F.lit(cfg.epsilon)).isEmpty():
             break
-        claims, warrants, edges, attacks = (x.join(active, "graph_id", "left_semi") for x in (claims, warrants, edges, attacks))
-        claims, warrants = cut(claims), cut(warrants)
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(done_claims), union(done_warrants)
+    release(links, used, hits)
+    return state
 
 
 def iterate_graph(rows: list[tuple], cfg: ScoringConfig) -> list[tuple]:
@@ -204,41 +218,40 @@ def iterate_graph(rows: list[tuple], cfg: ScoringConfig) -> list[tuple]:
     return [("claim", r[3], float(x), n) for r, x in zip(claims, c, strict=True)] + [("warrant", r[3], float(x), n) for r, x in zip(warrants, w, strict=True)]
 
 
+def _seeds(c: Corpus, cfg: ScoringConfig) -> tuple[DataFrame, DataFrame]:
+    seed = lambda nodes, key: evidence_support(nodes, key, c, cfg.alpha).withColumn("initial", sigmoid(F.lit(cfg.alpha) * F.col("evidence")))
+    return seed(c.units, "unit_id"), seed(c.warrants, "warrant_id")
+
+
 def score_corpus(c: Corpus, cfg: ScoringConfig = CREDIBILITY) -> Scores:
     """Scores of all graphs of a corpus.
 
     Edges without warrants transmit nothing while ``gate_required``; relations' weights play no part. Rows
     with a null graph_id form a graph of their own. Empty tables give empty results.
     """
-    seed = lambda nodes, key: evidence_support(nodes, key, c, cfg.alpha).withColumn("initial", sigmoid(F.lit(cfg.alpha) * F.col("evidence")))
-    claims = cut(seed(c.units, "unit_id").withColumn("score", F.col("initial")))
-    warrants = cut(seed(c.warrants, "warrant_id").withColumn("score", F.col("initial")))
+    claims, warrants = _seeds(c, cfg)
+    edges = _edges(c)
+    state = _fixpoint(claims, warrants, edges, c.warrant_attacks, cfg)
+    graph = F.when(F.col("g") != "", F.substr("g", F.lit(2))).alias("graph_id")
+    part = lambda warrant: state.where(F.col("warrant") == warrant).select(graph, "id", "evidence", "initial", "score", "iterations")
+    return Scores(part(False), part(True), _gates(edges, part(True), cfg))
+
+
+def score_small_graphs(c: Corpus, cfg: ScoringConfig = CREDIBILITY) -> Scores:
+    """As :func:`score_corpus`, each graph in one task: one shuffle in all, for corpora whose graphs are all known to be small."""
+    claims, warrants = (cut(x) for x in _seeds(c, cfg))
     edges, attacks = _edges(c), c.warrant_attacks.select("graph_id", "attack_idx", "src", "warrant_id")
-    sizes = claims.select("graph_id").unionByName(warrants.select("graph_id")).unionByName(edges.select("graph_id")).unionByName(attacks.select("graph_id")).groupBy("graph_id").count()
-    large = cut(sizes.where(F.col("count") > cfg.kernel_rows).select("graph_id"))
-    some = not large.isEmpty()
-    small = (lambda df: df.join(large, "graph_id", "left_anti")) if some else (lambda df: df)
     null = lambda t: F.lit(None).cast(t)
+    node = lambda df, kind: df.select("graph_id", F.lit(kind).alias("kind"), F.lit(0).alias("ord"), "id", null("string").alias("src"), F.col("evidence").alias("value"), F.col("ignore_influence").alias("flag"), F.lit(False).alias("both"), null("array<string>").alias("ids"))
     long_form = (
-        small(claims).select("graph_id", F.lit("claim").alias("kind"), F.lit(0).alias("ord"), "id", null("string").alias("src"), F.col("evidence").alias("value"), F.col("ignore_influence").alias("flag"), F.lit(False).alias("both"), null("array<string>").alias("ids"))
-        .unionByName(small(warrants).select("graph_id", F.lit("warrant").alias("kind"), F.lit(0).alias("ord"), "id", null("string").alias("src"), F.col("evidence").alias("value"), F.col("ignore_influence").alias("flag"), F.lit(False).alias("both"), null("array<string>").alias("ids")))
-        .unionByName(small(edges).select("graph_id", F.lit("edge").alias("kind"), F.col("edge_idx").alias("ord"), F.col("dst").alias("id"), "src", F.col("sign").alias("value"), F.col("off").alias("flag"), "both", F.col("warrant_ids").alias("ids")))
-        .unionByName(small(attacks).select("graph_id", F.lit("attack").alias("kind"), F.col("attack_idx").alias("ord"), F.col("warrant_id").alias("id"), "src", F.lit(0.0).alias("value"), F.lit(False).alias("flag"), F.lit(False).alias("both"), null("array<string>").alias("ids")))
+        node(claims, "claim").unionByName(node(warrants, "warrant"))
+        .unionByName(edges.select("graph_id", F.lit("edge").alias("kind"), F.col("edge_idx").alias("ord"), F.col("dst").alias("id"), "src", F.col("sign").alias("value"), F.col("off").alias("flag"), "both", F.col("warrant_ids").alias("ids")))
+        .unionByName(attacks.select("graph_id", F.lit("attack").alias("kind"), F.col("attack_idx").alias("ord"), F.col("warrant_id").alias("id"), "src", F.lit(0.0).alias("value"), F.lit(False).alias("flag"), F.lit(False).alias("both"), null("array<string>").alias("ids")))
     )
-    solved = cut(per_group(long_form, "graph_id", ["kind", "ord"], "kind string, id string, score double, iterations int", lambda rows: iterate_graph(rows, cfg)))
-
-    def finished(nodes: DataFrame, kind: str) -> DataFrame:
-        known = solved.where(F.col("kind") == kind).select(F.coalesce("graph_id", F.lit("")).alias("_g"), F.col("graph_id").isNull().alias("_n"), "id", F.col("score").alias("_score"), "iterations")
-        rows = nodes.withColumn("_g", F.coalesce("graph_id", F.lit(""))).withColumn("_n", F.col("graph_id").isNull())
-        return rows.join(known, ["_g", "_n", "id"]).select("graph_id", "id", "evidence", "initial", F.col("_score").alias("score"), "iterations")
-
-    out_claims, out_warrants = finished(claims, "claim"), finished(warrants, "warrant")
-    if some:
-        big = lambda df: df.join(large, "graph_id", "left_semi")
-        more_claims, more_warrants = _loop(big(claims), big(warrants), cut(big(edges)), cut(big(attacks)), cfg)
-        out_claims, out_warrants = out_claims.unionByName(more_claims), out_warrants.unionByName(more_warrants)
-    out_claims, out_warrants = cut(out_claims), cut(out_warrants)
-    return Scores(out_claims, out_warrants, _gates(edges, out_warrants, cfg))
+    solved = cut(_group_key(per_group(long_form, "graph_id", ["kind", "ord"], "kind string, id string, score double, iterations int", lambda rows: iterate_graph(rows, cfg))).drop("graph_id"))
+    known = lambda kind: solved.where(F.col("kind") == kind).drop("kind")
+    out = [_group_key(nodes).join(known(kind), ["g", "id"]).select("graph_id", "id", "evidence", "initial", "score", "iterations") for nodes, kind in ((claims, "claim"), (warrants, "warrant"))]
+    return Scores(*out, _gates(edges, out[1], cfg))
 
 
 def iteration_history(c: Corpus, rounds: int, cfg: ScoringConfig = CREDIBILITY) -> DataFrame:
