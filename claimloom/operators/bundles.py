@@ -48,17 +48,22 @@ def signed_weight(kind: Column, weight: Column) -> Column:
     return F.when(kind == "support", base).otherwise(-F.abs(base))
 
 
+def _total(x: Column) -> Column:
+    """The sum by decimal digits, so that weights that cancel out give 0 in any order; of weights beyond 1e12 the plain sum."""
+    return F.when(F.max(F.abs(x)) < 1e12, F.sum(x.try_cast("decimal(38,18)")).cast("double")).otherwise(F.sum(x))
+
+
 def aggregate_weights(w: Column, at: Column, how: str) -> Column:
     """sum, mean, max (the largest size, of ties the first by ``at``) or softmax (weights e^|w|, with e = 2.718281828)."""
     if how == "sum":
-        return F.sum(w)
+        return _total(w)
     if how == "mean":
-        return F.avg(w)
+        return _total(w) / F.count(w)
     if how == "max":
         return F.max_by(w, F.struct(F.abs(w), -at))
     if how == "softmax":
         e = F.pow(F.lit(2.718281828), F.abs(w))
-        return F.sum(w * e) / F.sum(e)
+        return _total(w * e) / F.sum(e)
     raise ValueError(f"unknown aggregation: {how}")
 
 

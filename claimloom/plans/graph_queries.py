@@ -6,6 +6,7 @@ current rows of the whole tables: the last delivery of each key that is not dele
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -19,8 +20,6 @@ from claimloom.sources import dot, graph_json
 from claimloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
-ROUNDS = 3
-FIXED = replace(scoring.CREDIBILITY, max_iterations=ROUNDS, epsilon=0.0)
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -30,17 +29,11 @@ def _query(f: Query) -> Query:
     return f
 
 
-def _query_both(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Registers f twice: under its name with the fixed rounds that its SQL unrolls, and as NAME_converged by the preset's own stop rule."""
-    QUERIES[f"{f.__name__}_converged"] = lambda spark, d: f(spark, d, scoring.CREDIBILITY)
-    return _query(f)
-
-
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
-def _scored(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> tuple[Corpus, scoring.Scores]:
+def _scored(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = scoring.CREDIBILITY) -> tuple[Corpus, scoring.Scores]:
     c = load_corpus(spark, d)
     return c, scoring.score_corpus(c, cfg)
 
@@ -60,55 +53,87 @@ def claim_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)[1].claims.select("graph_id", "id", r6("initial").alias("initial"), r6("score").alias("score"))
 
 
-@_query_both
-def warrant_scores(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
-    return _scored(spark, d, cfg)[1].warrants.select("graph_id", "id", r6("initial").alias("initial"), r6("score").alias("score"))
+@_query
+def warrant_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)[1].warrants.select("graph_id", "id", r6("initial").alias("initial"), r6("score").alias("score"))
 
 
-@_query_both
-def gate_scores(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
-    return _scored(spark, d, cfg)[1].gates.select("graph_id", "edge_idx", r6("gate").alias("gate"))
+@_query
+def gate_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)[1].gates.select("graph_id", "edge_idx", r6("gate").alias("gate"))
 
 
 @_query
 def claim_scores_converged(spark: SparkSession, d: str) -> DataFrame:
     """Scores by the preset's own stop rule, with the rounds each graph took."""
-    return _scored(spark, d, scoring.CREDIBILITY)[1].claims.select("graph_id", "id", r6("score").alias("score"), "iterations")
+    return _scored(spark, d)[1].claims.select("graph_id", "id", r6("score").alias("score"), "iterations")
+
+
+@_query
+def engine_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Claims and warrants by the engine's own defaults (alpha 1, at most 50 rounds, 1e-4)."""
+    s = _scored(spark, d, scoring.ScoringConfig())[1]
+    one = lambda df, kind: df.select("graph_id", F.lit(kind).alias("kind"), "id", r6("initial").alias("initial"), r6("score").alias("score"), "iterations")
+    return one(s.claims, "claim").unionByName(one(s.warrants, "warrant"))
+
 
+@_query
+def ungated_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Claims where edges without warrants pass everything, with beta 0.5 and a clamp of 1."""
+    cfg = replace(scoring.CREDIBILITY, gate_required=False, beta=0.5, clamp_influence=1.0)
+    return _scored(spark, d, cfg)[1].claims.select("graph_id", "id", r6("score").alias("score"), "iterations")
+
+
+@_query
+def reasoner_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The tasks of the dispatcher: scores by task, and the number of explained edges of each claim."""
+    out = scoring.Reasoner(load_corpus(spark, d)).run(["Credibility", "claim_scores", "warrant_scores", "gate_scores"], explain=True)
+    one = lambda df, task, key, value: df.select(F.lit(task).alias("task"), "graph_id", key.cast("string").alias("id"), r6(value).alias("score"))
+    rows = [one(out["Credibility"].claims, "Credibility", F.col("id"), "score"), one(out["claim_scores"], "claim_scores", F.col("id"), "score"), one(out["warrant_scores"], "warrant_scores", F.col("id"), "score"), one(out["gate_scores"], "gate_scores", F.col("edge_idx"), "gate")]
+    said = out["explanations"].groupBy("graph_id", "dst").agg(F.count("*").cast("double").alias("n"))
+    return functools.reduce(DataFrame.unionByName, [*rows, one(said, "explanations", F.col("dst"), "n")])
 
-@_query_both
-def score_explanations(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
-    e = scoring.explanations(*_scored(spark, d, cfg))
+
+@_query
+def score_explanations(spark: SparkSession, d: str) -> DataFrame:
+    e = scoring.explanations(*_scored(spark, d))
     return e.select("graph_id", "edge_id", "src", "dst", "kind", r6("gate").alias("gate"), r6("src_score").alias("src_score"), r6("influence").alias("influence"), "gate_mode")
 
 
-@_query_both
-def explanation_totals(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
-    e = scoring.explanation_totals(*_scored(spark, d, cfg))
+@_query
+def explanation_totals(spark: SparkSession, d: str) -> DataFrame:
+    e = scoring.explanation_totals(*_scored(spark, d))
     return e.select("graph_id", "id", F.round("evidence_support", 9).alias("evidence_support"), "incoming", r6("total_influence").alias("total_influence"), r6("final_score").alias("final_score"))
 
 
-@_query_both
-def warrant_fragility(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
-    f = scoring.warrant_fragility(*_scored(spark, d, cfg))
+@_query
+def warrant_fragility(spark: SparkSession, d: str) -> DataFrame:
+    f = scoring.warrant_fragility(*_scored(spark, d))
     return f.select("graph_id", "edge_id", "dst", "gate_mode", r6("gate_score").alias("gate_score"), F.array_join("critical_warrants", ",").alias("critical_warrants"))
 
 
 @_query
 def gated_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Relations after the gate actions of self-attacks and unstated warrants."""
-    return _gated(load_corpus(spark, d)).relations.select("graph_id", "edge_idx", "gate_mode", F.coalesce("gate_disabled", F.lit(False)).alias("gate_disabled"), "gate_action")
+    """Relations after the gate actions of all patterns of the bank."""
+    return _gated(load_corpus(spark, d)).relations.select("graph_id", "edge_idx", "gate_mode", F.coalesce("gate_disabled", F.lit(False)).alias("gate_disabled"), F.coalesce("gate_restricted", F.lit(False)).alias("gate_restricted"), "gate_action")
 
 
-def _gated(c: Corpus) -> Corpus:
-    found = patterns.self_attack(c.relations).unionByName(patterns.unstated_warrant(c.relations))
-    matches = found.withColumn("match_ord", F.col("order")).withColumn("action", F.lit("disable_edge"))
-    return replace(c, relations=patterns.apply_gate_actions(c.relations, matches))
+@_query
+def restricted_relations(spark: SparkSession, d: str) -> DataFrame:
+    """As gated_relations, with a bank that restricts edges without warrants instead of disabling them."""
+    c = load_corpus(spark, d)
+    return _gated(c, [(*p[:4], "restrict_edge", p[5]) if p[0] == "unstated_warrant" else p for p in patterns.pattern_bank()]).relations.select(
+        "graph_id", "edge_idx", "gate_mode", F.coalesce("gate_disabled", F.lit(False)).alias("gate_disabled"), F.coalesce("gate_restricted", F.lit(False)).alias("gate_restricted"), "gate_action"
+    )
+
 
+def _gated(c: Corpus, bank: list[tuple[str, ...]] | None = None) -> Corpus:
+    return replace(c, relations=patterns.apply_gate_actions(c.relations, patterns.detect_patterns(c.units, c.relations, bank)))
 
-@_query_both
-def claim_scores_after_gating(spark: SparkSession, d: str, cfg: scoring.ScoringConfig = FIXED) -> DataFrame:
-    s = scoring.score_corpus(_gated(load_corpus(spark, d)), cfg)
+
+@_query
+def claim_scores_after_gating(spark: SparkSession, d: str) -> DataFrame:
+    s = scoring.score_corpus(_gated(load_corpus(spark, d)))
     return s.claims.select("graph_id", "id", r6("score").alias("score"))
 
 
@@ -162,7 +187,8 @@ def find_cycles(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     c = load_corpus(spark, d)
-    return graphs.diagnostics(c.units, c.warrants, c.relations)
+    out = graphs.diagnostics(c.units, c.warrants, c.relations)
+    return out.withColumns({"avg_in": r6("avg_in"), "avg_out": r6("avg_out")})
 
 
 @_query
@@ -255,8 +281,7 @@ def _members(c: Corpus) -> DataFrame:
 def _projection(how: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         c = load_corpus(spark, d)
-        out = bundles.project_bundles(_members(c), c.relations, how, check=False)
-        return out.select("graph_id", "src", "dst", F.when(r6("weight") == 0, "zero").otherwise(F.col("kind")).alias("kind"), (r6("weight") + 0.0).alias("weight"))
+        return bundles.project_bundles(_members(c), c.relations, how).select("graph_id", "src", "dst", "kind", (r6("weight") + 0.0).alias("weight"))
 
     return run
 
@@ -293,7 +318,6 @@ def paragraph_segments(spark: SparkSession, d: str) -> DataFrame:
 def claim_spans(spark: SparkSession, d: str) -> DataFrame:
     """Where the tags and titles of documents first stand in their texts."""
     docs = read_table(spark, d, "documents").where("text is not null")
-    # the SQL leaves out documents with null tags
     tags = F.coalesce("tags", F.array().cast("array<string>"))
     names = docs.select("doc_id", "text", F.explode(F.array_distinct(F.concat(tags, F.array("title")))).alias("claim")).where("claim is not null and claim <> ''")
     start, end = segments.locate(F.col("claim"), F.col("text"), F.lit(0))
@@ -469,59 +493,71 @@ _ITEMS = f"""cs AS (
 ), means AS (SELECT graph_id, kind, id, avg(CAST(s AS DOUBLE)) AS m FROM signed WHERE s IS NOT NULL GROUP BY ALL)
 , p AS (SELECT *, greatest(CAST(1e-6 AS DOUBLE), least(1 - CAST(1e-6 AS DOUBLE), (greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), coalesce(score, 0))) + 1) / 2)) AS q FROM nodes)
 , ev AS (
-  SELECT p.graph_id, p.kind, p.id, coalesce(ignore_influence, FALSE) AS skip, CASE WHEN coalesce(is_axiom, FALSE) THEN ln(q / (1 - q)) / 0.5 WHEN m IS NULL THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), m)) END AS evidence
+  SELECT p.graph_id, p.kind, p.id, coalesce(ignore_influence, FALSE) AS skip, coalesce(is_axiom, FALSE) AS axiom, CASE WHEN coalesce(is_axiom, FALSE) THEN ln(q / (1 - q)) / 0.5 WHEN m IS NULL THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), m)) END AS evidence
   FROM p LEFT JOIN means ON p.graph_id = means.graph_id AND p.kind = means.kind AND p.id = means.id
 )"""
 _SEED = (_U, _W, _C, _D, _ITEMS)
 SQL["evidence_support"] = _with(*_SEED) + "SELECT graph_id, kind, id, round(CAST(evidence AS DOUBLE), 9) AS evidence FROM ev"
 
 
-def _chain(rounds: int, off: str = "coalesce(gate_disabled, FALSE)") -> tuple[str, ...]:
-    """CTEs c0, w0 to the last round, and g, the final gates."""
+_TRUE_OFF = "coalesce(gate_disabled, FALSE)"
+
+
+def _fixpoint_sql(alpha: float = 0.5, beta: float = 1.0, rounds: int = 100, epsilon: float = 1e-6, limit: float = 4.0, required: bool = True, relations: str = "r", off: str = _TRUE_OFF) -> tuple[str, ...]:
+    """CTEs ending in s, the scores of every graph after its own last round n, and g, the gates of these scores."""
     sig = "1.0 / (1.0 + exp(-({})))"
-    parts = [
-        f"rel AS (SELECT graph_id, edge_idx, src, dst, kind, coalesce(gate_mode, 'OR') AS gate_mode, list_filter(coalesce(warrant_ids, []), lambda x: x IS NOT NULL) AS warrant_ids, {off} AS off FROM r)",
-        "used AS (SELECT graph_id, edge_idx, unnest(warrant_ids) AS wid FROM rel)",
-        f"c0 AS (SELECT graph_id, id, evidence, skip, {sig.format('0.5 * evidence')} AS initial, {sig.format('0.5 * evidence')} AS score FROM ev WHERE kind = 'claim')",
-        f"w0 AS (SELECT graph_id, id, evidence, skip, {sig.format('0.5 * evidence')} AS initial, {sig.format('0.5 * evidence')} AS score FROM ev WHERE kind = 'warrant')",
-    ]
-    for n in range(1, rounds + 1):
-        pull = "CASE WHEN t.skip THEN 0 ELSE greatest(CAST(-4 AS DOUBLE), least(CAST(4 AS DOUBLE), coalesce(i.x, 0))) END"
-        new = "SELECT t.graph_id, t.id, t.evidence, t.skip, t.initial, " + sig.format(f"0.5 * t.evidence + {pull}") + " AS score"
-        parts += [
-            f"w{n} AS ({new} FROM w{n - 1} t LEFT JOIN (SELECT a.graph_id, a.warrant_id, sum(-coalesce(s.score, 0)) AS x FROM a LEFT JOIN c{n - 1} s ON a.graph_id = s.graph_id AND a.src = s.id GROUP BY ALL) i ON t.graph_id = i.graph_id AND t.id = i.warrant_id)",
-            _gate_sql(n),
-            f"c{n} AS ({new} FROM c{n - 1} t LEFT JOIN (SELECT rel.graph_id, rel.dst, sum(CASE WHEN rel.kind = 'support' THEN 1 ELSE -1 END * coalesce(s.score, 0) * g.gate) AS x FROM rel JOIN g{n} g ON rel.graph_id = g.graph_id AND rel.edge_idx = g.edge_idx LEFT JOIN c{n - 1} s ON rel.graph_id = s.graph_id AND rel.src = s.id GROUP BY ALL) i ON t.graph_id = i.graph_id AND t.id = i.dst)",
-        ]
-    return tuple(parts)
-
-
-def _gate_sql(n: int) -> str:
+    num = lambda x: f"CAST({x} AS DOUBLE)"
+    pull = f"CASE WHEN t.skip THEN {num(0)} ELSE greatest({num(-limit)}, least({num(limit)}, coalesce(i.v, 0))) END"
+    new = "t.graph_id, t.kind, t.id, t.evidence, t.skip, t.initial, " + sig.format(f"{num(alpha)} * t.evidence + {num(beta)} * {pull}") + " AS score"
+    evidence = f"CASE WHEN axiom THEN evidence * 0.5 / {num(alpha)} ELSE evidence END"
+    gates = lambda w: (
+        f"SELECT rel.graph_id, rel.edge_idx, CASE WHEN rel.off THEN {num(0)} WHEN v.lo IS NULL THEN {num(0 if required else 1)} WHEN rel.gate_mode = 'AND' THEN v.lo ELSE v.hi END AS gate FROM rel LEFT JOIN "
+        f"(SELECT used.graph_id, used.edge_idx, min(coalesce(w.score, {num(0.5)})) AS lo, max(coalesce(w.score, {num(0.5)})) AS hi FROM used LEFT JOIN {w} w ON used.graph_id = w.graph_id AND used.wid = w.id GROUP BY ALL) v "
+        "ON rel.graph_id = v.graph_id AND rel.edge_idx = v.edge_idx"
+    )
     return (
-        f"g{n} AS (SELECT rel.graph_id, rel.edge_idx, CASE WHEN rel.off THEN CAST(0 AS DOUBLE) WHEN v.lo IS NULL THEN CAST(0 AS DOUBLE) WHEN rel.gate_mode = 'AND' THEN v.lo ELSE v.hi END AS gate FROM rel LEFT JOIN "
-        f"(SELECT used.graph_id, used.edge_idx, min(coalesce(s.score, CAST(0.5 AS DOUBLE))) AS lo, max(coalesce(s.score, CAST(0.5 AS DOUBLE))) AS hi FROM used LEFT JOIN w{n} s ON used.graph_id = s.graph_id AND used.wid = s.id GROUP BY ALL) v "
-        "ON rel.graph_id = v.graph_id AND rel.edge_idx = v.edge_idx)"
+        f"rel AS (SELECT graph_id, edge_idx, src, dst, kind, coalesce(gate_mode, 'OR') AS gate_mode, list_filter(coalesce(warrant_ids, []), lambda x: x IS NOT NULL) AS warrant_ids, {off} AS off FROM {relations})",
+        "used AS (SELECT graph_id, edge_idx, unnest(warrant_ids) AS wid FROM rel)",
+        f"z AS (SELECT graph_id, kind, id, {evidence} AS evidence, skip FROM ev)",
+        f"""x AS (
+  SELECT graph_id, kind, id, evidence, skip, {sig.format(f'{num(alpha)} * evidence')} AS initial, {sig.format(f'{num(alpha)} * evidence')} AS score, CAST('inf' AS DOUBLE) AS change, 0 AS n FROM z
+  UNION ALL (
+    WITH going AS (SELECT graph_id FROM x GROUP BY graph_id HAVING max(change) >= {epsilon} AND max(n) < {rounds}),
+    cur AS (SELECT x.* FROM x JOIN going ON x.graph_id = going.graph_id),
+    wn AS (SELECT {new}, t.score AS old, t.n FROM cur t LEFT JOIN (SELECT a.graph_id, a.warrant_id, sum(-s.score) AS v FROM a JOIN cur s ON s.kind = 'claim' AND a.graph_id = s.graph_id AND a.src = s.id GROUP BY ALL) i ON t.graph_id = i.graph_id AND t.id = i.warrant_id WHERE t.kind = 'warrant'),
+    gn AS ({gates('wn')}),
+    cn AS (SELECT {new}, t.score AS old, t.n FROM cur t LEFT JOIN (SELECT rel.graph_id, rel.dst, sum(CASE WHEN rel.kind = 'support' THEN 1 ELSE -1 END * s.score * gn.gate) AS v FROM rel JOIN gn ON rel.graph_id = gn.graph_id AND rel.edge_idx = gn.edge_idx JOIN cur s ON s.kind = 'claim' AND rel.graph_id = s.graph_id AND rel.src = s.id GROUP BY ALL) i ON t.graph_id = i.graph_id AND t.id = i.dst WHERE t.kind = 'claim')
+    SELECT graph_id, kind, id, evidence, skip, initial, score, abs(score - old), n + 1 FROM (SELECT * FROM wn UNION ALL SELECT * FROM cn)
+  )
+)""",
+        "s AS (SELECT x.* FROM x JOIN (SELECT graph_id, max(n) AS last FROM x GROUP BY graph_id) l ON x.graph_id = l.graph_id AND x.n = l.last)",
+        f"g AS ({gates(chr(40) + 'SELECT * FROM s WHERE kind = ' + chr(39) + 'warrant' + chr(39) + chr(41))})",
     )
 
 
-_K = ROUNDS
-_RUN = _with(*_SEED, _R, _A, *_chain(_K))
-SQL["claim_scores"] = _RUN + f"SELECT graph_id, id, round(initial, 6) AS initial, round(score, 6) AS score FROM c{_K}"
-SQL["warrant_scores"] = _RUN + f"SELECT graph_id, id, round(initial, 6) AS initial, round(score, 6) AS score FROM w{_K}"
-SQL["gate_scores"] = _RUN + f"SELECT graph_id, edge_idx, round(gate, 6) AS gate FROM g{_K}"
-_EXPLAIN = f"x AS (SELECT rel.*, g.gate, coalesce(s.score, CAST(0 AS DOUBLE)) AS src_score, CASE WHEN rel.kind = 'support' THEN 1 ELSE -1 END * coalesce(s.score, 0) * g.gate AS influence FROM rel JOIN c{_K} t ON rel.graph_id = t.graph_id AND rel.dst = t.id JOIN g{_K} g ON rel.graph_id = g.graph_id AND rel.edge_idx = g.edge_idx LEFT JOIN c{_K} s ON rel.graph_id = s.graph_id AND rel.src = s.id)"
-_RUN_X = _with(*_SEED, _R, _A, *_chain(_K), _EXPLAIN)
-SQL["score_explanations"] = _RUN_X + "SELECT graph_id, 'e' || edge_idx AS edge_id, src, dst, kind, round(gate, 6) AS gate, round(src_score, 6) AS src_score, round(influence, 6) AS influence, gate_mode FROM x"
-SQL["explanation_totals"] = _RUN_X + f"SELECT t.graph_id, t.id, round(t.evidence, 9) AS evidence_support, count(x.edge_idx) AS incoming, round(coalesce(sum(x.influence), CAST(0 AS DOUBLE)), 6) AS total_influence, round(t.score, 6) AS final_score FROM c{_K} t LEFT JOIN x ON t.graph_id = x.graph_id AND t.id = x.dst GROUP BY t.graph_id, t.id, t.evidence, t.score"
-SQL["warrant_fragility"] = _RUN + f"""
+_RUN = _with(*_SEED, _R, _A, *_fixpoint_sql(), recursive=True)
+SQL["claim_scores"] = _RUN + "SELECT graph_id, id, round(initial, 6) AS initial, round(score, 6) AS score FROM s WHERE kind = 'claim'"
+SQL["claim_scores_converged"] = _RUN + "SELECT graph_id, id, round(score, 6) AS score, n AS iterations FROM s WHERE kind = 'claim'"
+SQL["warrant_scores"] = _RUN + "SELECT graph_id, id, round(initial, 6) AS initial, round(score, 6) AS score FROM s WHERE kind = 'warrant'"
+SQL["gate_scores"] = _RUN + "SELECT graph_id, edge_idx, round(gate, 6) AS gate FROM g"
+SQL["engine_scores"] = _with(*_SEED, _R, _A, *_fixpoint_sql(1.0, 1.0, 50, 1e-4), recursive=True) + "SELECT graph_id, kind, id, round(initial, 6) AS initial, round(score, 6) AS score, n AS iterations FROM s"
+SQL["ungated_scores"] = _with(*_SEED, _R, _A, *_fixpoint_sql(beta=0.5, limit=1.0, required=False), recursive=True) + "SELECT graph_id, id, round(score, 6) AS score, n AS iterations FROM s WHERE kind = 'claim'"
+_CLAIM = "(SELECT * FROM s WHERE kind = 'claim')"
+_EXPLAIN = f"y AS (SELECT rel.*, g.gate, coalesce(c.score, CAST(0 AS DOUBLE)) AS src_score, CASE WHEN rel.kind = 'support' THEN 1 ELSE -1 END * coalesce(c.score, 0) * g.gate AS influence FROM rel JOIN {_CLAIM} t ON rel.graph_id = t.graph_id AND rel.dst = t.id JOIN g ON rel.graph_id = g.graph_id AND rel.edge_idx = g.edge_idx LEFT JOIN {_CLAIM} c ON rel.graph_id = c.graph_id AND rel.src = c.id)"
+_RUN_X = _with(*_SEED, _R, _A, *_fixpoint_sql(), _EXPLAIN, recursive=True)
+SQL["score_explanations"] = _RUN_X + "SELECT graph_id, 'e' || edge_idx AS edge_id, src, dst, kind, round(gate, 6) AS gate, round(src_score, 6) AS src_score, round(influence, 6) AS influence, gate_mode FROM y"
+SQL["explanation_totals"] = _RUN_X + f"SELECT t.graph_id, t.id, round(t.evidence, 9) AS evidence_support, count(y.edge_idx) AS incoming, round(coalesce(sum(y.influence), CAST(0 AS DOUBLE)), 6) AS total_influence, round(t.score, 6) AS final_score FROM {_CLAIM} t LEFT JOIN y ON t.graph_id = y.graph_id AND t.id = y.dst GROUP BY t.graph_id, t.id, t.evidence, t.score"
+SQL["reasoner_tasks"] = _RUN_X + """SELECT task, graph_id, id, round(score, 6) AS score FROM (
+  SELECT unnest(['Credibility', 'claim_scores']) AS task, graph_id, id, score FROM s WHERE kind = 'claim' UNION ALL SELECT 'warrant_scores', graph_id, id, score FROM s WHERE kind = 'warrant'
+  UNION ALL SELECT 'gate_scores', graph_id, CAST(edge_idx AS VARCHAR), gate FROM g UNION ALL SELECT 'explanations', graph_id, dst, CAST(count(*) AS DOUBLE) FROM y GROUP BY graph_id, dst)"""
+_FRAGILE = """
 SELECT y.graph_id, 'e' || y.edge_idx AS edge_id, dst, gate_mode, round(g.gate, 6) AS gate_score, string_agg(wid, ',' ORDER BY pos) AS critical_warrants
-FROM (SELECT x.*, coalesce(s.score, CAST(0.5 AS DOUBLE)) AS v, min(coalesce(s.score, CAST(0.5 AS DOUBLE))) OVER (PARTITION BY x.graph_id, x.edge_idx) AS lo, max(coalesce(s.score, CAST(0.5 AS DOUBLE))) OVER (PARTITION BY x.graph_id, x.edge_idx) AS hi
-  FROM (SELECT graph_id, edge_idx, dst, gate_mode, unnest(warrant_ids) AS wid, generate_subscripts(warrant_ids, 1) AS pos FROM r) x LEFT JOIN w{_K} s ON x.graph_id = s.graph_id AND x.wid = s.id) y
-JOIN g{_K} g ON y.graph_id = g.graph_id AND y.edge_idx = g.edge_idx WHERE v = CASE WHEN gate_mode = 'AND' THEN lo ELSE hi END GROUP BY ALL"""
+FROM (SELECT v.*, coalesce(w.score, CAST(0.5 AS DOUBLE)) AS v, min(coalesce(w.score, CAST(0.5 AS DOUBLE))) OVER (PARTITION BY v.graph_id, v.edge_idx) AS lo, max(coalesce(w.score, CAST(0.5 AS DOUBLE))) OVER (PARTITION BY v.graph_id, v.edge_idx) AS hi
+  FROM (SELECT graph_id, edge_idx, dst, gate_mode, unnest(warrant_ids) AS wid, generate_subscripts(warrant_ids, 1) AS pos FROM r) v LEFT JOIN (SELECT * FROM s WHERE kind = 'warrant') w ON v.graph_id = w.graph_id AND v.wid = w.id) y
+JOIN g ON y.graph_id = g.graph_id AND y.edge_idx = g.edge_idx WHERE v = CASE WHEN gate_mode = 'AND' THEN lo ELSE hi END GROUP BY ALL"""
+SQL["warrant_fragility"] = _RUN + _FRAGILE
 _BARE = "(warrant_ids IS NULL OR len(warrant_ids) = 0)"
 _SELF = "(coalesce(kind = 'attack' AND src = dst, FALSE))"
-SQL["gated_relations"] = _with(_R) + f"SELECT graph_id, edge_idx, gate_mode, coalesce(gate_disabled, FALSE) OR {_BARE} OR {_SELF} AS gate_disabled, CASE WHEN {_BARE} THEN 'unstated_warrant' WHEN {_SELF} THEN 'self_attack' ELSE gate_action END AS gate_action FROM r"
-SQL["claim_scores_after_gating"] = _with(*_SEED, _R, _A, *_chain(_K, f"coalesce(gate_disabled, FALSE) OR {_BARE} OR {_SELF}")) + f"SELECT graph_id, id, round(score, 6) AS score FROM c{_K}"
 
 _DEG = "g AS (SELECT graph_id, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT graph_id, dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT graph_id, src, 0, 1 FROM e UNION ALL SELECT graph_id, unit_id, 0, 0 FROM u) GROUP BY ALL)"
 SQL["degrees"] = _with(_U, _R, _ENDS, _DEG) + "SELECT * FROM g"
@@ -548,10 +584,90 @@ FROM (SELECT r.graph_id, dst, {_NORMAL} AS t, list(src ORDER BY edge_idx) AS s F
 SQL["contradiction"] = _with(_R) + """
 SELECT graph_id, src || ',' || dst AS nodes, array_to_string(list_concat(s, a), ',') AS edges, 'Same source both supports and attacks the target.' AS message
 FROM (SELECT graph_id, src, dst, list('e' || edge_idx ORDER BY edge_idx) FILTER (kind = 'support') AS s, list('e' || edge_idx ORDER BY edge_idx) FILTER (kind = 'attack') AS a FROM r WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL) WHERE s IS NOT NULL AND a IS NOT NULL"""
-_AGG = {"sum": "sum(w)", "mean": "avg(w)", "max": "arg_max(w, {'m': abs(w), 'at': -edge_idx})", "softmax": "sum(w * pow(CAST(2.718281828 AS DOUBLE), abs(w))) / sum(pow(CAST(2.718281828 AS DOUBLE), abs(w)))"}
+def _walk(edges: str, out: str) -> tuple[str, ...]:
+    """CTEs ending in ``out`` (graph_id, nodes): the cycles of one depth-first walk per graph over the CTE ``edges``, a step of the walk per round."""
+    p = out + "_"
+    return (
+        f"{p}n AS (SELECT graph_id, node, row_number() OVER (PARTITION BY graph_id ORDER BY a, b, c, node) AS i FROM (SELECT graph_id, node, min(a) AS a, arg_min(b, (a, b, c)) AS b, arg_min(c, (a, b, c)) AS c FROM (SELECT graph_id, unit_id AS node, 0 AS a, ord AS b, 0 AS c FROM u UNION ALL SELECT graph_id, src, 1, edge_idx, 0 FROM {edges} UNION ALL SELECT graph_id, dst, 1, edge_idx, 1 FROM {edges}) GROUP BY graph_id, node))",
+        f"{p}o AS (SELECT n.graph_id, n.i, n.node, coalesce(list(m.i ORDER BY e.edge_idx) FILTER (m.i IS NOT NULL), []) AS out FROM {p}n n LEFT JOIN {edges} e ON n.graph_id = e.graph_id AND n.node = e.src LEFT JOIN {p}n m ON e.graph_id = m.graph_id AND e.dst = m.node GROUP BY ALL)",
+        f"{p}g AS (SELECT graph_id, list(out ORDER BY i) AS adj, list(node ORDER BY i) AS names, count(*) AS size FROM {p}o GROUP BY graph_id)",
+        f"""{p}w AS (
+  SELECT graph_id, CAST(0 AS BIGINT) AS root, CAST([] AS BIGINT[]) AS stack, CAST([] AS BIGINT[]) AS ptr, list_transform(range(size), lambda x: CAST(0 AS BIGINT)) AS mark, CAST(NULL AS BIGINT[]) AS cyc FROM {p}g
+  UNION ALL SELECT graph_id, CASE act WHEN 'next' THEN root + 1 ELSE root END,
+    CASE act WHEN 'pop' THEN stack[:-2] WHEN 'push' THEN list_append(stack, child) WHEN 'next' THEN CASE WHEN mark[root + 1] = 0 THEN [root + 1] ELSE [] END ELSE stack END,
+    CASE act WHEN 'pop' THEN ptr[:-2] WHEN 'push' THEN list_append(list_append(ptr[:-2], ptr[-1] + 1), 1) WHEN 'next' THEN CASE WHEN mark[root + 1] = 0 THEN [1] ELSE [] END ELSE list_append(ptr[:-2], ptr[-1] + 1) END,
+    CASE WHEN act = 'pop' THEN list_concat(list_append(mark[:stack[-1] - 1], 2), mark[stack[-1] + 1:]) WHEN act = 'push' THEN list_concat(list_append(mark[:child - 1], 1), mark[child + 1:])
+      WHEN act = 'next' AND mark[root + 1] = 0 THEN list_concat(list_append(mark[:root], 1), mark[root + 2:]) ELSE mark END,
+    CASE act WHEN 'cycle' THEN stack[list_position(stack, child):] END
+  FROM (SELECT *, CASE WHEN len(stack) = 0 THEN 'next' WHEN child IS NULL THEN 'pop' WHEN mark[child] = 0 THEN 'push' WHEN mark[child] = 1 THEN 'cycle' ELSE 'skip' END AS act
+    FROM (SELECT w.*, CASE WHEN len(w.stack) > 0 THEN g.adj[w.stack[-1]][w.ptr[-1]] END AS child FROM {p}w w JOIN {p}g g ON w.graph_id = g.graph_id WHERE len(w.stack) > 0 OR w.root < g.size))
+)""",
+        f"""{out} AS (SELECT graph_id, nodes, row_number() OVER (PARTITION BY graph_id ORDER BY nodes) - 1 AS cycle_no FROM (SELECT DISTINCT graph_id, list_concat(c[list_position(c, list_min(c)):], c[:list_position(c, list_min(c)) - 1]) AS nodes
+  FROM (SELECT w.graph_id, list_transform(w.cyc, lambda x: g.names[x]) AS c FROM {p}w w JOIN {p}g g ON w.graph_id = g.graph_id WHERE w.cyc IS NOT NULL)))""",
+    )
+
+
+_SUPPORT = "es AS (SELECT graph_id, edge_idx, src, dst FROM r WHERE src IS NOT NULL AND dst IS NOT NULL AND kind = 'support')"
+SQL["find_cycles"] = _with(_U, _R, _ENDS, *_walk("e", "cy"), recursive=True) + "SELECT graph_id, CAST(cycle_no AS INTEGER) AS cycle_no, array_to_string(nodes, ',') AS nodes FROM cy"
+_CIRCLES = """ci AS (SELECT q.graph_id, q.cycle_no, q.nodes, list('e' || es.edge_idx ORDER BY es.edge_idx) AS edges FROM (
+  SELECT graph_id, cycle_no, nodes, unnest(nodes) AS a, unnest(list_append(nodes[2:], nodes[1])) AS b FROM cis WHERE len(nodes) > 1) q JOIN es ON q.graph_id = es.graph_id AND q.a = es.src AND q.b = es.dst GROUP BY ALL)"""
+_CIRCULAR = (_SUPPORT, *_walk("es", "cis"), _CIRCLES)
+SQL["circular_reasoning"] = _with(_U, _R, *_CIRCULAR, recursive=True) + "SELECT graph_id, array_to_string(nodes, ',') AS nodes, array_to_string(edges, ',') AS edges, 'Support cycle detected across ' || len(nodes) || ' claims.' AS message FROM ci"
+
+
+def _matches() -> tuple[str, ...]:
+    """CTE ending in m: all matches with the pattern's rank and their order, nodes and edges as lists."""
+    plain = f"""m0 AS (
+  SELECT graph_id, 0 AS rank, CAST(cycle_no AS BIGINT) AS o, 'circular_reasoning' AS pattern_id, nodes, edges, 'Support cycle detected across ' || len(nodes) || ' claims.' AS message FROM ci
+  UNION ALL SELECT graph_id, 1, edge_idx * 2, 'self_attack', [src], ['e' || edge_idx], 'Attack edge targets the same claim.' FROM r WHERE kind = 'attack' AND src = dst
+  UNION ALL SELECT graph_id, 1, edge_idx * 2 + 1, 'unstated_warrant', [src, dst], ['e' || edge_idx], 'Edge has no explicit warrants.' FROM r WHERE {_BARE}
+  UNION ALL SELECT graph_id, 2, ord, 'unsupported_conclusion', [unit_id], [], 'Claim has no incoming support edges.' FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.graph_id = u.graph_id AND r.dst = u.unit_id AND kind = 'support')
+  UNION ALL SELECT graph_id, 3, first, 'redundancy', list_sort(list_distinct(list_append(s, dst))), [], 'Redundant supports to ' || dst || ': ' || array_to_string(s, ', ') || '.'
+    FROM (SELECT r.graph_id, dst, {_NORMAL} AS t, list(src ORDER BY edge_idx) AS s, min(edge_idx) AS first FROM r JOIN u ON r.graph_id = u.graph_id AND r.src = u.unit_id WHERE kind = 'support' AND dst IS NOT NULL GROUP BY ALL) WHERE len(s) > 1
+  UNION ALL SELECT graph_id, 4, first, 'contradiction', [src, dst], list_concat(s, a), 'Same source both supports and attacks the target.'
+    FROM (SELECT graph_id, src, dst, min(edge_idx) FILTER (kind IN ('support', 'attack')) AS first, list('e' || edge_idx ORDER BY edge_idx) FILTER (kind = 'support') AS s, list('e' || edge_idx ORDER BY edge_idx) FILTER (kind = 'attack') AS a FROM r WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL) WHERE s IS NOT NULL AND a IS NOT NULL)"""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    bank = "b AS (SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(quoted, p))})" for p in patterns.PATTERNS) + ") t(pattern_id, name, category, kind, action, description))"
+    return (*_CIRCULAR, plain, bank, "m AS (SELECT m0.graph_id, rank * 1000000000000 + o AS match_ord, b.*, nodes, edges, message FROM m0 JOIN b ON m0.pattern_id = b.pattern_id)")
+
+
+SQL["pattern_matches"] = _with(_U, _R, *_matches(), recursive=True) + "SELECT graph_id, match_ord, pattern_id, name, category, kind, action, array_to_string(nodes, ',') AS nodes, array_to_string(edges, ',') AS edges, message FROM m"
+
+
+def _acted(restrict: str = "") -> str:
+    """CTE ra: the relations after the actions, edges of the pattern ``restrict`` being restricted instead of disabled."""
+    return f"""ra AS (SELECT r.* REPLACE (coalesce(gate_disabled, FALSE) OR coalesce(dis, FALSE) AS gate_disabled, coalesce(gate_restricted, FALSE) OR coalesce(res, FALSE) AS gate_restricted, CASE WHEN res THEN 'AND' ELSE gate_mode END AS gate_mode, coalesce(p, gate_action) AS gate_action)
+  FROM r LEFT JOIN (SELECT graph_id, e, arg_max(pattern_id, match_ord) AS p, bool_or(pattern_id <> '{restrict}') AS dis, bool_or(pattern_id = '{restrict}') AS res FROM (SELECT graph_id, match_ord, pattern_id, unnest(edges) AS e FROM m WHERE action = 'disable_edge') GROUP BY graph_id, e) q ON r.graph_id = q.graph_id AND 'e' || r.edge_idx = q.e)"""
+
+
+SQL["gated_relations"] = _with(_U, _R, *_matches(), _acted(), recursive=True) + "SELECT graph_id, edge_idx, gate_mode, gate_disabled, gate_restricted, gate_action FROM ra"
+SQL["restricted_relations"] = _with(_U, _R, *_matches(), _acted("unstated_warrant"), recursive=True) + "SELECT graph_id, edge_idx, gate_mode, gate_disabled, gate_restricted, gate_action FROM ra"
+SQL["claim_scores_after_gating"] = _with(*_SEED, _R, _A, *_matches(), _acted(), *_fixpoint_sql(relations="ra"), recursive=True) + "SELECT graph_id, id, round(score, 6) AS score FROM s WHERE kind = 'claim'"
+SQL["diagnostics"] = _with(
+    _U, _R, _W, _ENDS, _SUPPORT, _NODES, *_walk("e", "cy"), _BOTH, _CLOSE,
+    "wc AS (SELECT graph_id, node AS a, node AS b FROM n UNION SELECT wc.graph_id, wc.a, l.b FROM wc JOIN l ON wc.graph_id = l.graph_id AND wc.b = l.a)",
+    "wk AS (SELECT graph_id, count(DISTINCT c) AS component_count FROM (SELECT graph_id, a, min(b) AS c FROM wc GROUP BY ALL) GROUP BY graph_id)",
+    "sk AS (SELECT graph_id, count(DISTINCT c) AS scc_count FROM (SELECT n.graph_id, n.node, least(n.node, min(x.dst)) AS c FROM n LEFT JOIN (SELECT p.graph_id, p.src, p.dst FROM t p JOIN t q ON p.graph_id = q.graph_id AND p.src = q.dst AND p.dst = q.src) x ON n.graph_id = x.graph_id AND n.node = x.src GROUP BY n.graph_id, n.node) GROUP BY graph_id)",
+    "dg AS (SELECT n.graph_id, n.node, (SELECT count(*) FROM e WHERE e.graph_id = n.graph_id AND e.dst = n.node) AS i, (SELECT count(*) FROM e WHERE e.graph_id = n.graph_id AND e.src = n.node) AS o FROM n)",
+    "dd AS (SELECT graph_id, sum(i) AS ti, sum(o) AS tt, max(i) AS max_in, max(o) AS max_out, count(*) FILTER (i = 0 AND o = 0) AS isolated_units FROM dg GROUP BY graph_id)",
+    "us AS (SELECT k.graph_id, count(*) AS unsupported_claims FROM (SELECT graph_id, unit_id AS node FROM u UNION SELECT graph_id, src FROM es UNION SELECT graph_id, dst FROM es) k WHERE NOT EXISTS (SELECT 1 FROM es WHERE es.graph_id = k.graph_id AND es.dst = k.node) GROUP BY k.graph_id)",
+    "un AS (SELECT graph_id, count(*) AS node_count, count(*) FILTER (is_axiom) AS axiom_claims FROM u GROUP BY graph_id)",
+    "rn AS (SELECT graph_id, count(*) AS relation_count, count(*) FILTER (kind = 'support') AS support_edge_count, count(*) FILTER (kind IN ('attack', 'undercut', 'rebut')) AS attack_edge_count FROM r GROUP BY graph_id)",
+    "wn AS (SELECT graph_id, count(*) FILTER (is_axiom) AS axiom_warrants FROM w GROUP BY graph_id)",
+    "cn AS (SELECT graph_id, count(*) AS cycle_count FROM cy GROUP BY graph_id)",
+    "rc AS (SELECT graph_id, max(k) AS max_reachability FROM (SELECT graph_id, src, count(*) AS k FROM t GROUP BY ALL) GROUP BY graph_id)",
+    "al AS (SELECT graph_id FROM u UNION SELECT graph_id FROM r)", recursive=True,
+) + "SELECT al.graph_id, " + ", ".join(f"coalesce({x}, 0) AS {x}" for x in ("node_count", "relation_count", "attack_edge_count", "support_edge_count", "cycle_count", "component_count", "scc_count", "isolated_units", "unsupported_claims", "max_in", "max_out", "max_reachability", "axiom_claims", "axiom_warrants")) + """,
+  CASE WHEN node_count > 0 THEN round(coalesce(ti, 0) / CAST(node_count AS DOUBLE), 6) ELSE 0 END AS avg_in, CASE WHEN node_count > 0 THEN round(coalesce(tt, 0) / CAST(node_count AS DOUBLE), 6) ELSE 0 END AS avg_out
+FROM al LEFT JOIN un ON al.graph_id = un.graph_id LEFT JOIN rn ON al.graph_id = rn.graph_id LEFT JOIN wn ON al.graph_id = wn.graph_id LEFT JOIN dd ON al.graph_id = dd.graph_id LEFT JOIN us ON al.graph_id = us.graph_id
+LEFT JOIN wk ON al.graph_id = wk.graph_id LEFT JOIN sk ON al.graph_id = sk.graph_id LEFT JOIN cn ON al.graph_id = cn.graph_id LEFT JOIN rc ON al.graph_id = rc.graph_id"""
+
+_EXACT = "CAST(sum(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 18))) AS DOUBLE)"
+_SOFT = "pow(CAST(2.718281828 AS DOUBLE), abs(w))"
+_AGG = {"sum": _EXACT.format("w"), "mean": _EXACT.format("w") + " / count(w)", "max": "arg_max(w, {'m': abs(w), 'at': -edge_idx})", "softmax": _EXACT.format(f"w * {_SOFT}") + f" / sum({_SOFT})"}
 for _how, _sql in _AGG.items():
     SQL[f"bundle_projection_{_how}"] = _with(_U, _R, "m AS (SELECT graph_id, unit_id, 'b' || right(unit_id, 1) AS b FROM u)") + f"""
-SELECT graph_id, src, dst, CASE WHEN round(x, 6) = 0 THEN 'zero' WHEN x >= 0 THEN 'support' ELSE 'attack' END AS kind, round(x, 6) + 0.0 AS weight FROM (
+SELECT graph_id, src, dst, CASE WHEN x >= 0 THEN 'support' ELSE 'attack' END AS kind, round(x, 6) + 0.0 AS weight FROM (
   SELECT graph_id, src, dst, greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), {_sql})) AS x FROM (
     SELECT r.graph_id, p.b AS src, q.b AS dst, edge_idx, CASE WHEN kind = 'support' THEN coalesce(weight, 1) ELSE -abs(coalesce(weight, 1)) END AS w
     FROM r JOIN m p ON r.graph_id = p.graph_id AND r.src = p.unit_id JOIN m q ON r.graph_id = q.graph_id AND r.dst = q.unit_id WHERE p.b <> q.b) GROUP BY ALL)"""
@@ -568,7 +684,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS IN
 FROM (SELECT doc_id, s, n, substring(text, CAST(s + 1 AS BIGINT), 1000) AS w FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, greatest(length(text) - 101, 0) + 1, 900)) AS s FROM documents WHERE text <> '')) WHERE trim(w, {_BLANKS}) <> ''"""
 SQL["claim_spans"] = """
 SELECT doc_id, claim, CAST(place - 1 AS INTEGER) AS "start", CAST(place - 1 + length(claim) AS INTEGER) AS "end" FROM (
-  SELECT doc_id, claim, strpos(lower(text), lower(claim)) AS place FROM (SELECT DISTINCT doc_id, text, unnest(list_append(tags, title)) AS claim FROM documents WHERE text IS NOT NULL AND tags IS NOT NULL) WHERE claim IS NOT NULL AND claim <> '') WHERE place > 0"""
+  SELECT doc_id, claim, strpos(lower(text), lower(claim)) AS place FROM (SELECT DISTINCT doc_id, text, unnest(list_append(coalesce(tags, []), title)) AS claim FROM documents WHERE text IS NOT NULL) WHERE claim IS NOT NULL AND claim <> '') WHERE place > 0"""
 _TOK = lambda t, p: f"list_distinct(regexp_extract_all(lower(coalesce({t}, '')), '{p}'))"
 _PAIR = "FROM r JOIN u p ON r.graph_id = p.graph_id AND r.src = p.unit_id JOIN u q ON r.graph_id = q.graph_id AND r.dst = q.unit_id"
 _OVER = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST({e} AS DOUBLE) ELSE len(list_intersect(a, b)) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) END"
