@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.operators.corpus import _refuse
+from claimloom.sources.graph_json import relation_struct
 
 AGGREGATIONS = ("sum", "mean", "max", "softmax")
 
 
-def define_bundles(bundles: DataFrame, rows: DataFrame, units: DataFrame) -> DataFrame:
-    """Adds bundles (graph_id, bundle_id, ord, units, metadata); a null bundle_id becomes arg_{n+1}.
+def define_bundles(bundles: DataFrame, rows: DataFrame, units: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Adds bundles (graph_id, bundle_id, ord, units, relations, metadata); a null bundle_id becomes arg_{n+1}.
+
+    Relations that are given (a JSON list) are kept; where they are null, those of ``relations`` with both ends inside are taken.
 
     Fewer than two units, a bundle_id that is there already, and unknown units are refused.
     """
@@ -22,7 +25,13 @@ def define_bundles(bundles: DataFrame, rows: DataFrame, units: DataFrame) -> Dat
     rows = rows.withColumn("_n", n).join(have, "graph_id", "left")
     place = F.coalesce("_have", F.lit(0)) + F.col("_n")
     rows = rows.withColumn("bundle_id", F.coalesce("bundle_id", F.concat(F.lit("arg_"), place.cast("string")))).withColumn("ord", (place - 1).cast("int"))
-    rows = rows.select(*bundles.columns)
+    given = F.col("relations") if "relations" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("relations", given).select(*bundles.columns)
+    if relations is not None:
+        inside = bundle_relations(bundle_members(rows), relations).join(relations, ["graph_id", "edge_idx"])
+        lists = inside.select("graph_id", "bundle_id", F.struct("edge_idx", F.to_json(relation_struct(), {"ignoreNullFields": "false"}).alias("j")).alias("r")).groupBy("graph_id", "bundle_id")
+        own = lists.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["j"]), ", "), F.lit("]")).alias("_own"))
+        rows = rows.join(own, ["graph_id", "bundle_id"], "left").withColumn("relations", F.coalesce("relations", "_own", F.lit("[]"))).select(*bundles.columns)
     _refuse(rows.where("units is null or size(units) < 2").select("graph_id", "bundle_id"), "bundles need two units")
     both = bundles.unionByName(rows)
     _refuse(both.groupBy("graph_id", "bundle_id").count().where("count > 1").select("graph_id", "bundle_id"), "bundle exists already")

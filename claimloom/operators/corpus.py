@@ -21,14 +21,19 @@ SCHEMAS = {
     "warrant_attacks": "graph_id string, attack_idx int, src string, warrant_id string, kind string, rationale string, metadata string",
     "evidence_cards": "graph_id string, card_id string, ord int, title string, supporting_doc_id string, excerpt string, confidence double, metadata string",
     "supporting_documents": "graph_id string, doc_id string, ord int, name string, type string, url string, trust double, size double, upload_date string, uploader string, metadata string",
-    "bundles": "graph_id string, bundle_id string, ord int, units array<string>, metadata string",
+    "bundles": "graph_id string, bundle_id string, ord int, units array<string>, relations string, metadata string",
+    "graphs": "graph_id string, metadata string",
 }
 ID = {"units": "unit_id", "warrants": "warrant_id", "evidence_cards": "card_id", "supporting_documents": "doc_id", "bundles": "bundle_id"}
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables of a corpus. ``ord``, ``edge_idx`` and ``attack_idx`` carry the order of insertion."""
+    """The tables of a corpus. ``ord``, ``edge_idx`` and ``attack_idx`` carry the order of insertion.
+
+    ``graphs`` holds the metadata of graphs as such; a graph without any need not be there. ``relations`` of a bundle is
+    the JSON list of its own relations.
+    """
 
     units: DataFrame
     warrants: DataFrame
@@ -37,6 +42,7 @@ class Corpus:
     evidence_cards: DataFrame
     supporting_documents: DataFrame
     bundles: DataFrame
+    graphs: DataFrame
 
 
 def empty_corpus(spark: SparkSession) -> Corpus:
@@ -44,8 +50,8 @@ def empty_corpus(spark: SparkSession) -> Corpus:
 
 
 def load_corpus(spark: SparkSession, folder: str) -> Corpus:
-    """The current rows (last delivery of each key, not deleted) of the tables in ``folder``; no bundles."""
-    names = [n for n in SCHEMAS if n != "bundles"]
+    """The current rows (last delivery of each key, not deleted) of the tables in ``folder``; no bundles and no metadata of graphs."""
+    names = [n for n in SCHEMAS if n not in ("bundles", "graphs")]
     return replace(empty_corpus(spark), **{n: current(spark, folder, n) for n in names})
 
 
@@ -97,6 +103,15 @@ def with_ids(rows: DataFrame, table: DataFrame, key: str, prefix: str) -> DataFr
     return numbered.withColumn(key, F.coalesce(F.col(key), made)).drop("_n", "_top")
 
 
+def new_graphs(c: Corpus, rows: DataFrame) -> Corpus:
+    """Adds graphs (graph_id, title and, if there, metadata as JSON); a title that is not empty goes into the metadata. The last row of a graph wins."""
+    own = F.coalesce(F.col("metadata"), F.lit("{}")) if "metadata" in rows.columns else F.lit("{}")
+    title = F.to_json(F.struct("title"))
+    merged = F.when(F.coalesce("title", F.lit("")) == "", own).when(own.rlike(r"^\s*\{\s*\}\s*$"), title).otherwise(F.concat(F.regexp_replace(own, r"\}\s*$", ","), F.substr(title, F.lit(2))))
+    made = rows.select("graph_id", merged.alias("metadata"))
+    return replace(c, graphs=c.graphs.join(made, "graph_id", "left_anti").unionByName(made.groupBy("graph_id").agg(F.max("metadata").alias("metadata"))))
+
+
 def add_claims(c: Corpus, rows: DataFrame) -> Corpus:
     """Upsert of claims; null unit_ids are allocated from c1 on. ``rows`` needs graph_id, unit_id, ord, text."""
     filled = {"type": F.lit("other"), "is_axiom": F.lit(False), "ignore_influence": F.lit(False)}

@@ -1,8 +1,10 @@
 """Merging the graphs of segments into one graph per document.
 
-``doc_id`` names what is merged and ``seg_ord`` the order of its segments. Units with equal keys become one;
-with a similarity function, a new key joins the most similar key seen before it. The first is relational.
-The second depends on the order of arrival, so it runs over the distinct keys of a document in one task.
+``doc_id`` names what is merged and ``seg_ord`` the order of its segments. Units with equal keys become one; with a
+similarity, a new key joins a similar key that was kept before it. By token sets (the default) the pairs that are
+similar enough come from a prefix join on rare tokens, which loses none, and what is kept is decided in rounds: a key
+is kept once no earlier neighbour of it can be. Any other function of two keys is asked about all pairs of a document,
+in one task.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import strip
+from claimloom.functions.text import ascii_tokens, strip
+from claimloom.operators.corpus import _refuse
 from claimloom.operators.grouped import ordered_rank, per_group
+from claimloom.session import cut, release
 
 
 @dataclass(frozen=True)
@@ -45,45 +49,110 @@ def _keyed(units: DataFrame, p: MergePolicy) -> DataFrame:
     return units.withColumn("_key", p.unit_key(text) if p.unit_key else F.lower(strip(text))).withColumn("_at", F.struct("seg_ord", "ord", "unit_id"))
 
 
-def greedy_keys(keys: list[str], similarity: Callable[[str, str], float], threshold: float) -> list[tuple[str, str, float | None]]:
-    """(key, key it merges into, score or None) in order of arrival; the best earlier key wins, of equals the first.
+def similar_pairs(keys: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, a, b, score) of the keys of a document, a before b in order, whose token sets have at least this similarity.
 
-    Keys that merged are not candidates for later ones.
+    keys: (doc_id, key, at), each key once. If two sets are that similar, the rarest tokens of each, as many as its size less
+    the threshold's share of it and one more, have one in common: only these are joined. Keys without tokens are alike.
     """
-    kept: list[str] = []
-    out = []
+    tokens = ascii_tokens(F.col("key"))
+    own = cut(keys.select("doc_id", "key", "at", F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit(""))).alias("t")))
+    words = own.select("doc_id", "key", F.size("t").alias("n"), F.explode("t").alias("w"))
+    often = cut(words.groupBy("doc_id", "w").agg(F.count("*").alias("c")).where("c > 1"))
+    ranked = words.join(often, ["doc_id", "w"], "left").groupBy("doc_id", "key", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w"))).alias("r"))
+    head = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
+    posts = cut(ranked.select("doc_id", "key", "n", F.explode(F.filter(F.slice("r", F.lit(1), F.greatest(F.lit(1), F.least(head, F.col("n")))), lambda x: (x["c"] > 1))).alias("p")).select("doc_id", "key", "n", F.col("p.w").alias("w")))
+    x = posts.select("doc_id", "w", F.col("key").alias("k1"), F.col("n").alias("n1"))
+    y = posts.select("doc_id", "w", F.col("key").alias("k2"), F.col("n").alias("n2"))
+    met = x.join(y, ["doc_id", "w"]).where((F.col("k1") < F.col("k2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(threshold) - 1e-9)).select("doc_id", "k1", "k2").dropDuplicates()
+    side = lambda i: own.select("doc_id", F.col("key").alias(f"k{i}"), F.col("at").alias(f"at{i}"), F.col("t").alias(f"t{i}"))
+    both = met.join(side(1), ["doc_id", "k1"]).join(side(2), ["doc_id", "k2"])
+    shared = F.size(F.array_intersect("t1", "t2"))
+    score = shared / (F.size("t1") + F.size("t2") - shared)
+    first = F.col("at1") < F.col("at2")
+    return both.where(score >= threshold).select("doc_id", F.when(first, F.col("k1")).otherwise(F.col("k2")).alias("a"), F.when(first, F.col("k2")).otherwise(F.col("k1")).alias("b"), score.alias("score"))
+
+
+def kept_keys(keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, key, at, kept): in order of ``at``, a key is kept if no kept key before it is a pair with it.
+
+    Decided in rounds, each of which settles at least the first open key of every document.
+    """
+    later = pairs.select("doc_id", F.col("b").alias("key")).dropDuplicates().withColumn("_later", F.lit(True))
+    state = cut(keys.join(later, ["doc_id", "key"], "left").select("doc_id", "key", "at", F.coalesce("_later", F.lit(False)).alias("open"), F.col("_later").isNull().alias("kept")))
+    while not state.where("open").isEmpty():
+        earlier = pairs.join(state.select("doc_id", F.col("key").alias("a"), F.col("open").alias("_o"), F.col("kept").alias("_k")), ["doc_id", "a"])
+        seen = earlier.groupBy("doc_id", F.col("b").alias("key")).agg(F.bool_or("_k").alias("_any"), F.bool_or("_o").alias("_wait"))
+        new = state.join(seen, ["doc_id", "key"], "left").select(
+            "doc_id", "key", "at", (F.col("open") & ~F.col("_any") & F.col("_wait")).alias("open"), F.when(F.col("open"), ~F.col("_any") & ~F.col("_wait")).otherwise(F.col("kept")).alias("kept")
+        )
+        before, state = state, cut(new)
+        release(before)
+    return state.drop("open")
+
+
+def greedy_keys(keys: list[str], similarity: Callable[[str, str], float], threshold: float, best: bool) -> list[tuple[str, float | None]]:
+    """(root, score or None) of each key in order of arrival: the kept key that it joins, itself if it is kept, for any similarity."""
+    kept: dict[str, None] = {}
+    out: list[tuple[str, float | None]] = []
     for key in keys:
-        best, top = None, 0.0
-        for other in kept:
-            score = similarity(key, other)
-            if score > top:
-                best, top = other, score
-        if best is not None and top >= threshold:
-            out.append((key, best, top))
+        scored = [] if key in kept else [(s, -i, other) for i, other in enumerate(kept) if (s := similarity(key, other)) >= threshold and s > 0]
+        if scored:
+            s, _, other = max(scored) if best else max(scored, key=lambda x: x[1])
+            out.append((other, s))
         else:
-            kept.append(key)
-            out.append((key, key, None))
+            kept[key] = None
+            out.append((key, None))
     return out
 
 
+def joined_keys(rows: DataFrame, similarity: Callable[[str, str], float], threshold: float, best: bool) -> DataFrame:
+    """(doc_id, at, key, root, score) of rows (doc_id, at, key): the kept key that each joins, itself if it is kept.
+
+    In order of ``at``, a key joins a kept key before it that is similar enough: the first, or with ``best`` the most similar
+    and of these the first. A key that joined is no candidate for later ones, and is judged anew when it comes again.
+    """
+    if similarity is not jaccard:
+        fields = [f"at.{f.name}" for f in rows.schema["at"].dataType]
+        names = [f.rpartition(".")[2] for f in fields]
+        flat = rows.select("doc_id", "key", *fields)
+        kinds = ", ".join(f"{n} {flat.schema[n].dataType.simpleString()}" for n in names)
+
+        def run(group: list[tuple]) -> list[tuple]:
+            return [(*r[2:], r[1], *x) for r, x in zip(group, greedy_keys([r[1] for r in group], similarity, threshold, best), strict=True)]
+
+        found = per_group(flat, "doc_id", names, f"{kinds}, key string, root string, score double", run)
+        return found.select("doc_id", F.struct(*names).alias("at"), "key", "root", "score")
+    keys = cut(rows.groupBy("doc_id", "key").agg(F.min("at").alias("at")))
+    pairs = cut(similar_pairs(keys, threshold))
+    state = cut(kept_keys(keys, pairs))
+    both = pairs.select("doc_id", F.col("a").alias("key"), F.col("b").alias("other"), "score").unionByName(pairs.select("doc_id", F.col("b").alias("key"), F.col("a").alias("other"), "score"))
+    kept = state.where("kept").select("doc_id", F.col("key").alias("other"), F.col("at").alias("oat"))
+    order = F.struct((-F.col("score") if best else F.lit(0.0)).alias("s"), F.col("oat"), "other", "score")
+    options = both.join(kept, ["doc_id", "other"]).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(order)).alias("options"))
+    found = rows.join(state.select("doc_id", "key", "kept"), ["doc_id", "key"]).join(options, ["doc_id", "key"], "left")
+    first = F.get(F.filter("options", lambda o: o["oat"] < F.col("at")), F.lit(0))
+    return found.select("doc_id", "at", "key", F.when(F.col("kept"), F.col("key")).otherwise(first["other"]).alias("root"), F.when(~F.col("kept"), first["score"]).alias("score"))
+
+
 def unit_map(units: DataFrame, p: MergePolicy = MergePolicy()) -> DataFrame:
     """(doc_id, seg_ord, segment_id, unit_id, new_id, _at, _root, match_score): where each unit goes.
 
     New ids are c1, c2, ... in the order in which the merged units were first seen.
     """
     rows = _keyed(units, p)
-    seen = rows.groupBy("doc_id", "_key").agg(F.min("_at").alias("_first"))
     if p.similarity is None:
-        roots = seen.select("doc_id", "_key", F.col("_key").alias("_root"), F.lit(None).cast("double").alias("match_score"), "_first")
+        joined = rows.withColumn("_root", F.col("_key")).withColumn("match_score", F.lit(None).cast("double"))
     else:
-        similarity, threshold = p.similarity, p.threshold
-
-        flat = seen.select("doc_id", "_key", F.col("_first.seg_ord").alias("a"), F.col("_first.ord").alias("b"), F.col("_first.unit_id").alias("c"))
-        found = per_group(flat, "doc_id", ["a", "b", "c"], "_key string, _root string, match_score double", lambda rows: greedy_keys([r[1] for r in rows], similarity, threshold))
-        roots = found.join(seen, ["doc_id", "_key"])
-    heads = roots.where(F.col("_key") == F.col("_root")).select("doc_id", "_root", "_first.*")
-    numbered = ordered_rank(heads, ["doc_id"], ["seg_ord", "ord", "unit_id"], "_n").select("doc_id", "_root", F.concat(F.lit("c"), (F.col("_n") + 1).cast("string")).alias("new_id"))
-    return rows.select("doc_id", "seg_ord", "segment_id", "unit_id", "_key", "_at").join(roots.drop("_first"), ["doc_id", "_key"]).join(numbered, ["doc_id", "_root"])
+        rows = cut(rows.select("doc_id", "seg_ord", "segment_id", "unit_id", "_key", "_at"))
+        found = joined_keys(rows.select("doc_id", F.col("_at").alias("at"), F.col("_key").alias("key")), p.similarity, p.threshold, True)
+        joined = rows.join(found.select("doc_id", F.col("at").alias("_at"), F.col("root").alias("_root"), F.col("score").alias("match_score")), ["doc_id", "_at"])
+    heads = rows.groupBy("doc_id", F.col("_key").alias("_root")).agg(F.min("_at").alias("_first"))
+    if p.similarity is not None:
+        joined = cut(joined)
+        heads = heads.join(joined.select("doc_id", "_root").dropDuplicates(), ["doc_id", "_root"], "left_semi")
+    numbered = ordered_rank(heads.select("doc_id", "_root", "_first.*"), ["doc_id"], ["seg_ord", "ord", "unit_id"], "_n").select("doc_id", "_root", F.concat(F.lit("c"), (F.col("_n") + 1).cast("string")).alias("new_id"))
+    return joined.select("doc_id", "seg_ord", "segment_id", "unit_id", "_key", "_at", "_root", "match_score").join(numbered, ["doc_id", "_root"])
 
 
 def merge_units(units: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -149,17 +218,42 @@ def merge_claims(claims: DataFrame, similarity: Callable[[str, str], float] = ja
 
     In order of (seg_ord, ord), a claim joins the first earlier kept claim that is similar enough, or becomes c1, c2, ....
     """
+    rows = cut(claims.select("doc_id", "segment_id", F.struct("seg_ord", "ord", "claim_id", "segment_id").alias("at"), "claim_id", F.lower(strip(F.coalesce("text", F.lit("")))).alias("key")))
+    joined = cut(joined_keys(rows.select("doc_id", "at", "key"), similarity, threshold, False))
+    heads = joined.where("key = root").groupBy("doc_id", "root").agg(F.min("at").alias("head")).select("doc_id", "root", "head", "head.*")
+    numbered = ordered_rank(heads, ["doc_id"], ["seg_ord", "ord", "claim_id", "segment_id"], "_n").select("doc_id", "root", "head", F.concat(F.lit("c"), (F.col("_n") + 1).cast("string")).alias("new_id"))
+    out = joined.join(numbered, ["doc_id", "root"])
+    return out.select("doc_id", F.col("at.segment_id").alias("segment_id"), F.col("at.claim_id").alias("claim_id"), "new_id", (F.col("at") != F.col("head")).alias("merged"))
+
 
-    def run(rows: list[tuple]) -> list[tuple]:
-        kept: list[tuple[str, str]] = []
-        out = []
-        for _, segment, _, _, claim, text in rows:
-            key = (text or "").strip().lower()
-            hit = next((i for i, k in kept if similarity(key, k) >= threshold), None)
-            if hit is None:
-                kept.append((f"c{len(kept) + 1}", key))
-            out.append((segment, claim, hit or kept[-1][0], hit is not None))
-        return out
-
-    rows = claims.select("doc_id", "segment_id", "seg_ord", "ord", "claim_id", "text")
-    return per_group(rows, "doc_id", ["seg_ord", "ord", "claim_id"], "segment_id string, claim_id string, new_id string, merged boolean", run)
+@dataclass(frozen=True)
+class Reconciled:
+    """units, relations, unit_segments, relation_sources; documents: (doc_id, metadata) with the segments as JSON; the merged
+    supporting_documents and evidence_cards, and merge_conflicts (doc_id, seg_ord, kind, key)."""
+
+    units: DataFrame
+    relations: DataFrame
+    unit_segments: DataFrame
+    relation_sources: DataFrame
+    documents: DataFrame
+    supporting_documents: DataFrame | None = None
+    evidence_cards: DataFrame | None = None
+    merge_conflicts: DataFrame | None = None
+
+
+def reconcile(segments: DataFrame, graphs: DataFrame, units: DataFrame, relations: DataFrame, supporting_documents: DataFrame | None = None, evidence_cards: DataFrame | None = None, policy: MergePolicy = MergePolicy()) -> Reconciled:
+    """Merges the graphs of segments into one graph per document.
+
+    segments: (doc_id, segment_id, seg_ord, start, end); graphs: (doc_id, segment_id), the graphs that there are. Segments
+    and graphs must match one to one, else they are refused. The other tables carry doc_id, segment_id and seg_ord.
+    """
+    by = ["doc_id", "segment_id"]
+    ends = segments.select(*by, F.lit(1).alias("s"), F.lit(0).alias("g")).unionByName(graphs.select(*by, F.lit(0).alias("s"), F.lit(1).alias("g")))
+    _refuse(ends.groupBy(*by).agg(F.sum("s").alias("s"), F.sum("g").alias("g")).where("s <> 1 or g <> 1").select(*by), "segments and graphs do not match")
+    mapping = cut(unit_map(units, policy))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seg_ord", F.struct(F.col("segment_id").alias("id"), "start", "end").alias("x")))), lambda x: x["x"])
+    documents = segments.groupBy("doc_id").agg(F.to_json(F.struct(listed.alias("segments"))).alias("metadata"))
+    docs, first = merge_first(supporting_documents, "document_id", "supporting_document") if supporting_documents is not None else (None, None)
+    cards, more = merge_first(evidence_cards, "card_id", "evidence_card") if evidence_cards is not None else (None, None)
+    conflicts = first.unionByName(more) if first is not None and more is not None else first if first is not None else more
+    return Reconciled(merge_units(units, mapping), merge_relations(relations, mapping, policy), unit_segments(mapping), relation_sources(relations, mapping), documents, docs, cards, conflicts)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators.corpus import SCHEMAS, Corpus, empty_corpus
+from claimloom.operators.corpus import SCHEMAS, Corpus
 from claimloom.operators.validate import payload_violations, require_valid
 
 _COLLECTION = {"units": ("units", "unit_id"), "warrants": ("warrants", "warrant_id"), "evidence_cards": ("evidence_cards", "card_id"), "supporting_documents": ("supporting_documents", "doc_id"), "bundles": ("argument_bundles", "bundle_id")}
@@ -59,6 +58,7 @@ def _plain(d: dict, id_name: str, fields: tuple[str, ...]) -> dict:
 
 def graph_rows(data: dict) -> Iterator[tuple[str, int, dict]]:
     """(table, place, row) of each entry of a decoded graph, with the defaults of missing fields."""
+    yield "graphs", 0, {"metadata": _json(data.get("metadata") or {})}
     for table, (name, id_name) in _COLLECTION.items():
         for at, entry in enumerate((data.get(name) or {}).values()):
             if table in ("units", "warrants"):
@@ -68,7 +68,7 @@ def graph_rows(data: dict) -> Iterator[tuple[str, int, dict]]:
             elif table == "supporting_documents":
                 row = _plain(entry, id_name, ("name", "type", "url", "trust", "size", "upload_date", "uploader"))
             else:
-                row = _plain(entry, id_name, ()) | {"units": entry.get("units") or []}
+                row = _plain(entry, id_name, ()) | {"units": entry.get("units") or [], "relations": _json(entry.get("relations") or [])}
             yield table, at, row | {"ord": at}
     for at, entry in enumerate(data.get("relations") or []):
         yield "relations", at, _relation(entry) | {"edge_idx": at}
@@ -76,15 +76,8 @@ def graph_rows(data: dict) -> Iterator[tuple[str, int, dict]]:
         yield "warrant_attacks", at, {"attack_idx": at, "kind": entry.get("kind", "attack"), "metadata": _json(entry.get("metadata", {}))} | {f: entry.get(f) for f in ("src", "warrant_id", "rationale")}
 
 
-def decode_graphs(payloads: DataFrame, key: str, payload: str, validate: bool = False) -> Corpus:
-    """The corpus of all payloads that are complete JSON objects; ``key`` becomes graph_id.
-
-    With ``validate``, any payload with a violated rule is refused (the first messages are in the error).
-    """
-    if validate:
-        bad = [tuple(r) for r in payload_violations(payloads, key, payload).limit(10).collect()]
-        if bad:
-            raise ValueError("Invalid graph payload:\n" + "\n".join(f"- {k}: {m}" for k, _, m in bad))
+def decoded_parts(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """(graph_id, part, at, row): the entries of all payloads that are complete JSON objects, each as JSON, with its table's name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,16 +90,27 @@ def decode_graphs(payloads: DataFrame, key: str, payload: str, validate: bool =
                     continue
             yield pd.DataFrame(rows, columns=["graph_id", "part", "at", "row"])
 
-    spark = payloads.sparkSession
-    parts = payloads.where(F.col(payload).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(payload).alias("t")).mapInPandas(run, PARTS)
+    return payloads.where(F.col(payload).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(payload).alias("t")).mapInPandas(run, PARTS)
+
 
-    def table(name: str) -> DataFrame:
-        schema = SCHEMAS[name]
-        rows = parts.where(F.col("part") == name).select("graph_id", F.from_json("row", schema).alias("x"))
-        names = [f.name for f in spark.createDataFrame([], schema).schema]
-        return rows.select("graph_id", *[F.col(f"x.{n}") for n in names if n != "graph_id"]).select(*names)
+def table_of(parts: DataFrame, name: str) -> DataFrame:
+    """One table of the corpus from :func:`decoded_parts`."""
+    rows = parts.where(F.col("part") == name).select("graph_id", F.from_json("row", SCHEMAS[name]).alias("x"))
+    names = [f.name for f in parts.sparkSession.createDataFrame([], SCHEMAS[name]).schema]
+    return rows.select(*[F.col("graph_id" if n == "graph_id" else f"x.{n}") for n in names])
 
-    return replace(empty_corpus(spark), **{name: table(name) for name in SCHEMAS})
+
+def decode_graphs(payloads: DataFrame, key: str, payload: str, validate: bool = False) -> Corpus:
+    """The corpus of all payloads that are complete JSON objects; ``key`` becomes graph_id.
+
+    With ``validate``, any payload with a violated rule is refused (the first messages are in the error).
+    """
+    if validate:
+        bad = [tuple(r) for r in payload_violations(payloads, key, payload).limit(10).collect()]
+        if bad:
+            raise ValueError("Invalid graph payload:\n" + "\n".join(f"- {k}: {m}" for k, _, m in bad))
+    parts = decoded_parts(payloads, key, payload)
+    return Corpus(**{name: table_of(parts, name) for name in SCHEMAS})
 
 
 def read_graphs(spark: SparkSession, path: str, validate: bool = False) -> Corpus:
@@ -130,7 +134,7 @@ def _node_struct(id_name: str, bounds: bool) -> Column:
     return F.struct(ev.alias("evidence"), *fields, *more, F.col(id_name).alias("id"), _variant(F.col("metadata")).alias("metadata"), F.col("score"), F.transform("spans", span).alias("spans"), F.col("text"), F.coalesce("type", F.lit("other")).alias("type"))
 
 
-def _relation_struct() -> Column:
+def relation_struct() -> Column:
     meta = F.to_json(F.struct(F.when(F.col("gate_disabled"), True).alias("gate_disabled"), F.when(F.col("gate_restricted"), True).alias("gate_restricted"), F.col("gate_action"), F.col("confidence")))
     # the promoted keys go back into the metadata
     own = F.coalesce("metadata", F.lit("{}"))
@@ -153,11 +157,11 @@ def encode_graphs(c: Corpus) -> DataFrame:
         return df.select("graph_id", F.col(at).alias("_k"), text(struct).alias("_e")).groupBy("graph_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_e"))), lambda x: x["_e"]), ", "), F.lit("]")).alias(name))
 
     meta = _variant(F.col("metadata")).alias("metadata")
-    inside = c.bundles.select("graph_id", "bundle_id", "ord", "metadata", "units")
+    inside = c.bundles.select("graph_id", "bundle_id", "ord", "metadata", "relations", "units")
     parts = [
-        keyed(inside, "bundle_id", F.struct(F.col("bundle_id").alias("id"), meta, F.array().cast("array<string>").alias("relations"), "units"), "argument_bundles"),
+        keyed(inside, "bundle_id", F.struct(F.col("bundle_id").alias("id"), meta, F.try_parse_json(F.coalesce("relations", F.lit("[]"))).alias("relations"), "units"), "argument_bundles"),
         keyed(c.evidence_cards, "card_id", F.struct("confidence", "excerpt", F.col("card_id").alias("id"), meta, "supporting_doc_id", "title"), "evidence_cards"),
-        listed(c.relations, "edge_idx", _relation_struct(), "relations"),
+        listed(c.relations, "edge_idx", relation_struct(), "relations"),
         keyed(c.supporting_documents, "doc_id", F.struct(F.col("doc_id").alias("id"), meta, "name", "size", "trust", "type", "upload_date", "uploader", "url"), "supporting_documents"),
         keyed(c.units, "unit_id", _node_struct("unit_id", True), "units"),
         listed(c.warrant_attacks, "attack_idx", F.struct("kind", meta, "rationale", "src", "warrant_id"), "warrant_attacks"),
@@ -166,12 +170,13 @@ def encode_graphs(c: Corpus) -> DataFrame:
     out = parts[0].select("graph_id")
     for p in parts[1:]:
         out = out.unionByName(p.select("graph_id"))
-    out = out.dropDuplicates()
-    for p in parts:
+    out = out.unionByName(c.graphs.select("graph_id")).dropDuplicates()
+    own = c.graphs.select("graph_id", F.to_json(F.try_parse_json(F.coalesce("metadata", F.lit("{}")))).alias("_metadata"))
+    for p in [*parts, own]:
         out = out.join(p, "graph_id", "left")
     empty = {"argument_bundles": "{}", "evidence_cards": "{}", "relations": "[]", "supporting_documents": "{}", "units": "{}", "warrant_attacks": "[]", "warrants": "{}"}
     fields = [F.concat(F.lit(f'"{n}": '), F.coalesce(n, F.lit(e))) for n, e in empty.items()]
-    fields.insert(2, F.lit('"metadata": {}'))
+    fields.insert(2, F.concat(F.lit('"metadata": '), F.coalesce("_metadata", F.lit("{}"))))
     return out.select("graph_id", F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).alias("payload"))
 
 

@@ -1,4 +1,4 @@
-"""Streams of graph payloads: exactly-once ingest into the corpus tables, and orphan counts while data arrives."""
+"""Streams of graph payloads: exactly-once ingest into the corpus tables, and counts of what arrives."""
 
 from __future__ import annotations
 
@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimloom.operators.corpus import SCHEMAS
-from claimloom.sources.graph_json import decode_graphs
+from claimloom.session import cut, release
+from claimloom.sources.graph_json import decoded_parts, table_of
 
 
 def ingest_payloads(stream: DataFrame, key: str, payload: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Decodes each micro-batch and appends it to ``folder/<table>/batch=N``.
+    """Decodes each micro-batch once and appends it to ``folder/<table>/batch=N``.
 
     A batch that is run again overwrites its own folders, so the tables hold every payload once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        corpus = decode_graphs(batch, key, payload)
+        parts = cut(decoded_parts(batch, key, payload))
         for name in SCHEMAS:
-            getattr(corpus, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+            table_of(parts, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        release(parts)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,8 +7,9 @@ from claimloom import cli
 from claimloom.operators import mining
 from claimloom.operators import model_hooks as mh
 from claimloom.operators import validate
-from claimloom.operators.corpus import Rejected, add_claims, add_relations, add_unique, add_warrant_attacks, add_warrants, attach_cards, attach_evidence
+from claimloom.operators.corpus import Rejected, add_claims, add_relations, add_unique, add_warrant_attacks, add_warrants, attach_cards, attach_evidence, new_graphs
 from claimloom.sources import graph_json
+from claimloom.sources.graph_json import decode_graphs, encode_graphs
 
 GRAPH = {
     "units": {"c1": {"id": "c1", "text": "A", "type": "fact", "spans": [{"doc_id": "d", "start": 0, "end": 1, "text": "A", "page": 3, "modality": "pdf"}],
@@ -129,9 +130,30 @@ def test_answers():
     assert mh.parse_edge('{"evaluation": "attacks", "score": -4, "rationale": " r "}') == {"evaluation": "attack", "score": -1.0, "rationale": "r"}
     assert mh.parse_assumptions('[{"assumption": "a"}, {"assumption": ""}, {"assumption": "b", "importance": 2}, {"assumption": "c"}]', 2) == [{"assumption": "a", "rationale": None, "importance": None}, {"assumption": "b", "rationale": None, "importance": 1.0}]
     assert mh.parse_relations('{"relations": [{"src": "c1", "dst": "c1", "kind": "support"}, {"src": "c1", "dst": "c2", "kind": "Rebut"}, {"src": "c1", "dst": "c2", "kind": "x"}]}') == [{"src": "c1", "dst": "c2", "kind": "rebut", "rationale": None}]
-    assert mining.parse_segments('[{"text": "ab"}, {"id": "s", "text": "c", "start": 5}, 1]') == [{"seg_id": "seg-1", "text": "ab", "start": 0, "end": 2}, {"seg_id": "s", "text": "c", "start": 5, "end": 1}]
+    assert mining.parse_segments('[{"text": "ab"}, {"id": "s", "text": "c", "start": 5}, 1]') == [{"seg_id": "seg-1", "text": "ab", "start": 0, "end": 2, "metadata": "{}"}, {"seg_id": "s", "text": "c", "start": 5, "end": 1, "metadata": "{}"}]
     assert mh._dig('{"choices": [{"message": {"content": "hi"}}]}', "choices", 0, "message", "content") == "hi" and mh._dig("raw", "x") == "raw" and mh._dig("{}", "x") == ""
-    assert mh.Hook(mh.OfflineClient("r"), mh.CLAIM_TEMPLATE).run(input="t") == "r" and '{"claims"' in mh.CLAIM_TEMPLATE.render(input="t")
+    assert mining.parse_segments('[{"text": "a", "metadata": {"k": 1}}]')[0]["metadata"] == '{"k": 1}' and mining.parse_segments("nope") == []
+    graph = json.dumps({"units": {"c1": {"id": "c1", "text": "t", "spans": [{"doc_id": "x", "start": 0, "end": 1, "text": "t"}]}}, "relations": []})
+    assert mining.parse_graph(graph, "d9")[0]["units"]["c1"]["spans"][0]["doc_id"] == "d9" and mining.parse_graph(graph)[0]["units"]["c1"]["spans"][0]["doc_id"] == "x"
+
+
+def test_requests_of_the_services():
+    url, headers, body = mh.HttpClient("anthropic", "m", api_key="k", options={"top_k": 1}).request("p", {"user": "u"})
+    assert url.endswith("/messages") and headers["x-api-key"] == "k" and body == {"model": "m", "messages": [{"role": "user", "content": "p"}], "max_tokens": 1024, "top_k": 1, "metadata": {"user": "u"}}
+    url, headers, body = mh.HttpClient("openai", "m", api_key="k").request("p")
+    assert url.endswith("/chat/completions") and headers == {"Authorization": "Bearer k"} and "max_tokens" not in body
+    assert mh.HttpClient("ollama", "m", options={"seed": 1}).request("p")[2] == {"model": "m", "prompt": "p", "stream": False, "options": {"seed": 1}}
+    with pytest.raises(RuntimeError, match="request to openai failed"):
+        mh.HttpClient("openai", "m", api_key="k", base_url="http://127.0.0.1:9", timeout=0.2).complete("p")
+
+
+def test_coroutine_client(spark):
+    class Later:
+        async def complete(self, prompt, *, metadata=None):
+            return prompt.upper()
+
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "p string")
+    assert [r["response"] for r in mh.ask(df, "p", Later).collect()] == ["A", None, "B"]
 
 
 def credibility(spark, answer, **more):
@@ -150,6 +172,19 @@ def test_credibility(spark):
     assert credibility(spark, {"claim_score": "x", "evidence": []})["a"] == (0.0, 0.0, "weighted")
 
 
+def test_credibility_of_some_claims_and_what_is_kept(spark):
+    u = units("a", "b", metadata='{"m": 1}')
+    u[0]["evidence_ids"] = ["k1"]
+    c = corpus(spark, units=u, evidence_cards=[{"card_id": "k1", "ord": 0, "excerpt": "x", "confidence": 0.5}])
+    only = lambda i: spark.createDataFrame([("g", i)], "graph_id string, unit_id string")
+    s = mh.score_claims(c, mh.OfflineClient('{"evidence": [{"evidence_id": "k1", "score": 1, "rationale": "r"}]}'), only=only("a"))
+    assert [(r["unit_id"], r["claim_score"]) for r in s.collect()] == [("a", 1.0)]
+    kept = {r["unit_id"]: json.loads(r["metadata"]) for r in mh.persist_scores(c.units, s).collect()}
+    assert kept == {"a": {"m": 1, "claim_credibility": 1.0, "claim_credibility_weighted": 1.0, "claim_credibility_method": "weighted", "claim_credibility_evidence": [{"evidence_id": "k1", "trust": 0.5, "score": 1.0, "rationale": "r"}]}, "b": {"m": 1}}
+    with pytest.raises(Rejected, match="unknown claim"):
+        mh.score_claims(c, mh.OfflineClient("{}"), only=only("zz"))
+
+
 def test_edges_and_assumptions(spark):
     c = corpus(spark, units=units("a", "b"), relations=edges(("a", "b", "support", []), ("a", "zz", "attack", [])))
     assert [(r["edge_idx"], r["evaluation"]) for r in mh.judge_edges(c, mh.OfflineClient('{"evaluation": "support", "score": 0.5}')).collect()] == [(0, "support")]
@@ -161,11 +196,15 @@ def test_edges_and_assumptions(spark):
 def test_pipeline(spark):
     df = spark.createDataFrame([("d1", "First.\n\nSecond."), ("d2", "Nothing here.")], "doc_id string, text string")
     client = mh.OfflineClient("none", {"Text:\nFirst": '{"claims": [{"text": "First", "type": "FACT"}]}', "Text:\nSecond": '{"claims": [{"text": "second"}, {"text": "FIRST"}]}', "Claims:": '{"relations": [{"src": "c1", "dst": "c2", "kind": "support"}, {"src": "c1", "dst": "c9", "kind": "support"}]}'})
-    u, r = mining.Pipeline(client).run(df, "doc_id", "text")
+    u, r, d = mining.pipeline_of(client).run(df, "doc_id", "text")
+    told = {x["doc_id"]: json.loads(x["metadata"])["mining"] for x in d.collect()}
+    assert told["d1"] == {"trace": ["segments: 2", "seg-1: claims 1", "seg-2: claims 2", "claims: 2 (merged 1)", "relations: 1"], "segments": ["seg-1", "seg-2"], "merge_summary": {"merged": 1, "mapping": {"c1": "c2", "c2": "c1"}}}
+    assert told["d2"] == {"trace": ["segments: 1", "seg-1: claim parse failed", "no claims from llm; fallback miner"], "llm_fallback": True}
     assert sorted((x["doc_id"], x["unit_id"], x["text"], x["type"], x["start"], x["llm_fallback"]) for x in u.collect()) == [("d1", "c1", "First", "fact", 0, False), ("d1", "c2", "second", "other", 8, False), ("d2", "c1", "Nothing here.", "other", 0, True)]
     assert [tuple(x) for x in r.select("doc_id", "src", "dst", "kind").collect()] == [("d1", "c1", "c2", "support")]
     hooked = {x["doc_id"]: x for x in mining.hooked_miner(df, "doc_id", "text", mh.OfflineClient("```json\n" + json.dumps(GRAPH) + "\n```")).collect()}
-    assert not hooked["d1"]["fallback"] and json.loads(hooked["d1"]["graph"]) == GRAPH
+    named = json.loads(json.dumps(GRAPH).replace('"doc_id": "d"', '"doc_id": "d1"'))  # spans of units get the document's id
+    assert not hooked["d1"]["fallback"] and json.loads(hooked["d1"]["graph"]) == named
     bad = mining.hooked_miner(df, "doc_id", "text", mh.OfflineClient("x" * 900)).collect()
     assert all(x["fallback"] and len(x["response"]) == 500 and x["errors"] for x in bad)
 
@@ -176,6 +215,51 @@ def test_long_documents(spark):
     assert got == {"c1": ("Cats purr.", 1, 1, [(0, 10)]), "c2": ("Dogs bark.", 2, 2, [(10, 21), (23, 33)]), "c3": ("Fish swim.", 1, 1, [(33, 44)])}
 
 
+def test_splitters_and_miners_by_a_model(spark):
+    import asyncio
+
+    df = spark.createDataFrame([("d", "Alpha Beta. Gamma."), ("e", "Delta.\n\nEta.")], "doc_id string, text string")
+    cutter = mining.model_splitter(mh.OfflineClient("none", {"Alpha": '[{"id": "s1", "text": "Alpha Beta.", "start": 0, "end": 11}, {"text": "Gamma.", "start": 12}]'}))
+    assert sorted((r["doc_id"], r["seg_id"], r["start"], r["end"]) for r in cutter(df, "doc_id", "text").collect()) == [("d", "s1", 0, 11), ("d", "seg-2", 12, 6), ("e", "seg-1", 0, 6), ("e", "seg-2", 8, 12)]
+    got = asyncio.run(mining.mine_long_async(df, "doc_id", "text", splitter=cutter))
+    assert sorted((r["doc_id"], r["text"], tuple(r["spans"][0])) for r in got.collect()) == [("d", "Alpha Beta.", (0, 11)), ("d", "Gamma.", (12, 18)), ("e", "Delta.", (0, 6)), ("e", "Eta.", (8, 12))]
+    one = json.dumps({"units": {"c1": {"id": "c1", "text": "A", "type": "fact"}}, "relations": []})
+    mined = mining.miner_of(mh.OfflineClient("bad", {"Alpha": one}))(df, "doc_id", "text")
+    assert sorted((r["doc_id"], r["unit_id"], r["text"], r["type"]) for r in mined.collect()) == [("d", "c1", "A", "fact"), ("e", "c1", "Delta.", "other"), ("e", "c2", "Eta.", "other")]
+
+
+def test_graph_and_bundle_data_survive(spark):
+    graph = {"units": {}, "relations": [], "metadata": {"title": "t", "n": [1]}, "argument_bundles": {"b1": {"id": "b1", "units": [], "relations": [{"src": "a", "dst": "b", "kind": "support", "weight": 0.5}], "metadata": {}}}}
+    df = spark.createDataFrame([("g", json.dumps(graph))], "k string, payload string")
+    back = json.loads(encode_graphs(decode_graphs(df, "k", "payload")).collect()[0]["payload"])
+    assert back["metadata"] == graph["metadata"] and back["argument_bundles"] == graph["argument_bundles"]
+    c = new_graphs(corpus(spark), spark.createDataFrame([("g", "T", None), ("h", "", '{"a": 1}'), ("i", "U", '{"a": 1}')], "graph_id string, title string, metadata string"))
+    assert {r["graph_id"]: json.loads(r["metadata"]) for r in c.graphs.collect()} == {"g": {"title": "T"}, "h": {"a": 1}, "i": {"a": 1, "title": "U"}}
+    assert {r["graph_id"] for r in encode_graphs(c).collect()} == {"g", "h", "i"}
+
+
+def test_reconcile_contract(spark):
+    from claimloom.operators.reconcile import reconcile
+
+    seg = spark.createDataFrame([("d", "s1", 0, 0, 5), ("d", "s2", 1, 5, 9)], "doc_id string, segment_id string, seg_ord int, start int, end int")
+    unit = spark.createDataFrame([("d", "s1", 0, "c1", 0, "A", "other", None, None, None), ("d", "s2", 1, "c1", 0, "a", "other", None, None, None)], "doc_id string, segment_id string, seg_ord int, unit_id string, ord int, text string, type string, evidence_ids array<string>, evidence_min double, evidence_max double")
+    rel = spark.createDataFrame([], "doc_id string, segment_id string, seg_ord int, edge_idx int, src string, dst string, kind string, weight double, rationale string")
+    out = reconcile(seg, seg.select("doc_id", "segment_id"), unit, rel)
+    assert json.loads(out.documents.collect()[0]["metadata"]) == {"segments": [{"id": "s1", "start": 0, "end": 5}, {"id": "s2", "start": 5, "end": 9}]}
+    assert out.units.count() == 1 and out.unit_segments.count() == 2
+    with pytest.raises(Rejected, match="do not match"):
+        reconcile(seg, seg.where("seg_ord = 0").select("doc_id", "segment_id"), unit, rel)
+
+
+def test_critique(spark):
+    from claimloom.operators.critique import critique
+
+    c = corpus(spark, units=units("a", "b"), warrants=warrants("w"), relations=edges(("a", "b", "support", ["w"]), ("a", "a", "attack", [])))
+    got = critique(c)
+    assert got.missing_assumptions.collect() == [] and {r["pattern_id"] for r in got.patterns.collect()} == {"self_attack", "unstated_warrant", "unsupported_conclusion"}
+    assert [r["critical_warrants"] for r in got.warrant_fragility.collect()] == [["w"]]
+
+
 def test_streamed_ingest(spark, tmp_path):
     from claimloom.streaming.ingest import ingest_payloads, payload_stream
 

@@ -6,6 +6,7 @@ from helpers import corpus, edges, units
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import ascii_tokens, token_jaccard, token_overlap, word_tokens
+from claimloom.operators.grouped import ordered_rank
 from claimloom.operators import evaluation, reconcile, segments
 
 
@@ -62,8 +63,9 @@ def test_evaluation(spark):
 
 
 def test_python_repr(spark):
-    df = spark.createDataFrame([('{"evidence_card_id": "k", "b": "c"}',), ('{"a": 1}',), (None,)], "s string")
-    assert [r[0] for r in df.select(evaluation.python_repr(F.col("s"))).collect()] == ["{'evidence_card_id': 'k', 'b': 'c'}", '{"a": 1}', None]
+    said = ['{"evidence_card_id": "k", "b": "c"}', '{"a": 1, "b": [true, null, {"c": "it\'s", "d": 1.50}]}', None, "no json"]
+    df = spark.createDataFrame([(x,) for x in said], "s string")
+    assert [r[0] for r in df.select(evaluation.python_repr(F.col("s"))).collect()] == ["{'evidence_card_id': 'k', 'b': 'c'}", str({"a": 1, "b": [True, None, {"c": "it's", "d": 1.5}]}), None, "no json"]
 
 
 SEG = "doc_id string, segment_id string, seg_ord int, unit_id string, ord int, text string, type string, evidence_ids array<string>, evidence_min double, evidence_max double"
@@ -99,6 +101,25 @@ def test_greedy_claim_merge(spark):
     assert {r["claim_id"]: (r["new_id"], r["merged"]) for r in got} == {"x1": ("c1", False), "x2": ("c1", True), "x3": ("c2", False), "x4": ("c1", False)}
 
 
+@pytest.mark.parametrize("best", [True, False])
+def test_greedy_rounds_equal_one_walk(spark, best):
+    """Many keys that chain into one another, some of them again later: the rounds give what one walk over all pairs gives."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(220):
+        base = rng.sample([f"w{n}" for n in range(9)], rng.randint(1, 7)) if rng.random() < 0.8 else rng.choice([[], ["!"], ["w1", "w2"]])
+        rows.append((rng.choice("de"), i, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id string, n int, key string").select("doc_id", F.struct("n").alias("at"), "key")
+    got = {(r["doc_id"], r["at"]["n"]): (r["root"], r["score"]) for r in reconcile.joined_keys(df, reconcile.jaccard, 0.6, best).collect()}
+    want = {}
+    for d in "de":
+        own = [r for r in rows if r[0] == d]
+        want |= {(d, r[1]): x for r, x in zip(own, reconcile.greedy_keys([r[2] for r in own], reconcile.jaccard, 0.6, best), strict=True)}
+    assert got == want
+    other = reconcile.joined_keys(df, lambda a, b: reconcile.jaccard(a, b), 0.6, best).collect()
+    assert {(r["doc_id"], r["at"]["n"]): (r["root"], r["score"]) for r in other} == want
+
+
 def test_merge_conflicts(spark):
     rows = [("d", "s1", 0, 0, "k", "a"), ("d", "s2", 1, 0, "k", "b"), ("d", "s3", 2, 0, "k", "a"), ("d", "s1", 0, 1, "l", None), ("d", "s2", 1, 1, "l", None)]
     merged, conflicts = reconcile.merge_first(spark.createDataFrame(rows, "doc_id string, segment_id string, seg_ord int, ord int, card_id string, excerpt string"), "card_id", "evidence_card")
@@ -109,7 +130,7 @@ def test_merge_conflicts(spark):
 def test_ordered_rank(spark):
     rng = random.Random(4)
     rows = [(rng.choice("aaaab"), rng.randrange(10**6), i) for i in range(500)]
-    got = reconcile.ordered_rank(spark.createDataFrame(rows, "b string, o int, i int"), ["b"], ["o", "i"], "r").collect()
+    got = ordered_rank(spark.createDataFrame(rows, "b string, o int, i int"), ["b"], ["o", "i"], "r").collect()
     for b in "ab":
         want = sorted(r for r in rows if r[0] == b)
         have = sorted((r for r in got if r["b"] == b), key=lambda r: r["r"])
