@@ -377,28 +377,6 @@ def reconciled_relations(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", "src", "dst", "kind", r6("weight").alias("weight"), "sources")
 
 
-@_query
-def merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Cards of one title within a document's segments that differ from the first of them."""
-    *_, cards = _segmented(load_corpus(spark, d))
-    return reconcile.merge_first(cards.select("doc_id", "segment_id", "seg_ord", "ord", "title", "supporting_doc_id", "excerpt", "confidence"), "title", "evidence_card")[1]
-
-
-@_query
-def merged_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy merge of the extracted claims of each segment."""
-    c = read_table(spark, d, "extracted_claims").where("segment_id is not null").groupBy("claim_id", "segment_id").agg(F.min("text").alias("text"), F.min("span_start").alias("span_start"))
-    rows = c.select(F.col("segment_id").alias("doc_id"), "segment_id", F.lit(0).alias("seg_ord"), F.coalesce("span_start", F.lit(-1)).alias("ord"), "claim_id", "text")
-    return reconcile.merge_claims(rows)
-
-
-@_query
-def mined_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Claims of all documents, mined by paragraphs and sentences and merged."""
-    m = mining.mine_long(read_table(spark, d, "documents"), "doc_id", "text")
-    return m.select("doc_id", "new_id", "text", F.size("source_unit_ids").alias("sources"), "segments")
-
-
 # ---- JSON, DOT, models
 
 
@@ -408,11 +386,6 @@ def dot_lines(spark: SparkSession, d: str) -> DataFrame:
     return dot.dot_lines(c.units, c.relations)
 
 
-@_query
-def exported_graphs(spark: SparkSession, d: str) -> DataFrame:
-    return graph_json.encode_graphs(load_corpus(spark, d))
-
-
 @_query
 def decoded_relations(spark: SparkSession, d: str) -> DataFrame:
     """Relations of all payloads that are complete JSON objects."""
@@ -422,11 +395,6 @@ def decoded_relations(spark: SparkSession, d: str) -> DataFrame:
     return c.relations.select(F.substring_index("graph_id", "@", 1).alias("payload_id"), "edge_idx", "src", "dst", "kind", r6("weight").alias("weight"), "gate_mode")
 
 
-@_query
-def payload_violations(spark: SparkSession, d: str) -> DataFrame:
-    return validate.payload_violations(read_table(spark, d, "graph_payloads"), "payload_id", "payload")
-
-
 @_query
 def claim_types_offline(spark: SparkSession, d: str) -> DataFrame:
     """Claim types by a client that always gives one answer."""
