@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.operators import drift, nested, orphans, timestamps
+from claimloom.session import cut
 from claimloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,16 +59,28 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_versions(spark: SparkSession, d: str) -> DataFrame:
-    return drift.schema_versions(read_table(spark, d, "graph_exports"))
+    """The version of each file's schema and its number of paths."""
+    return drift.schema_versions(read_table(spark, d, "graph_exports")).drop("fingerprint")
+
+
+def p6_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The steps from version to version."""
+    return drift.migration_steps(cut(drift.file_paths(read_table(spark, d, "graph_exports"))))
 
 
 def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """All records in one schema."""
+    return drift.consistent_records(read_table(spark, d, "graph_exports"))
+
+
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """All values under their canonical paths."""
     return drift.consistent_table(read_table(spark, d, "graph_exports"))
 
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_evidence_table": p2_evidence_table, "p4_found": p4_found,
-    "p4_report": p4_report, "p6_found": p6_found, "p6_versions": p6_versions, "p6_consistent": p6_consistent, "p2_rest": p2_rest,
+    "p4_report": p4_report, "p6_found": p6_found, "p6_versions": p6_versions, "p6_steps": p6_steps, "p6_consistent": p6_consistent, "p6_values": p6_values, "p2_rest": p2_rest,
     **{f"p2_{n}": lambda spark, d, n=n: nested.payload_table(read_table(spark, d, "graph_payloads"), n) for n in nested.TABLES},
     **{f"p2_array_{n}": lambda spark, d, n=n: _array_table(spark, d, n) for n in nested.ARRAYS},
 }
@@ -164,3 +177,24 @@ WITH q AS (
 SELECT DISTINCT doc_id, upload_us FROM (
   SELECT doc_id, coalesce(counted, local_us - CAST(off AS BIGINT) * 60000000) AS upload_us FROM o UNION ALL SELECT doc_id, inst FROM u WHERE n = 1) WHERE upload_us IS NOT NULL
 """
+
+_KIND = "CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END"
+_KEYS = r"regexp_replace({}, '\.[a-z][0-9]+(\.|\[|$)', '.*\1', 'g')"
+_PATH = r"regexp_replace(" + _KEYS.format(_KEYS.format("substr(fullkey, 2)")) + r", '\[[0-9]+\]', '[]', 'g')"
+_SCHEMAS = f"""
+WITH x AS (SELECT stream_name, file_no, CAST(CASE WHEN json_valid(record) THEN record END AS JSON) AS j FROM graph_exports),
+t AS (SELECT stream_name, file_no, substr({_PATH}, 2) AS path, {_KIND} AS kind FROM (SELECT stream_name, file_no, j FROM x WHERE json_type(j) = 'OBJECT') s, json_tree(s.j) WHERE type <> 'NULL' AND fullkey <> '$'),
+p AS (SELECT stream_name, file_no, path, string_agg(DISTINCT kind, '|' ORDER BY kind) AS types FROM t GROUP BY ALL),
+f AS (SELECT stream_name, file_no, count(*) AS paths, list((path, types) ORDER BY path) AS schema FROM p GROUP BY ALL),
+v AS (SELECT *, sum(c) OVER (PARTITION BY stream_name ORDER BY file_no) AS version FROM (SELECT *, CASE WHEN schema IS NOT DISTINCT FROM lag(schema) OVER (PARTITION BY stream_name ORDER BY file_no) THEN 0 ELSE 1 END AS c FROM f)),
+b AS (SELECT n.stream_name, n.file_no, o.version AS from_version, n.version AS to_version FROM v n JOIN v o ON n.stream_name = o.stream_name AND n.file_no = o.file_no + 1),
+d AS (SELECT b.stream_name, b.file_no, k.path AS path, o.types AS was, n.types AS now FROM b JOIN (SELECT DISTINCT stream_name, file_no, path FROM (SELECT stream_name, file_no, path FROM p UNION ALL SELECT stream_name, file_no + 1, path FROM p)) k ON b.stream_name = k.stream_name AND b.file_no = k.file_no
+  LEFT JOIN p n ON n.stream_name = k.stream_name AND n.file_no = k.file_no AND n.path = k.path LEFT JOIN p o ON o.stream_name = k.stream_name AND o.file_no = k.file_no - 1 AND o.path = k.path WHERE o.types IS DISTINCT FROM n.types),
+e AS (SELECT *, regexp_replace(path, '(^|\\.)[^.]*$', '') AS parent FROM d WHERE NOT regexp_matches(path, '(\\[\\]|(^|\\.)\\*)$') AND NOT EXISTS (SELECT 1 FROM d y WHERE y.stream_name = d.stream_name AND y.file_no = d.file_no AND (starts_with(d.path, y.path || '.') OR starts_with(d.path, y.path || '[]')))),
+g AS (SELECT *, count(*) FILTER (now IS NULL) OVER w AS gone, count(*) FILTER (was IS NULL) OVER w AS came, min(was) FILTER (now IS NULL) OVER w AS gt, min(now) FILTER (was IS NULL) OVER w AS ct, min(path) FILTER (was IS NULL) OVER w AS cp FROM e WINDOW w AS (PARTITION BY stream_name, file_no, parent)),
+h AS (SELECT stream_name, file_no, CASE WHEN now IS NOT NULL AND was IS NOT NULL THEN 'type_changed' WHEN gone = 1 AND came = 1 AND gt = ct THEN 'renamed' WHEN now IS NULL THEN 'removed' ELSE 'added' END AS change_kind,
+  CASE WHEN was IS NULL THEN '' ELSE path END AS old_path, CASE WHEN now IS NOT NULL THEN path WHEN gone = 1 AND came = 1 AND gt = ct THEN cp ELSE '' END AS new_path FROM g WHERE NOT (gone = 1 AND came = 1 AND gt = ct AND was IS NULL))
+"""
+SQL["p6_found"] = _SCHEMAS + "SELECT * FROM h"
+SQL["p6_steps"] = _SCHEMAS + "SELECT h.stream_name, h.file_no, CAST(from_version AS INTEGER) AS from_version, CAST(to_version AS INTEGER) AS to_version, change_kind, old_path, new_path FROM h JOIN b ON h.stream_name = b.stream_name AND h.file_no = b.file_no"
+SQL["p6_versions"] = _SCHEMAS + "SELECT stream_name, file_no, paths, CAST(version AS INTEGER) AS version FROM v"

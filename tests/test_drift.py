@@ -83,3 +83,22 @@ def test_consistent_table_has_every_path_and_one_type(spark):
     assert kinds["s", 1, 0, "units.c1.n"] == "null" and kinds["s", 1, 1, "units.c1.n"] == "missing" and kinds["s", 1, 1, "units.c2.l"] == "array"
     assert got["s", 1, 1, "units.c2.n"]["number"] == 1.0 and kinds["t", 2, 0, "units"] == kinds["t", 2, 0, "units.*.t"] == "missing"
     assert len({r["canonical"] for k, r in got.items() if k[:3] == ("t", 2, 0)}) == 6 and all(r["value"] is None for r in got.values() if r["found_type"] == "missing")
+
+
+def test_records_are_brought_to_one_schema(spark):
+    files = {
+        ("s", 1): [unit(a="1", b="x", l=[1])], ("s", 2): [unit(a=2, c="y", l=["2"]), unit(a=None, c="z", l=3)],
+        ("t", 1): [unit(a="many", b=True, l=[1], o={"k": 1})], ("t", 2): [unit(a=5, b="q", l=[2], o=None)], ("u", 1): [unit(a=1, b="w", l=[1])],
+    }
+    rows = {(r["stream_name"], r["file_no"], r["line_no"]): r for r in drift.consistent_records(exports(spark, files)).collect()}
+    at = lambda *k: json.loads(rows[k]["record"])["units"]["c1"]
+    assert at("s", 1, 0) == {"a": 1, "b": "x", "l": [1], "o": None} and at("s", 2, 0) == {"a": 2, "b": "y", "l": [2], "o": None}
+    assert (rows["s", 2, 0]["renamed"], rows["s", 2, 0]["defaulted"], rows["s", 2, 0]["casts"]) == (1, 1, 1)
+    assert at("t", 1, 0)["a"] is None and json.loads(rows["t", 1, 0]["rejected"]) == {"units.c1.a": "many"} and at("t", 1, 0)["b"] == "true"
+    assert at("t", 2, 0)["o"] is None and rows["t", 2, 0]["defaulted"] == 0 and rows["t", 2, 0]["rejected"] is None
+
+
+def test_steps_only_where_the_fingerprint_changes(spark):
+    files = {("s", 1): [unit(a=1)], ("s", 2): [unit(a=2)], ("s", 3): [unit(b=3)], ("s", 4): [unit(b=3)], ("s", 5): [unit(b=3, c=1)]}
+    steps = sorted(tuple(r) for r in drift.migration_steps(drift.file_paths(exports(spark, files))).collect())
+    assert steps == [("s", 3, 1, 2, "renamed", "units.*.a", "units.*.b"), ("s", 5, 2, 3, "added", "", "units.*.c")]
