@@ -222,6 +222,26 @@ def assemble_rows(columns: dict[str, dict], ancestor: str) -> list[tuple[tuple[i
     return [(o, keys, fields, there) for o, (keys, fields, there) in rows.items()]
 
 
+LONG_FORM = "ancestor string, ordinals array<int>, keys array<string>, present boolean, fields map<string, string>"
+
+
+def _long_form(batch: pd.DataFrame, keep: list[str], records: Iterator[tuple[int, dict[str, dict]]], ancestors: list[str]) -> pd.DataFrame:
+    at, rows = [], []
+    for i, columns in records:
+        for a in ancestors:
+            for o, keys, fields, there in assemble_rows(columns, a):
+                at.append(i)
+                rows.append((a, list(o), keys, there, fields))
+    out = batch.iloc[at][keep].reset_index(drop=True)
+    for k, name in enumerate(("ancestor", "ordinals", "keys", "present", "fields")):
+        out[name] = pd.Series([r[k] for r in rows], dtype=object)
+    return out
+
+
+def _kept(df: DataFrame, keep: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+
+
 def assemble(levels: DataFrame, keep: Sequence[str], ancestors: Sequence[str]) -> DataFrame:
     """Flat tables of the repeated ``ancestors`` in one long form, from the output of :func:`shred`.
 
@@ -230,24 +250,31 @@ def assemble(levels: DataFrame, keep: Sequence[str], ancestors: Sequence[str]) -
     Each child row names its parent: the parent's ordinals and keys are those without the last.
     """
     keep, ancestors = list(keep), list(ancestors)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in levels.select(*keep).schema)
-    schema += ", ancestor string, ordinals array<int>, keys array<string>, present boolean, fields map<string, string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at, rows = [], []
-            for i, packed in enumerate(batch["columns"]):
-                columns = {c["path"]: c for c in packed}
-                for a in ancestors:
-                    for o, keys, fields, there in assemble_rows(columns, a):
-                        at.append(i)
-                        rows.append((a, list(o), keys, there, fields))
-            out = batch.iloc[at][keep].reset_index(drop=True)
-            for k, name in enumerate(("ancestor", "ordinals", "keys", "present", "fields")):
-                out[name] = pd.Series([r[k] for r in rows], dtype=object)
-            yield out
+            yield _long_form(batch, keep, ((i, {c["path"]: c for c in packed}) for i, packed in enumerate(batch["columns"])), ancestors)
+
+    return levels.mapInPandas(run, f"{_kept(levels, keep)}, {LONG_FORM}")
+
+
+def shred_and_assemble(df: DataFrame, record: str, keep: Sequence[str], paths: Sequence[str], ancestors: Sequence[str]) -> DataFrame:
+    """:func:`shred` and :func:`assemble` in one pass: the levels of a record go from one to the other without leaving Python."""
+    keep, paths, ancestors = list(keep), list(paths), list(ancestors)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = _tree(paths)
+
+        def columns(texts: pd.Series) -> Iterator[tuple[int, dict[str, dict]]]:
+            for i, text in enumerate(texts):
+                if (value := parse_object(text)) is not None:
+                    yield i, {p: {"r": r, "d": d, "v": v} for p, (r, d, v) in shred_record(value, tree).items()}
+
+        for batch in batches:
+            yield _long_form(batch, keep, columns(batch["_record"]), ancestors)
 
-    return levels.mapInPandas(run, schema)
+    rows = df.where(F.col(record).isNotNull() & (F.col(record) != "")).select(*keep, F.col(record).alias("_record"))
+    return rows.mapInPandas(run, f"{_kept(df, keep)}, {LONG_FORM}")
 
 
 # ---- the graph payloads
@@ -266,8 +293,7 @@ PAYLOAD_PATHS = (
 
 def payload_tables(payloads: DataFrame) -> DataFrame:
     """The flat tables of graph payloads (units, their evidence, bundles, their relations) in long form."""
-    levels = shred(payloads, "payload", ["payload_id"], PAYLOAD_PATHS)
-    return assemble(levels, ["payload_id"], [UNIT, EVIDENCE, BUNDLE, BUNDLE_RELATION])
+    return shred_and_assemble(payloads, "payload", ["payload_id"], PAYLOAD_PATHS, [UNIT, EVIDENCE, BUNDLE, BUNDLE_RELATION])
 
 
 _SPAN = ("doc_id", "start:bigint", "end:bigint", "text", "page:bigint", "bbox#json", "modality")
@@ -301,14 +327,14 @@ def _table_paths(tables: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) ->
     return out
 
 
-def flat_table(levels: DataFrame, keep: Sequence[str], ancestors: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One row per element that is not null: ``keep``, place, key, parent_pos, pos, the fields, rest.
+def flat_table(long_form: DataFrame, keep: Sequence[str], ancestors: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """From the long form, one row per element that is not null: ``keep``, place, key, parent_pos, pos, the fields, rest.
 
     place is the element's repeated path and key the key of the object above (or of the element itself, in an object by
     ids). pos is the position in its list, null elements included, and parent_pos that of the list's owner, if it stands in
     a list too. A source's fields are those of its ``value``, else its own. rest is JSON of what no other column holds.
     """
-    t = assemble(levels, keep, ancestors).where("present")
+    t = long_form.where("present")
     own = lambda x: F.coalesce(*[F.try_element_at("fields", F.lit(_below(a, x))) for a in ancestors])
     columns: dict[str, list[Column]] = {}
     for x in fields:
@@ -324,7 +350,7 @@ def flat_table(levels: DataFrame, keep: Sequence[str], ancestors: Sequence[str],
 
 def payload_table(payloads: DataFrame, name: str) -> DataFrame:
     """One of ``TABLES`` of the graph payloads. Repeated deliveries of a payload come out once."""
-    return flat_table(shred(payloads, "payload", ["payload_id"], _table_paths(TABLES)), ["payload_id"], *TABLES[name])
+    return flat_table(shred_and_assemble(payloads, "payload", ["payload_id"], _table_paths(TABLES), TABLES[name][0]), ["payload_id"], *TABLES[name])
 
 
 def payload_rest(payloads: DataFrame) -> DataFrame:
@@ -352,7 +378,7 @@ def array_table(nodes: dict[str, tuple[DataFrame, str]], name: str) -> DataFrame
     parts = [df.select(F.lit(t).alias("table_name"), "graph_id", F.col(k).alias("owner_key"), F.struct("evidence", "spans", "evidence_ids").alias("x"), "loaded_at") for t, (df, k) in nodes.items()]
     rows = functools.reduce(DataFrame.unionByName, parts).withColumn("record", F.to_json("x", {"ignoreNullFields": "false"}))
     rows = rows.groupBy(*keep).agg(F.max_by("record", F.struct("loaded_at", "record")).alias("record"))
-    return flat_table(shred(rows, "record", keep, _table_paths(ARRAYS)), keep, *ARRAYS[name]).drop("place", "key", "parent_pos", "rest")
+    return flat_table(shred_and_assemble(rows, "record", keep, _table_paths(ARRAYS), ARRAYS[name][0]), keep, *ARRAYS[name]).drop("place", "key", "parent_pos", "rest")
 
 
 def payload_links(payloads: DataFrame) -> DataFrame:

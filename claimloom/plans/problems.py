@@ -23,15 +23,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_evidence_table(spark: SparkSession, d: str) -> DataFrame:
-    """The flat evidence table of the payloads, each row with its unit and position."""
+    """The flat evidence table of the payloads, each row with its unit, its position and what its source names."""
     t = nested.payload_tables(read_table(spark, d, "graph_payloads")).where(F.col("present") & (F.col("ancestor") == nested.EVIDENCE))
     f = lambda x: F.try_element_at("fields", F.lit(f"{nested.EVIDENCE}.{x}"))
+    named = lambda x: F.coalesce(f(f"source.value.{x}"), f(f"source.{x}"))
     return t.select(
         "payload_id", F.get("keys", F.lit(0)).alias("unit_key"), F.element_at("ordinals", -1).alias("pos"), f("id").alias("evidence_id"),
-        f("stance").alias("stance"), f("strength").try_cast("double").alias("strength"),
+        f("stance").alias("stance"), f("strength").try_cast("double").alias("strength"), named("doc_id").alias("source_doc_id"),
+        named("evidence_card_id").alias("source_card_id"), named("dataset.name").alias("source_dataset"),
     ).dropDuplicates()
 
 
+def _columns(name: str, source: Callable[[SparkSession, str], DataFrame], *columns: str, where: str = "true") -> None:
+    QUERIES[name] = lambda spark, d: source(spark, d).where(where).select(*columns).dropDuplicates()
+
+
 def _array_table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return nested.array_table({"units": (read_table(spark, d, "units"), "unit_id"), "warrants": (read_table(spark, d, "warrants"), "warrant_id")}, name)
 
@@ -85,6 +91,16 @@ QUERIES: dict[str, Query] = {
     **{f"p2_array_{n}": lambda spark, d, n=n: _array_table(spark, d, n) for n in nested.ARRAYS},
 }
 
+# the flat tables by the columns that SQL can say, too
+_payload = lambda n: lambda spark, d: nested.payload_table(read_table(spark, d, "graph_payloads"), n)
+_array = lambda n: lambda spark, d: _array_table(spark, d, n)
+_columns("p2_unit_rows", _payload("units"), "payload_id", "key", "id", "text", "type", "score", "evidence_min", "evidence_max")
+_columns("p2_span_rows", _payload("spans"), "payload_id", "place", "key", "pos", "doc_id", "start", "end", "text", "page", "modality")
+_columns("p2_relation_rows", _payload("relations"), "payload_id", "place", "key", "pos", "src", "dst", "kind", "gate_mode", "weight", "rationale")
+_columns("p2_list_rows", _payload("lists"), "payload_id", "place", "key", "pos", "value", where="place in ('units{}.evidence_ids[]', 'argument_bundles{}.units[]')")
+_columns("p2_array_id_rows", _array("evidence_ids"), "table_name", "graph_id", "owner_key", "pos", "value")
+_columns("p2_array_evidence_rows", _array("evidence"), "table_name", "graph_id", "owner_key", "pos", "id", "stance", "strength", "source_kind", "source_span_doc_id", "source_structured")
+
 _P4 = """
 WITH c AS (
   SELECT 'relations' AS table_name, 'src' AS field_name, 'units' AS target, graph_id, CAST(edge_idx AS VARCHAR) AS record_key, min(loaded_at) AS l, arg_min(src, loaded_at) AS ref_key FROM relations GROUP BY graph_id, edge_idx
@@ -198,3 +214,26 @@ h AS (SELECT stream_name, file_no, CASE WHEN now IS NOT NULL AND was IS NOT NULL
 SQL["p6_found"] = _SCHEMAS + "SELECT * FROM h"
 SQL["p6_steps"] = _SCHEMAS + "SELECT h.stream_name, h.file_no, CAST(from_version AS INTEGER) AS from_version, CAST(to_version AS INTEGER) AS to_version, change_kind, old_path, new_path FROM h JOIN b ON h.stream_name = b.stream_name AND h.file_no = b.file_no"
 SQL["p6_versions"] = _SCHEMAS + "SELECT stream_name, file_no, paths, CAST(version AS INTEGER) AS version FROM v"
+
+_X = lambda f: f"json_extract_string(y, '$.{f}')"
+_Y = lambda f: f"json_extract_string(x, '$.{f}')"
+_SRC = lambda f: f"coalesce(json_extract_string(y, '$.source.value.{f}'), json_extract_string(y, '$.source.{f}'))"
+_NUM = lambda x: f"TRY_CAST({x} AS DOUBLE)"
+SQL["p2_evidence_table"] = f"WITH {_UNITS}, {_EV} SELECT DISTINCT payload_id, k AS unit_key, CAST(i AS INTEGER) AS pos, {_X('id')} AS evidence_id, {_X('stance')} AS stance, {_NUM(_X('strength'))} AS strength, {_SRC('doc_id')} AS source_doc_id, {_SRC('evidence_card_id')} AS source_card_id, {_SRC('dataset.name')} AS source_dataset FROM e"
+
+
+def _elements(link: str, above: str = "units") -> str:
+    return f"(SELECT payload_id, k, i, json_extract(x, '$.{link}[' || i || ']') AS y FROM (SELECT payload_id, k, x, unnest(range(CAST(json_array_length(x, '$.{link}') AS BIGINT))) AS i FROM {above} WHERE json_type(x, '$.{link}') = 'ARRAY') WHERE json_type(x, '$.{link}[' || i || ']') <> 'NULL')"
+
+
+_WA = _UNITS.replace("u AS (", "wa AS (", 1).replace("$.units", "$.warrants")
+_SPAN_COLUMNS = f"{_X('doc_id')} AS doc_id, TRY_CAST({_X('start')} AS BIGINT) AS \"start\", TRY_CAST({_X('end')} AS BIGINT) AS \"end\", {_X('text')} AS text, TRY_CAST({_X('page')} AS BIGINT) AS page, {_X('modality')} AS modality"
+SQL["p2_span_rows"] = f"WITH {_UNITS}, {_WA} SELECT DISTINCT * FROM (SELECT payload_id, 'units{{}}.spans[]' AS place, k AS key, CAST(i AS INTEGER) AS pos, {_SPAN_COLUMNS} FROM {_elements('spans', 'u')} UNION ALL SELECT payload_id, 'warrants{{}}.spans[]', k, CAST(i AS INTEGER), {_SPAN_COLUMNS} FROM {_elements('spans', 'wa')})"
+SQL["p2_unit_rows"] = f"WITH {_UNITS} SELECT DISTINCT payload_id, k AS key, json_extract_string(x, '$.id') AS id, json_extract_string(x, '$.text') AS text, json_extract_string(x, '$.type') AS type, {_NUM(_Y('score'))} AS score, {_NUM(_Y('evidence_min'))} AS evidence_min, {_NUM(_Y('evidence_max'))} AS evidence_max FROM u"
+_REL = f"{_X('src')} AS src, {_X('dst')} AS dst, {_X('kind')} AS kind, {_X('gate_mode')} AS gate_mode, {_NUM(_X('weight'))} AS weight, {_X('rationale')} AS rationale"
+SQL["p2_relation_rows"] = f"WITH o AS (SELECT payload_id, '' AS k, j AS x {_OK}), {_BU} SELECT DISTINCT * FROM (SELECT payload_id, 'relations[]' AS place, CAST(NULL AS VARCHAR) AS key, CAST(i AS INTEGER) AS pos, {_REL} FROM {_elements('relations', 'o')} UNION ALL SELECT payload_id, 'argument_bundles{{}}.relations[]', k, CAST(i AS INTEGER), {_REL} FROM {_elements('relations', 'b')})"
+SQL["p2_list_rows"] = f"WITH {_UNITS}, {_BU} SELECT DISTINCT * FROM (SELECT payload_id, 'units{{}}.evidence_ids[]' AS place, k AS key, CAST(i AS INTEGER) AS pos, json_extract_string(y, '$') AS value FROM {_elements('evidence_ids', 'u')} UNION ALL SELECT payload_id, 'argument_bundles{{}}.units[]', k, CAST(i AS INTEGER), json_extract_string(y, '$') FROM {_elements('units', 'b')})"
+_LAST = lambda t, k: f"(SELECT '{t}' AS table_name, graph_id, {k} AS owner_key, arg_max(struct_pack(e := evidence, s := spans, i := evidence_ids), loaded_at) AS x FROM {t} GROUP BY ALL)"
+_OWNERS = f"WITH n AS (SELECT * FROM {_LAST('units', 'unit_id')} UNION ALL SELECT * FROM {_LAST('warrants', 'warrant_id')})"
+SQL["p2_array_id_rows"] = _OWNERS + " SELECT DISTINCT table_name, graph_id, owner_key, CAST(pos - 1 AS INTEGER) AS pos, value FROM (SELECT table_name, graph_id, owner_key, unnest(x.i) AS value, generate_subscripts(x.i, 1) AS pos FROM n) WHERE value IS NOT NULL"
+SQL["p2_array_evidence_rows"] = _OWNERS + " SELECT DISTINCT table_name, graph_id, owner_key, CAST(pos - 1 AS INTEGER) AS pos, v.id AS id, v.stance AS stance, v.strength AS strength, v.source.kind AS source_kind, v.source.span.doc_id AS source_span_doc_id, v.source.structured AS source_structured FROM (SELECT table_name, graph_id, owner_key, unnest(x.e) AS v, generate_subscripts(x.e, 1) AS pos FROM n) WHERE v IS NOT NULL"
