@@ -148,3 +148,68 @@ SELECT kind AS node_kind, a AS node_key, min(b) AS group_key FROM reach GROUP BY
 """,
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
+
+# ---- the same in SQL where it is quick enough on the tables of the smaller scales
+_P3 = r"""
+WITH r AS (
+  SELECT table_name, key, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS t FROM (
+    SELECT 'units' AS table_name, unit_id AS key, text FROM units WHERE unit_id IS NOT NULL UNION ALL SELECT 'extracted_claims', claim_id, text FROM extracted_claims WHERE claim_id IS NOT NULL)
+), k AS (SELECT DISTINCT table_name, key, t FROM r WHERE len(t) > 0),
+c AS (SELECT *, row_number() OVER () AS id FROM (SELECT table_name, t, min(key) AS class_key, count(DISTINCT key) AS records FROM k GROUP BY ALL)),
+l AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.table_name = b.table_name AND a.id < b.id AND 5 * least(len(a.t), len(b.t)) >= 4 * greatest(len(a.t), len(b.t))
+  WHERE 9 * len(list_intersect(a.t, b.t)) >= 4 * (len(a.t) + len(b.t))),
+m AS (SELECT k.*, c.id, class_key, records FROM k JOIN c ON k.table_name = c.table_name AND k.t = c.t)
+"""
+SQL["p3_found"] = _P3 + """SELECT DISTINCT x.table_name, least(x.key, y.key) AS key_a, greatest(x.key, y.key) AS key_b FROM (SELECT a, b FROM l UNION ALL SELECT id, id FROM c WHERE records > 1) p
+JOIN m x ON x.id = p.a JOIN m y ON y.id = p.b WHERE x.key <> y.key"""
+SQL["p3_classes"] = _P3 + "SELECT table_name, key, class_key, records, coalesce(n, 0) AS links FROM m LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT a AS id FROM l UNION ALL SELECT b FROM l) GROUP BY id) q ON m.id = q.id"
+SQL["p5_texts"] = _P5.replace("HAVING count(DISTINCT key) > 1", "") + "SELECT table_name, w AS words, first_key, copies FROM g"
+_LOW = r"nullif(array_to_string(regexp_extract_all(lower({}), '[\pL\pN]+'), ' '), '')"
+SQL["p5_same_records"] = f"""
+WITH r AS (SELECT DISTINCT table_name, key, w, y, f FROM (SELECT table_name, key, {_LOW.format('text')} AS w, {_LOW.format('type')} AS y,
+    coalesce(list_sort(list_filter(list_transform(json_keys(m), lambda k: k || '=' || {_LOW.format("json_extract_string(m, '$.' || chr(34) || k || chr(34))")}), lambda x: x IS NOT NULL)), []) AS f
+  FROM (SELECT table_name, key, text, type, CASE WHEN json_valid(metadata) THEN CASE WHEN json_type(metadata) = 'OBJECT' THEN CAST(metadata AS JSON) END END AS m FROM (
+    SELECT 'units' AS table_name, unit_id AS key, text, type, metadata FROM units UNION ALL SELECT 'warrants', warrant_id, text, type, metadata FROM warrants))) WHERE w IS NOT NULL OR y IS NOT NULL OR len(f) > 0),
+g AS (SELECT table_name, w, y, f, min(key) AS first_key, count(DISTINCT key) AS copies FROM r GROUP BY ALL HAVING count(DISTINCT key) > 1)
+SELECT DISTINCT r.table_name, first_key, key AS copy_key, copies FROM r JOIN g ON r.table_name = g.table_name AND r.w IS NOT DISTINCT FROM g.w AND r.y IS NOT DISTINCT FROM g.y AND r.f = g.f WHERE key <> first_key"""
+_ALONE = """SELECT 'claim' AS node_kind, claim_id AS node_key FROM extracted_claims UNION SELECT 'segment', segment_id FROM extracted_claims
+  UNION SELECT 'segment', unnest(x) FROM (SELECT unnest(map_values(unit_segments)) AS x FROM merge_results)"""
+SQL["p7_groups"] = f"SELECT coalesce(a.node_kind, g.node_kind) AS node_kind, coalesce(a.node_key, g.node_key) AS node_key, coalesce(g.group_key, a.node_key) AS group_key FROM (SELECT * FROM ({_ALONE}) WHERE node_key IS NOT NULL) a FULL JOIN ({SQL['p7_found']}) g ON a.node_kind = g.node_kind AND a.node_key = g.node_key"
+
+
+def _looks_sql() -> str:
+    """CTE z (doc_id, text, look): the appearance of each text, letter by letter.
+
+    SQL has no table of what characters look like, so it takes one from Unicode's data, made here from the rules' own parts:
+    what is shown as nothing, blanks, widths and joined letters, and letters of one shape. How they combine is SQL's.
+    """
+    import unicodedata
+
+    pairs: list[tuple[str, str]] = []
+    for code in (*range(0x80, 0x20000), *range(0xE0000, 0xE1000)):
+        ch = chr(code)
+        category = unicodedata.category(ch)
+        if category in ("Cs", "Cn", "Co"):
+            continue
+        kind, _, parts = unicodedata.decomposition(ch).partition(" ")
+        if any(low <= code <= high for low, high in lookalikes.IGNORABLE):
+            pairs.append((ch, ""))
+        elif category == "Zs":
+            pairs.append((ch, " "))
+        elif ch in lookalikes.LOOKALIKES:
+            pairs.append((ch, lookalikes.LOOKALIKES[ch]))
+        elif kind in ("<wide>", "<narrow>") or (kind == "<compat>" and category[0] == "L" and all(unicodedata.category(chr(int(x, 16)))[0] in "LM" for x in parts.split())):
+            plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", ch))
+            pairs.append((ch, "".join(lookalikes.LOOKALIKES.get(c, c) for c in plain)))
+        elif set(apart := unicodedata.normalize("NFD", ch)) & lookalikes.LOOKALIKES.keys():
+            pairs.append((ch, "".join(lookalikes.LOOKALIKES.get(c, c) for c in apart)))
+    values = ", ".join(f"({ord(a)}, [{', '.join(str(ord(c)) for c in b)}])" for a, b in pairs)
+    return f"""
+WITH t AS (SELECT a, CAST(b AS INTEGER[]) AS b FROM (VALUES {values}) v(a, b)),
+h AS (SELECT doc_id, text, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^\\x00-\\x7f]')),
+z AS (SELECT doc_id, text, nfc_normalize(string_agg(CASE WHEN t.a IS NULL THEN ch ELSE array_to_string(list_transform(t.b, lambda c: chr(c)), '') END, '' ORDER BY i)) AS look FROM h LEFT JOIN t ON unicode(ch) = t.a GROUP BY doc_id, text
+  UNION ALL SELECT doc_id, text, text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]'))
+"""
+
+
+SQL["p10_found"] = _looks_sql() + "SELECT DISTINCT least(x.doc_id, y.doc_id) AS doc_a, greatest(x.doc_id, y.doc_id) AS doc_b FROM z x JOIN z y ON x.look = y.look AND x.text <> y.text AND x.doc_id <> y.doc_id"
