@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.grouped import ordered_rank
 from claimloom.sources.tables import current
 
 SPAN = "struct<doc_id: string, start: int, end: int, text: string, page: int, bbox: array<double>, modality: string>"
@@ -89,18 +90,18 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     first = F.min(F.struct("_batch", "ord")).over(w)
     last = F.row_number().over(w.orderBy(F.col("_batch").desc(), F.col("ord").desc()))
     kept = both.withColumn("_first", first).withColumn("_last", last).where("_last = 1")
-    place = F.row_number().over(Window.partitionBy("graph_id").orderBy("_first")) - 1
-    return kept.withColumn("ord", place.cast("int")).select(*table.columns)
+    placed = ordered_rank(kept.select("*", F.col("_first._batch").alias("_b"), F.col("_first.ord").alias("_o")), ["graph_id"], ["_b", "_o", key], "_place")
+    return placed.withColumn("ord", F.col("_place").cast("int")).select(*table.columns)
 
 
 def with_ids(rows: DataFrame, table: DataFrame, key: str, prefix: str) -> DataFrame:
     """Fills null keys with prefix + next number: one more than the largest all-digit suffix in the graph, then upwards by ord."""
     number = F.regexp_extract(F.col(key), f"^{prefix}([0-9]+)$", 1).try_cast("bigint")
     top = table.select("graph_id", number.alias("n")).unionByName(rows.select("graph_id", number.alias("n"))).groupBy("graph_id").agg(F.coalesce(F.max("n"), F.lit(0)).alias("_top"))
-    w = Window.partitionBy("graph_id", F.col(key).isNull()).orderBy("ord")
-    numbered = rows.withColumn("_n", F.row_number().over(w)).join(top, "graph_id", "left")
-    made = F.concat(F.lit(prefix), (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("string"))
-    return numbered.withColumn(key, F.coalesce(F.col(key), made)).drop("_n", "_top")
+    named = rows.where(F.col(key).isNotNull())
+    numbered = ordered_rank(rows.where(F.col(key).isNull()), ["graph_id"], ["ord"], "_n").join(top, "graph_id", "left")
+    made = F.concat(F.lit(prefix), (F.coalesce("_top", F.lit(0)) + F.col("_n") + 1).cast("string"))
+    return named.unionByName(numbered.withColumn(key, made).select(*rows.columns))
 
 
 def new_graphs(c: Corpus, rows: DataFrame) -> Corpus:
@@ -130,7 +131,7 @@ def add_warrants(c: Corpus, rows: DataFrame) -> Corpus:
 
 def _append(table: DataFrame, rows: DataFrame, idx: str) -> DataFrame:
     start = table.groupBy("graph_id").agg((F.max(idx) + 1).alias("_start"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("graph_id").orderBy("ord")) - 1).join(start, "graph_id", "left")
+    numbered = ordered_rank(rows, ["graph_id"], ["ord"], "_n").join(start, "graph_id", "left")
     return table.unionByName(_conform(numbered.withColumn(idx, F.coalesce("_start", F.lit(0)) + F.col("_n")), table))
 
 

@@ -19,14 +19,20 @@ OUT_ROWS = 20_000
 def ordered_rank(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """Adds the rank from 0 within ``by`` along ``order``, also where one group has most rows.
 
-    Rows are range-partitioned and ranked in their part; a part's ranks follow those of the parts before it.
+    Rows are range-partitioned and ranked in their part; a part's ranks follow those of the parts before it. Null is a
+    value of ``by`` like any other.
     """
     parts = cut(df.repartitionByRange(*by, *order).withColumn("_pid", F.spark_partition_id()))
     sizes = parts.groupBy(*by, "_pid").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*by, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_pid").orderBy(*order)) - 1)
-    return ranked.join(starts, [*by, "_pid"]).withColumn(name, F.col("_start") + F.col("_r")).drop("_pid", "_start", "_r")
+    starts = starts.withColumnsRenamed({c: f"_{c}" for c in by})
+    met = F.lit(True)
+    for c in by:
+        met = met & ranked[c].eqNullSafe(starts[f"_{c}"])
+    joined = ranked.join(starts.withColumnRenamed("_pid", "_part"), met & (F.col("_pid") == F.col("_part"))).drop("_part", *[f"_{c}" for c in by])
+    return joined.withColumn(name, F.col("_start") + F.col("_r")).drop("_pid", "_start", "_r")
 
 
 def per_group(df: DataFrame, by: str, order: list[str], schema: str, kernel: Callable[[list[tuple]], Iterable[tuple]]) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.operators import graphs
 from claimloom.operators.corpus import edge_id
+from claimloom.operators.grouped import ordered_rank
 
 # The patterns (id, name, category, kind, action, description).
 PATTERNS = (
@@ -128,4 +129,4 @@ def apply_gate_actions(relations: DataFrame, matches: DataFrame) -> DataFrame:
 
 def numbered(matches: DataFrame) -> DataFrame:
     """match_ord as consecutive numbers from 0 within each graph."""
-    return matches.withColumn("match_ord", F.row_number().over(Window.partitionBy("graph_id").orderBy("match_ord")) - 1)
+    return ordered_rank(matches, ["graph_id"], ["match_ord"], "_n").withColumn("match_ord", F.col("_n")).drop("_n")

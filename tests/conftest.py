@@ -10,7 +10,7 @@ from claimloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, **{"spark.sql.adaptive.coalescePartitions.enabled": "true"})
+    session = local_session(4, **{"spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "2"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -19,7 +19,7 @@ def test_entry_and_a_query_against_sql(spark):
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{DATA}/{f}')")
-    for name in ("p4_found", "p2_found", "degrees", "contradiction", "gate_scores"):
+    for name in ("p4_found", "p4_report", "p2_found", "p6_found", "p1_found", "degrees", "contradiction", "gate_scores", "find_cycles", "broken_payloads", "built_claims", "exported_units"):
         df = entry.queries()[name](spark, DATA)
         cols = sorted(df.columns)
         want = con.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()

@@ -131,7 +131,7 @@ def test_empty(spark):
     assert s.claims.collect() == [] and s.warrants.collect() == [] and s.gates.collect() == []
 
 
-def test_converged_queries_follow_paths_beyond_the_fixed_rounds(spark, monkeypatch):
+def test_queries_follow_paths_to_their_end(spark, monkeypatch):
     from claimloom.plans import graph_queries as q
 
     # a chain of six claims; its last one attacks the warrant of an edge between two others
@@ -144,9 +144,9 @@ def test_converged_queries_follow_paths_beyond_the_fixed_rounds(spark, monkeypat
         score.append(sig(0.5 * score[-1]))
     w2 = sig(-score[-1])
     near = lambda v: pytest.approx(v, abs=2e-6)
-    assert {r["id"]: r["score"] for r in got("claim_scores_after_gating_converged")} == {**{f"c{n + 1}": near(v) for n, v in enumerate(score)}, "x": near(0.5), "y": near(sig(0.5 * w2))}
-    assert {r["id"]: r["score"] for r in got("warrant_scores_converged")} == {"w1": near(0.5), "w2": near(w2)}
-    assert {r["edge_idx"]: r["gate"] for r in got("gate_scores_converged")} == {**dict.fromkeys(range(5), near(0.5)), 5: near(w2)}
-    assert {r["edge_id"]: r["influence"] for r in got("score_explanations_converged")}["e5"] == near(0.5 * w2)
-    assert {r["id"]: r["final_score"] for r in got("explanation_totals_converged")}["c6"] == near(score[-1])
-    assert {r["edge_id"]: (r["gate_score"], r["critical_warrants"]) for r in got("warrant_fragility_converged")}["e5"] == (near(w2), "w2")
+    assert {r["id"]: r["score"] for r in got("claim_scores_after_gating")} == {**{f"c{n + 1}": near(v) for n, v in enumerate(score)}, "x": near(0.5), "y": near(sig(0.5 * w2))}
+    assert {r["id"]: r["score"] for r in got("warrant_scores")} == {"w1": near(0.5), "w2": near(w2)}
+    assert {r["edge_idx"]: r["gate"] for r in got("gate_scores")} == {**dict.fromkeys(range(5), near(0.5)), 5: near(w2)}
+    assert {r["edge_id"]: r["influence"] for r in got("score_explanations")}["e5"] == near(0.5 * w2)
+    assert {r["id"]: r["final_score"] for r in got("explanation_totals")}["c6"] == near(score[-1])
+    assert {r["edge_id"]: (r["gate_score"], r["critical_warrants"]) for r in got("warrant_fragility")}["e5"] == (near(w2), "w2")
