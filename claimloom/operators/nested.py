@@ -319,8 +319,14 @@ def _below(ancestor: str, field: str) -> str:
     return f"{ancestor}.{field}" if field else ancestor
 
 
-def _table_paths(tables: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> list[str]:
-    out = ["#rest"]
+def _table_paths(tables: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], name: str | None = None) -> list[str]:
+    """Paths of all tables and of what the record holds beside them; with a name, of that table and of those inside its elements."""
+    out = [] if name else ["#rest"]
+    if name:
+        inside = lambda a: a.startswith(tables[name][0])
+        # the keys of the objects above, which name the parents
+        out = [above + KEY for above in sorted({a.rpartition("{}.")[0] + "{}" for a in tables[name][0] if "{}." in a})]
+        tables = {n: (tuple(filter(inside, ancestors)), fields) for n, (ancestors, fields) in tables.items()}
     for ancestors, fields in tables.values():
         for a in ancestors:
             out += [*([a + KEY] if a.endswith("{}") else []), *(_below(a, x.partition(":")[0]) for x in fields), f"{a}.{REST}"]
@@ -350,7 +356,7 @@ def flat_table(long_form: DataFrame, keep: Sequence[str], ancestors: Sequence[st
 
 def payload_table(payloads: DataFrame, name: str) -> DataFrame:
     """One of ``TABLES`` of the graph payloads. Repeated deliveries of a payload come out once."""
-    return flat_table(shred_and_assemble(payloads, "payload", ["payload_id"], _table_paths(TABLES), TABLES[name][0]), ["payload_id"], *TABLES[name])
+    return flat_table(shred_and_assemble(payloads, "payload", ["payload_id"], _table_paths(TABLES, name), TABLES[name][0]), ["payload_id"], *TABLES[name])
 
 
 def payload_rest(payloads: DataFrame) -> DataFrame:
@@ -378,7 +384,7 @@ def array_table(nodes: dict[str, tuple[DataFrame, str]], name: str) -> DataFrame
     parts = [df.select(F.lit(t).alias("table_name"), "graph_id", F.col(k).alias("owner_key"), F.struct("evidence", "spans", "evidence_ids").alias("x"), "loaded_at") for t, (df, k) in nodes.items()]
     rows = functools.reduce(DataFrame.unionByName, parts).withColumn("record", F.to_json("x", {"ignoreNullFields": "false"}))
     rows = rows.groupBy(*keep).agg(F.max_by("record", F.struct("loaded_at", "record")).alias("record"))
-    return flat_table(shred_and_assemble(rows, "record", keep, _table_paths(ARRAYS), ARRAYS[name][0]), keep, *ARRAYS[name]).drop("place", "key", "parent_pos", "rest")
+    return flat_table(shred_and_assemble(rows, "record", keep, _table_paths(ARRAYS, name), ARRAYS[name][0]), keep, *ARRAYS[name]).drop("place", "key", "parent_pos", "rest")
 
 
 def payload_links(payloads: DataFrame) -> DataFrame:
