@@ -97,8 +97,6 @@ _array = lambda n: lambda spark, d: _array_table(spark, d, n)
 _columns("p2_unit_rows", _payload("units"), "payload_id", "key", "id", "text", "type", "score", "evidence_min", "evidence_max")
 _columns("p2_span_rows", _payload("spans"), "payload_id", "place", "key", "pos", "doc_id", "start", "end", "text", "page", "modality")
 _columns("p2_relation_rows", _payload("relations"), "payload_id", "place", "key", "pos", "src", "dst", "kind", "gate_mode", "weight", "rationale")
-_columns("p2_list_rows", _payload("lists"), "payload_id", "place", "key", "pos", "value", where="place in ('units{}.evidence_ids[]', 'argument_bundles{}.units[]')")
-_columns("p2_array_id_rows", _array("evidence_ids"), "table_name", "graph_id", "owner_key", "pos", "value")
 _columns("p2_array_evidence_rows", _array("evidence"), "table_name", "graph_id", "owner_key", "pos", "id", "stance", "strength", "source_kind", "source_span_doc_id", "source_structured")
 
 _P4 = """
@@ -232,8 +230,15 @@ SQL["p2_span_rows"] = f"WITH {_UNITS}, {_WA} SELECT DISTINCT * FROM (SELECT payl
 SQL["p2_unit_rows"] = f"WITH {_UNITS} SELECT DISTINCT payload_id, k AS key, json_extract_string(x, '$.id') AS id, json_extract_string(x, '$.text') AS text, json_extract_string(x, '$.type') AS type, {_NUM(_Y('score'))} AS score, {_NUM(_Y('evidence_min'))} AS evidence_min, {_NUM(_Y('evidence_max'))} AS evidence_max FROM u"
 _REL = f"{_X('src')} AS src, {_X('dst')} AS dst, {_X('kind')} AS kind, {_X('gate_mode')} AS gate_mode, {_NUM(_X('weight'))} AS weight, {_X('rationale')} AS rationale"
 SQL["p2_relation_rows"] = f"WITH o AS (SELECT payload_id, '' AS k, j AS x {_OK}), {_BU} SELECT DISTINCT * FROM (SELECT payload_id, 'relations[]' AS place, CAST(NULL AS VARCHAR) AS key, CAST(i AS INTEGER) AS pos, {_REL} FROM {_elements('relations', 'o')} UNION ALL SELECT payload_id, 'argument_bundles{{}}.relations[]', k, CAST(i AS INTEGER), {_REL} FROM {_elements('relations', 'b')})"
-SQL["p2_list_rows"] = f"WITH {_UNITS}, {_BU} SELECT DISTINCT * FROM (SELECT payload_id, 'units{{}}.evidence_ids[]' AS place, k AS key, CAST(i AS INTEGER) AS pos, json_extract_string(y, '$') AS value FROM {_elements('evidence_ids', 'u')} UNION ALL SELECT payload_id, 'argument_bundles{{}}.units[]', k, CAST(i AS INTEGER), json_extract_string(y, '$') FROM {_elements('units', 'b')})"
+_LISTED = lambda place, rows, parent="NULL": f"SELECT payload_id, '{place}' AS place, k AS key, CAST({parent} AS INTEGER) AS parent_pos, CAST(i AS INTEGER) AS pos, json_extract_string(y, '$') AS value, CAST(NULL AS VARCHAR) AS rest FROM {rows}"
+_INNER = lambda rows: f"(SELECT payload_id, k, n, i, json_extract(y, '$.warrant_ids[' || i || ']') AS y FROM (SELECT payload_id, k, i AS n, y, unnest(range(CAST(json_array_length(y, '$.warrant_ids') AS BIGINT))) AS i FROM {rows} WHERE json_type(y, '$.warrant_ids') = 'ARRAY'))"
+SQL["p2_lists"] = f"WITH o AS (SELECT payload_id, CAST(NULL AS VARCHAR) AS k, j AS x {_OK}), {_UNITS}, {_WA}, {_BU} SELECT DISTINCT * FROM (" + " UNION ALL ".join([
+    _LISTED("units{}.evidence_ids[]", _elements("evidence_ids", "u")), _LISTED("warrants{}.evidence_ids[]", _elements("evidence_ids", "wa")), _LISTED("argument_bundles{}.units[]", _elements("units", "b")),
+    _LISTED("relations[].warrant_ids[]", _INNER(_elements("relations", "o")), "n"), _LISTED("argument_bundles{}.relations[].warrant_ids[]", _INNER(_elements("relations", "b")), "n"),
+]) + ")"
 _LAST = lambda t, k: f"(SELECT '{t}' AS table_name, graph_id, {k} AS owner_key, arg_max(struct_pack(e := evidence, s := spans, i := evidence_ids), loaded_at) AS x FROM {t} GROUP BY ALL)"
 _OWNERS = f"WITH n AS (SELECT * FROM {_LAST('units', 'unit_id')} UNION ALL SELECT * FROM {_LAST('warrants', 'warrant_id')})"
-SQL["p2_array_id_rows"] = _OWNERS + " SELECT DISTINCT table_name, graph_id, owner_key, CAST(pos - 1 AS INTEGER) AS pos, value FROM (SELECT table_name, graph_id, owner_key, unnest(x.i) AS value, generate_subscripts(x.i, 1) AS pos FROM n) WHERE value IS NOT NULL"
+SQL["p2_array_evidence_ids"] = _OWNERS + " SELECT DISTINCT table_name, graph_id, owner_key, CAST(pos - 1 AS INTEGER) AS pos, value FROM (SELECT table_name, graph_id, owner_key, unnest(x.i) AS value, generate_subscripts(x.i, 1) AS pos FROM n) WHERE value IS NOT NULL"
 SQL["p2_array_evidence_rows"] = _OWNERS + " SELECT DISTINCT table_name, graph_id, owner_key, CAST(pos - 1 AS INTEGER) AS pos, v.id AS id, v.stance AS stance, v.strength AS strength, v.source.kind AS source_kind, v.source.span.doc_id AS source_span_doc_id, v.source.structured AS source_structured FROM (SELECT table_name, graph_id, owner_key, unnest(x.e) AS v, generate_subscripts(x.e, 1) AS pos FROM n) WHERE v IS NOT NULL"
+SQL["p2_array_spans"] = _OWNERS + """ SELECT DISTINCT table_name, graph_id, owner_key, CAST(pos - 1 AS INTEGER) AS pos, v.doc_id AS doc_id, CAST(v.start AS BIGINT) AS "start", CAST(v.end AS BIGINT) AS "end", v.text AS text, CAST(v.page AS BIGINT) AS page,
+  CASE WHEN v.bbox IS NOT NULL THEN '[' || array_to_string(v.bbox, ', ') || ']' END AS bbox, v.modality AS modality FROM (SELECT table_name, graph_id, owner_key, unnest(x.s) AS v, generate_subscripts(x.s, 1) AS pos FROM n) WHERE v IS NOT NULL"""
